@@ -66,12 +66,12 @@ def range_shards(df: DataFrame, key: str, weight: Column, shard_weight: int, lea
     number), and runs of bins are joined until they weigh ``shard_weight``, or less where that
     would give under ``least`` shards. Unlike sampled ranges these are the same in each run.
     Null keys come first."""
-    low, high, total = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
-    low, high, total = low or 0, high or 0, total or 0
+    low, high = (x or 0 for x in df.agg(F.min(key), F.max(key)).first())  # reads the key alone
     span = high - low + 1
     step = -(-span // bins)
     place = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(step)), F.lit(0)).cast("int")
     weights = dict(df.groupBy(place.alias("bin")).agg(F.sum(weight).alias("w")).collect())
+    total = sum(w or 0 for w in weights.values())
     limit = max(1, min(shard_weight, -(-total // max(1, least))))
     starts, filled, shard = [], 0, 0
     for b in range(max(weights, default=0) + 1):

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from ._shared import Publisher, range_shards, read_file, small_batches, stage, table, width, work_dir
 
-MAGIC, BLOCK, SEGMENT, PERCENTILE, SHARD_CHARS, END_ID = b"PFR1", 256, 2048, 90, 64 << 20, 2
-_CACHE = 200_000
+MAGIC, BLOCK, SEGMENT, PERCENTILE, SHARD_BYTES, END_ID = b"PFR1", 256, 2048, 90, 64 << 20, 2
+_CACHE = 1_000_000  # entries of about 200 bytes
 
 
 # --- the codec -------------------------------------------------------------------------------
@@ -198,11 +198,66 @@ def documents(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 # --- encoding --------------------------------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_PACKS = [struct.Struct(f"<{n}I") for n in range(64)]
+
+
+class Odd(Exception):
+    """A text with a border that the pattern may match across."""
+
+
+class Pieces(dict):
+    """Ids of pieces as bytes, a bounded table of a Python worker. A key is a word that follows a
+    space, or a line break and the word after it.
+
+    A word of letters is one match of the byte-level pattern and goes to the library's BPE model as
+    it is; a tail of punctuation after it is a match of its own; any other piece is encoded by the
+    whole tokenizer. A piece that is empty or ends in white space is no piece."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.line, self.space, self.tails = self.whole("\n"), self.letters[32], {}
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # this table is the cache
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def tail(self, text: str) -> bytes:
+        if text not in self.tails and len(self.tails) < 10_000:
+            self.tails[text] = self.whole(text)
+        return self.tails.get(text) or self.whole(text)
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[-1].isspace():
+            raise Odd
+        base = piece.rstrip(".,;:!?")
+        body = base[1:] if piece[0] == "\n" else base
+        if body.isalpha():
+            head = self.line if piece[0] == "\n" else b""
+            letters = body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(letters if head else self.space + letters)]
+            got = head + (_PACKS[len(ids)].pack(*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes())
+            if len(base) < len(piece):
+                got += self.tail(piece[len(base) :])
+        else:
+            got = self.whole(piece if piece[0] == "\n" else " " + piece)
+        self[piece] = got
+        return got
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The byte-level pattern never matches across a border between a character that is no white space
-    and a single space or line break, so a text whose white space is single spaces and line breaks
+    and a space or line break, so a text all of whose spaces and line breaks follow such characters
     is the sum of its pieces. Pieces are encoded by the library once and kept in a bounded table;
     all other texts are encoded whole."""
 
@@ -213,31 +268,26 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self.tokenizer)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def pieces(text: str) -> list[str] | None:
-        """Pieces without their leading space (the first has none), or None if there may be others."""
-        words = text.split()
-        n = len(words)
-        if n < 2 or text.count(" ") + text.count("\n") != n - 1 or len(text) - sum(map(len, words)) != n - 1:
-            return None
-        return text.replace("\n", " \n").split(" ")
+    def encode_one(self, text: str) -> bytes:
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if not rest:
+            return self.known.whole(text)
+        try:
+            if not first or first[-1].isspace():
+                raise Odd
+            return self.known.whole(first) + b"".join(map(self.known.__getitem__, rest))
+        except Odd:
+            return self.known.whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
         if len(self.known) > _CACHE:
             self.known.clear()
-        known = self.known
-        missing = list(set().union(*(p[1:] for p in cut if p)).difference(known))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            known.update(zip(part, self.whole([p if p[0] == "\n" else " " + p for p in part])))
-        heads = iter(self.whole([p[0] if p else t for p, t in zip(cut, texts)]))
-        return [next(heads) + b"".join(map(known.__getitem__, p[1:])) if p else next(heads) for p in cut]
+        return [self.encode_one(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -248,13 +298,13 @@ def encoder(path: str) -> Encoder:
 _MANIFEST = "shard int, file string, docs bigint, ids bigint, bytes bigint"
 
 
-def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, percentile: int = PERCENTILE, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, percentile: int = PERCENTILE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) to ``folder``. Returns the manifest with ``start``,
     the number of ids in all files before."""
     spark = docs.sparkSession
     small_batches(spark, 256)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shard, shards = range_shards(rows, "doc_id", F.length("text").cast("long") + 1, shard_chars, width(spark))
+    shard, shards = range_shards(rows, "doc_id", F.octet_length("text").cast("long") + 1, shard_bytes, width(spark))
     ordered = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "text")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

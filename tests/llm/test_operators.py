@@ -338,7 +338,7 @@ def test_pack(values, percentile):
 def test_token_file(spark, docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     folder = work_dir(spark, "tokens-test")
-    manifest = token_file.write(docs, folder, path, shard_chars=20_000)
+    manifest = token_file.write(docs, folder, path, shard_bytes=20_000)
     got = sorted((tuple(r) for r in token_file.read(manifest, folder).collect()), key=lambda r: r[1])
     plain = token_file.Encoder(path)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
