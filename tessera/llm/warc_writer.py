@@ -56,12 +56,18 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bo
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, one after another."""
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
+def members(data: bytes, step: int = 1 << 15) -> Iterator[bytes]:
+    """The gzip members of a file, one after another; what is fed past a member's end is a step at most."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof:
+            part = view[at : at + step]
+            if not part:
+                raise ValueError("the file ends within a record")
+            out.append(d.decompress(part))
+            at += len(part) - len(d.unused_data)
+        yield b"".join(out)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
