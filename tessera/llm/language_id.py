@@ -16,6 +16,7 @@ order. Repeated rows give repeated predictions; further columns are not looked a
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -26,88 +27,86 @@ from pyspark.sql import functions as F
 from ._shared import small_batches, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 150_000
+_CACHE_WORDS, _FIELD = 120_000, 40
 _PREPARED: dict = {}
 
 
 class Automaton:
-    """Suffix automaton over a bounded alphabet; transitions are one dict keyed by state and letter."""
+    """Suffix automaton; a state is the dict of its transitions, so that following one is one lookup."""
 
     def __init__(self, words):
-        self.code: dict[str, int] = {}
-        self.step: dict[int, int] = {}
-        link, length = [-1], [0]
-        out: list[list[int]] = [[]]
-        step = self.step
+        root: dict = {}
+        steps, link, length = [root], [-1], [0]
         last = 0
         for ch in "".join(f" {w} \n" for w in words):
-            c = self.code.setdefault(ch, len(self.code))
-            new = len(link)
+            new = len(steps)
+            steps.append({})
             link.append(0)
             length.append(length[last] + 1)
-            out.append([])
             p = last
-            while p >= 0 and (p << 16 | c) not in step:
-                step[p << 16 | c] = new
-                out[p].append(c)
+            while p >= 0 and ch not in steps[p]:
+                steps[p][ch] = new
                 p = link[p]
             if p >= 0:
-                q = step[p << 16 | c]
+                q = steps[p][ch]
                 if length[q] == length[p] + 1:
                     link[new] = q
                 else:
-                    copy = len(link)
+                    copy = len(steps)
+                    steps.append(dict(steps[q]))
                     link.append(link[q])
                     length.append(length[p] + 1)
-                    out.append(list(out[q]))
-                    for k in out[q]:
-                        step[copy << 16 | k] = step[q << 16 | k]
-                    while p >= 0 and step.get(p << 16 | c) == q:
-                        step[p << 16 | c] = copy
+                    while p >= 0 and steps[p].get(ch) == q:
+                        steps[p][ch] = copy
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
+        for s in steps:
+            for ch, to in s.items():
+                s[ch] = steps[to]
+        self.root = root
 
     def phrases(self, word: str) -> int:
         """Phrases of a greedy longest-match parse; an unknown letter is a phrase of its own."""
-        n, state, step, code = 0, 0, self.step, self.code
+        root = state = self.root
+        n = 0
         for ch in word:
-            c = code.get(ch)
-            if c is None:
-                n += 1 + (state != 0)
-                state = 0
-                continue
-            to = step.get(state << 16 | c)
+            to = state.get(ch)
             if to is None:
-                n += 1
-                to = step[c]
+                n += state is not root
+                to = root.get(ch)
+                if to is None:
+                    n += 1
+                    to = root
             state = to
-        return n + (state != 0)
+        return n + (state is not root)
 
 
-class Model:
-    """The automata of all labels, and a bounded table of the phrase counts of words."""
+class Model(dict):
+    """The automata of all labels, and a bounded table of words: the phrase counts of all labels in
+    one number, ``_FIELD`` bits each, so that the counts of a text are one sum."""
 
     def __init__(self, words: dict[str, list[str]]):
+        super().__init__()
         self.labels = sorted(words)
         self.automata = [Automaton(words[k]) for k in self.labels]
-        self.counts: dict[str, tuple[int, ...]] = {}
 
-    def of(self, word: str) -> tuple[int, ...]:
-        got = self.counts.get(word)
-        if got is None:
-            if len(self.counts) >= _CACHE_WORDS:
-                self.counts.clear()
-            padded = f" {word} "
-            got = self.counts[word] = tuple(a.phrases(padded) for a in self.automata)
-        return got
+    def __missing__(self, word: str) -> int:
+        padded, n = f" {word} ", 0
+        for k, a in enumerate(self.automata):
+            n |= a.phrases(padded) << _FIELD * k
+        self[word] = n
+        return n
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Label, score and the winner's phrases per character."""
         words = _LETTERS.findall((text or "").lower())
         if not words or not self.labels:
             return "und", 0.0, 0.0
-        totals = [sum(x) for x in zip(*map(self.of, words))]
+        if len(self) > _CACHE_WORDS:
+            self.clear()
+        every = sum(map(self.__getitem__, words))
+        totals = [every >> _FIELD * k & (1 << _FIELD) - 1 for k in range(len(self.labels))]
         chars = sum(map(len, words)) + 2 * len(words)
         best = min(range(len(totals)), key=totals.__getitem__)
         # each phrase costs the same number of bits in every language: a softmax over the costs
@@ -115,9 +114,8 @@ class Model:
         return self.labels[best], 1.0 / spread, totals[best] / chars
 
 
-def prepared(words: dict[str, list[str]]) -> Model:
-    """One model for all tasks of a Python worker."""
-    key = hash(tuple((k, tuple(v)) for k, v in sorted(words.items())))
+def prepared(key: str, words: dict[str, list[str]]) -> Model:
+    """One model for all tasks of a Python worker; ``key`` is a digest of the words."""
     if key not in _PREPARED:
         _PREPARED.clear()
         _PREPARED[key] = Model(words)
@@ -128,7 +126,7 @@ def held_out(key: Column, folds: int = 4, held: int = 2) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
-def learn(docs: DataFrame, docs_per_language: int = 400, chars_per_language: int = 120_000, folds: int = 4, held: int = 2) -> dict[str, list[str]]:
+def learn(docs: DataFrame, docs_per_language: int = 400, chars_per_language: int = 40_000, folds: int = 4, held: int = 2) -> dict[str, list[str]]:
     """Distinct normalised words of the bounded sample, by label, in order of appearance."""
     rows = docs.where(~held_out(F.col("doc_id"), folds, held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     order = F.xxhash64(F.col("doc_id").cast("string"))
@@ -152,11 +150,12 @@ def predict(docs: DataFrame, words: dict[str, list[str]], keep: tuple[str, ...]
     """The columns ``keep`` and lang_pred, score, phrase_rate for every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(words)
+    key = hashlib.sha256(repr(sorted(words.items())).encode()).hexdigest()
+    model = spark.sparkContext.broadcast(words)  # its size is bounded by the sample's parameters
 
     @F.arrow_udf("lang_pred string, score double, phrase_rate double")
     def label(texts: pa.Array) -> pa.Array:
-        m = prepared(model.value)
+        m = prepared(key, model.value)
         found = [m.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays(
             [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())],
