@@ -1,13 +1,21 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each operator applied to the memory store, with SQL that must agree."""
+
+from __future__ import annotations
+
+from . import logs, relational, retrieval, upkeep
+from .registry import QUERIES, SQL
+
+MODULES = (relational, retrieval, upkeep, logs)
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Batch hybrid search over every query of the table."""
+    return QUERIES["f12_hybrid_search"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
