@@ -162,6 +162,8 @@ def predict(docs: DataFrame, words: dict[str, list[str]], keep: tuple[str, ...]
             ["lang_pred", "score", "phrase_rate"],
         )
 
+    # said to be nondeterministic so that a filter on the answer does not evaluate it a second time
+    label = label.asNondeterministic()
     return docs.select(*keep, label(F.col("text")).alias("p")).select(*keep, "p.lang_pred", "p.score", "p.phrase_rate")
 
 
