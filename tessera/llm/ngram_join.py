@@ -131,15 +131,19 @@ def components(edges: DataFrame, folder: str, most: int = 40) -> DataFrame:
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{folder}/edges-0")
     seen = None
     for k in range(1, most + 1):
+        # the minima are written before they are joined: joins of plain shuffles are the ones that may
+        # split a hot node, here the centre of a large star, over tasks
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{folder}/least-{k}-0")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stage(large, f"{folder}/large-{k}")
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), f"{folder}/least-{k}-1")
         small = large.join(least, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         done = stage(small, f"{folder}/edges-{k}")
         mark = done.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        remove(spark, f"{folder}/edges-{k - 1}")
+        for old in (f"edges-{k - 1}", f"large-{k}", f"least-{k}-0", f"least-{k}-1"):
+            remove(spark, f"{folder}/{old}")
         now = done
         if mark == seen:
             break
