@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors of one block; a block of corpus rows times this many scores is in memory at once.
-QUERY_BLOCK = 512
+#: Query vectors of one block and corpus rows of one cell (about): a product of that size is in memory at once.
+QUERY_BLOCK, CELL = 512, 4096
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -40,9 +40,9 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str, keep: str | Non
     meets all rows, block by block; neither side is held whole."""
     blocks = queries.select("query_id", "embedding").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
     packed = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q"))
-    # a corpus batch is numbered rows of one block of queries, so pairs are made inside the product alone
-    rows = corpus.select(key, "embedding").withColumn("cell", F.pmod(F.xxhash64(key), F.lit(max(1, corpus.rdd.getNumPartitions()))))
-    cells = rows.groupBy("cell").agg(F.collect_list(F.struct(key, "embedding")).alias("c"))
+    # the corpus is dealt to cells of a bounded number of rows; a pair of cell and block is one matrix product
+    cell = F.pmod(F.xxhash64(key), F.lit(max(1, -(-corpus.count() // CELL))))
+    cells = corpus.select(key, "embedding", cell.alias("cell")).groupBy("cell").agg(F.collect_list(F.struct(key, "embedding")).alias("c"))
     kinds = dict(corpus.dtypes)[key], dict(queries.dtypes)["query_id"]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,3 +112,26 @@ def fnv1a(text: str) -> int:
     for at in range(0, len(raw), 2):
         h = (h ^ (raw[at] | raw[at + 1] << 8)) * 0x01000193 & 0xFFFFFFFF
     return h
+
+
+def similarity_moments(queries: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
+    """query_id, n, mean, sd of the cosines of each query with all other rows; each product of a
+    block and a cell leaves sums, never pairs."""
+    blocks = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("block"))
+    packed = blocks.groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
+    cell = F.pmod(F.xxhash64(key), F.lit(max(1, -(-corpus.count() // CELL))))
+    cells = corpus.select(key, "embedding", cell.alias("cell")).groupBy("cell").agg(F.collect_list(F.struct(key, "embedding")).alias("c"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                q, c = b.column("q")[n].values, b.column("c")[n].values
+                ids = q.field(0).to_pylist()
+                s = _unit(_matrix(q.field(1))) @ _unit(_matrix(c.field(1))).T
+                s[np.array(ids)[:, None] == np.array(c.field(0).to_pylist())[None, :]] = np.nan
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((~np.isnan(s)).sum(1)), pa.array(np.nansum(s, 1)), pa.array(np.nansum(s * s, 1))], names=["query_id", "n", "s", "ss"])
+
+    found = packed.select("q").crossJoin(cells.select("c")).mapInArrow(sums, f"query_id {dict(queries.dtypes)['query_id']}, n bigint, s double, ss double")
+    total = found.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    mean = F.col("s") / F.col("n")
+    return total.select("query_id", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import logs, relational, retrieval, upkeep
+from . import logs, relational, retrieval, sources, upkeep
 from .registry import QUERIES, SQL
 
-MODULES = (relational, retrieval, upkeep, logs)
+MODULES = (relational, retrieval, upkeep, logs, sources)
 
 
 def flagship(spark, sf_dir):
