@@ -40,9 +40,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of whole documents: each as often as it is placed, in the order of shards and turns."""
-    placements, _ = mixing.mix(docs.select("doc_id", "source", "text"), whole=True)
-    placed = placements.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "shard", "turn", F.col("pass"))
-    rows = docs.select(*COLUMNS).join(placed, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")))
+    key = F.xxhash64("text")
+    placements, _ = mixing.mix(docs.select("doc_id", "source", "text", key.alias("text_key")), whole=True, carry=("text_key",))
+    placed = placements.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("source").alias("s"), "shard", "turn", "pass")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (key == F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
+    rows = docs.select(*COLUMNS).join(placed, same)
     return rows.repartition("shard", F.pmod("turn", F.lit(16))).sortWithinPartitions("shard", "turn").select(*COLUMNS)
 
 

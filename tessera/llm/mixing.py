@@ -53,8 +53,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3
     return found.withColumn("target", F.least(capped, F.coalesce(level * F.col("weight"), capped))).select("source", "source_size", "weight", "target")
 
 
-def ordered(docs: DataFrame, seed: str = "") -> DataFrame:
-    """doc_id, source, size and ``start``: the words of the source before the document in its fixed
+def ordered(docs: DataFrame, seed: str = "", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, the columns ``carry``, and ``start``: the words of the source before the document in its fixed
     random order. ``docs`` has doc_id, source, size; read it from a table, it is scanned twice."""
     n = docs.count()
     digits = 8
@@ -68,7 +68,7 @@ def ordered(docs: DataFrame, seed: str = "") -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     within = hashed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = within.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return joined.select("doc_id", "source", "size", (F.col("base") + F.col("within")).alias("start"))
+    return joined.select("doc_id", "source", "size", *carry, (F.col("base") + F.col("within")).alias("start"))
 
 
 def _ln_factorial(x: str) -> str:
@@ -123,21 +123,22 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: int = 7) -> DataFrame:
     return nodes.select(F.col("node").cast("int").alias("shard"), F.explode("items").alias("i")).select("shard", "i.source", F.col("i.blocks").cast("long").alias("blocks"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, levels: int = 4, blocks_per_shard: int = 64, seed: int = 7, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, levels: int = 4, blocks_per_shard: int = 64, seed: int = 7, whole: bool = False, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Placements and documents of the mix of ``docs`` (doc_id, source, text).
 
     Placements: doc_id, source, start, pass, words, shard, turn; one row for each time a document is
     taken; sort a shard by ``turn`` to shuffle it. ``whole`` takes the border document whole if its
     first half is wanted, else not at all. Documents: doc_id, source, start, size, source_size,
-    target, taken. (source, start) tells rows with words apart, also where doc_ids repeat."""
+    target, taken. (source, start) tells rows with words apart, also where doc_ids repeat; columns
+    named in ``carry`` come along in both."""
     spark = docs.sparkSession
     folder = work_dir(spark, "mixing")
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), f"{folder}/sizes")
+    sized = stage(docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size")), f"{folder}/sizes")
     goals = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), f"{folder}/targets")
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     block = max(1, math.ceil(total / (blocks_per_shard << levels)))  # words
     goals = goals.withColumn("want", F.round("target").cast("long"))
-    rows = ordered(sized).join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = ordered(sized, carry=carry).join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = stage(rows, f"{folder}/ordered")
     # pass p takes a document's words between want - p * source_size and its start
     passes = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
@@ -160,9 +161,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, level
     placed = placed.withColumn("n", n).withColumn("place", permuted)
     shard = F.expr("filter(runs, r -> r.end > place)[0].shard")
     turn = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("pass"))
-    placements = placed.select("doc_id", "source", "start", "pass", "words", shard.alias("shard"), turn.alias("turn"))
+    placements = placed.select("doc_id", "source", *carry, "start", "pass", "words", shard.alias("shard"), turn.alias("turn"))
     gone = F.expr(f"aggregate(sequence(0, {cap - 1}), 0L, (s, p) -> s + {_taken_sql(whole)})")
-    documents = rows.select("doc_id", "source", "start", "size", "source_size", "target", gone.alias("taken"))
+    documents = rows.select("doc_id", "source", *carry, "start", "size", "source_size", "target", gone.alias("taken"))
     return placements, documents
 
 
