@@ -32,7 +32,7 @@ from ._shared import Publisher, read_file, remove, small_batches, stage, table,
 
 MAGIC = b"XHI1"
 BUCKET_BYTES = 1 << 20
-COMBINE_BYTES = 24 << 20
+COMBINE_BYTES = 8 << 20
 _CLASS = "h bigint, text_sha256 string, n_bytes bigint, keep_id bigint, group_size bigint, depth int, chain int"
 
 
