@@ -129,10 +129,13 @@ def held_out(key: Column, folds: int = 4, held: int = 2) -> Column:
 def learn(docs: DataFrame, docs_per_language: int = 400, chars_per_language: int = 40_000, folds: int = 4, held: int = 2) -> dict[str, list[str]]:
     """Distinct normalised words of the bounded sample, by label, in order of appearance."""
     rows = docs.where(~held_out(F.col("doc_id"), folds, held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    ranked = rows.select("doc_id", "lang", order.alias("h")).withColumn(
-        "n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    )
+    # only hashes low enough to hold the sample four times over are ranked, so that a label which most
+    # rows bear sends no more of them to its task than any other
+    place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    narrow = rows.select("doc_id", "lang", F.coalesce(place, F.lit(0.0)).alias("h"))
+    limits = narrow.groupBy("lang").agg((4.0 * docs_per_language / F.count("*")).alias("limit"))
+    near = narrow.join(limits, "lang").where("h <= limit").select("doc_id", "lang", "h")
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     chosen = ranked.where(F.col("n") <= docs_per_language).select("doc_id", "lang", "h").distinct()
     # at most docs_per_language rows for each label, so broadcasting them is bounded by a parameter
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "h", "doc_id", F.substring("text", 1, chars_per_language).alias("text"))
