@@ -504,12 +504,12 @@ def _(s):
     return r.within_budget(rows, "session", ["newest"], "tokens", 1500, "id")
 
 
-@query("w8_backlog_trend", """, h AS (SELECT event_id, value, lag(value) OVER (ORDER BY event_id) AS prev, lag(value, 5) OVER (ORDER BY event_id) AS first FROM events WHERE event_type = 'purchase'),
-g AS (SELECT *, min(CASE WHEN value >= prev THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS up FROM h)
+@query("w8_backlog_trend", """, h AS (SELECT event_id, user_id, ts, value, lag(value) OVER w AS prev, lag(value, 5) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, min(CASE WHEN value >= prev THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS up FROM h)
 SELECT event_id FROM g WHERE up = 1 AND first IS NOT NULL AND value > first""")
 def _(s):
-    w = Window.orderBy("event_id")  # one series
-    h = s.table("events").where("event_type = 'purchase'").select("event_id", "value", F.lag("value").over(w).alias("prev"), F.lag("value", 5).over(w).alias("first"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")  # one series for each user
+    h = s.table("events").select("event_id", "user_id", "ts", "value", F.lag("value").over(w).alias("prev"), F.lag("value", 5).over(w).alias("first"))
     up = F.min(F.when(F.col("value") >= F.col("prev"), 1).otherwise(0)).over(w.rowsBetween(-4, 0))
     return h.withColumn("up", up).where("up = 1 AND first IS NOT NULL AND value > first").select("event_id")
 

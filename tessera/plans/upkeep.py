@@ -233,10 +233,10 @@ def _(s):
     return e.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).join(taken, ["a", "b"], "left_anti").select("src", "dst")
 
 
-@query("c6_symbol_proposals", CITED + ", one AS (SELECT name, min(id) AS symbol FROM symbols GROUP BY name HAVING count(*) = 1) SELECT q.id, one.symbol FROM (SELECT DISTINCT l.id, concat('cold', cast(l.ord % 30 AS varchar)) AS name FROM linked l JOIN ct ON ct.id = l.id) q JOIN one USING (name)")
+@query("c6_symbol_proposals", CITED + " , one AS (SELECT unit_id AS name, min(id) AS symbol FROM symbols WHERE kind = 'class' GROUP BY unit_id HAVING count(*) = 1) SELECT q.id, one.symbol FROM (SELECT DISTINCT l.id, concat('u', cast(l.ord AS varchar)) AS name FROM linked l JOIN ct ON ct.id = l.id) q JOIN one USING (name)")
 def _(s):
-    cites = x.cited_symbols(s.linked, "id", "body").select("id").distinct().join(s.linked.select("id", "ord"), "id").select("id", F.concat(F.lit("cold"), (F.col("ord") % 30).cast("string")).alias("name"))
-    one = s.symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("symbol")).where("n = 1")
+    cites = x.cited_symbols(s.linked, "id", "body").select("id").distinct().join(s.linked.select("id", "ord"), "id").select("id", F.concat(F.lit("u"), F.col("ord").cast("string")).alias("name"))
+    one = s.symbols.where("kind = 'class'").groupBy(F.col("unit_id").alias("name")).agg(F.count("*").alias("n"), F.min("id").alias("symbol")).where("n = 1")
     return cites.join(one, "name").select("id", "symbol")
 
 
