@@ -66,7 +66,7 @@ def looks_binary(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, SNIFF_BYTES))
     n = F.least(F.octet_length(content), F.lit(SNIFF_BYTES))
     zeros = F.size(F.filter(F.regexp_extract_all(head, F.lit("(..)"), F.lit(1)), lambda b: b == "00"))
-    return (n > 0) & (zeros / n > 0.1)
+    return F.when(n > 0, 10 * zeros > n).otherwise(False)
 
 
 def code_files(spark: SparkSession, path: str) -> DataFrame:

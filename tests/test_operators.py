@@ -145,10 +145,43 @@ def test_fnv1a():
 
 
 def test_streams_agree_with_batch(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    stream = streaming.event_stream(spark, "/root/testdata/sf0.001/events.parquet", events.schema)
+    folder = str(tmp_path / "in")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(4).write.parquet(folder)
+    events = spark.read.parquet(folder)
+    stream = streaming.event_stream(spark, folder, events.schema)
     fed = streaming.drain(streaming.activity_feed(stream), "append", str(tmp_path))
-    assert fed.count() == events.count()
-    calls = streaming.drain(streaming.quota_windows(stream, late="400 days"), "append", str(tmp_path))
-    assert calls.count() <= streaming.quota_windows(events).count()
+    assert sorted(map(tuple, fed.collect())) == sorted(map(tuple, streaming.activity_feed(events).collect()))
+    # windows that the watermark has passed are the batch's windows, once and unchanged
+    batch = {(r.user_id, r.start): r.calls for r in streaming.quota_windows(events).collect()}
+    calls = streaming.drain(streaming.quota_windows(stream, late="400 days"), "append", str(tmp_path)).collect()
+    assert all(batch[r.user_id, r.start] == r.calls for r in calls)
     assert streaming.sessions(events).agg(F.sum("events")).first()[0] == events.count()
+    chunks = spark.createDataFrame([("c1",), ("c2",)], "chunk_id string")
+    assert [r.chunk_id for r in streaming.pending(chunks, chunks.where("chunk_id = 'c1'")).collect()] == ["c2"]
+
+
+def test_file_sources(spark, tmp_path):
+    from tessera.sources import files
+
+    (tmp_path / "gold.jsonl").write_text('{"query": " q ", "gold": ["a"], "origin": "mined"}\n\n{"query": \n{"query": "x", "gold": [], "origin": "mined"}\n{"query": "x", "gold": ["b"], "origin": "guess"}\n')
+    got = files.gold_file(spark, str(tmp_path / "gold.jsonl")).collect()
+    assert [(r.query, r.malformed) for r in got if not r.malformed] == [("q", False)] and sum(r.malformed for r in got) == 3
+    (tmp_path / "set.json").write_text('{"docs": [{"id": "d1", "title": "t", "content": "c"}], "queries": [{"query": "q", "relevant": ["d1"]}], "edges": []}')
+    found = files.evaluation_set(spark, str(tmp_path / "set.json"))
+    assert found["docs"].count() == 1 and found["queries"].first().relevant == ["d1"] and found["edges"].count() == 0
+    (tmp_path / "run.jsonl").write_text('{"session": "s", "step": 1, "tool": "search"}\nnoise\n{"session": "s", "step": 2, "tool": "get", "error": "no"}\n')
+    assert [(r.tool, r.ok) for r in files.transcripts(spark, str(tmp_path / "run.jsonl")).orderBy("step").collect()] == [("search", True), ("get", False)]
+    src = tmp_path / "src"
+    for name, body in {"a.ts": b"export class A {}\nfunction b() {}", "vendor/c.ts": b"class C {}", "d.txt": b"x", "e.rs": b"\0" * 100, "f.lua": b""}.items():
+        (src / name).parent.mkdir(parents=True, exist_ok=True)
+        (src / name).write_bytes(body)
+    code = files.code_files(spark, str(src))
+    assert {(r.path.rsplit("/", 1)[1], r.lang) for r in code.collect()} == {("a.ts", "typescript"), ("f.lua", "lua")}
+    units = code.select(F.col("path").alias("unit_id"), F.col("content").cast("string").alias("content"))
+    assert {(r.kind, r.name, r.line) for r in files.extract_symbols(units).collect()} == {("class", "A", 1), ("function", "b", 2)}
+
+
+def test_merged_notes_say_nothing_twice():
+    note = "intro\n\n## Facts\n- one\n- two\n\n## Other\ntext"
+    got = writing.merge_notes(note, "Twin", [("Facts", "three"), ("Facts", "- one"), ("Nowhere", "four")], ["a or b", "a or b"])
+    assert got == "intro\n\n## Facts\n- one\n- two\n- three\n\n## Other\ntext\n\n## Merged from: Twin\n- four\n\n## Unresolved conflicts\n- a or b"
