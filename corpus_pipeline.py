@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_codec, exact_dedup, language_id, mixing, ngram_join
-from tessera.llm._shared import stage, table, work_dir
+from tessera.llm._shared import in_files, stage, table, work_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language needs more phrases a character than this is in none of the languages.
@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in one of the learned languages stay, with ``lang`` as predicted where it was null."""
     found = language_id.predict(docs, language_id.learn(docs), tuple(COLUMNS))
     known = found.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= MOST_PHRASES))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return in_files(known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +29,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("sha")).distinct()
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     rows = docs.select(*COLUMNS).join(marked, F.col("doc_id").eqNullSafe(F.col("d")) & (sha == F.col("sha")), "left_semi")
-    return rows
+    return in_files(rows, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-gram similarity the one with the smallest doc_id stays."""
     stays = ngram_join.near_duplicates(docs).where("stays").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
-    return docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k"))
+    return in_files(docs.select(*COLUMNS).join(stays, same, "left_semi"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +46,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = placements.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("source").alias("s"), "shard", "turn", "pass")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (key == F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
     rows = docs.select(*COLUMNS).join(placed, same)
-    return rows.repartition("shard", F.pmod("turn", F.lit(16))).sortWithinPartitions("shard", "turn").select(*COLUMNS)
+    rows = rows.repartition("shard", F.pmod("turn", F.lit(16)))
+    return in_files(rows, docs).sortWithinPartitions("shard", "turn").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every placed document, with the digests of ids and decoded bytes."""
     import public_tokenizers
 
-    return bpe_codec.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe_codec.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return in_files(coded, docs)
 
 
 STAGES = [

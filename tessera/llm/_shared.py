@@ -26,13 +26,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, path: str) -> DataFrame:
+def stage(df: DataFrame, path: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: the lineage ends here, so a lost
-    executor costs the tasks that are running and nothing before them."""
-    df.write.mode("overwrite").parquet(path)
+    executor costs the tasks that are running and nothing before them. ``narrow`` gathers the few
+    bytes that each of many tasks has made into files of a sensible size."""
+    (df.hint("rebalance") if narrow else df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, like: DataFrame, each: int = 64 << 20) -> DataFrame:
+    """``df`` in as many partitions, and so files, as ``like`` has ``each`` bytes by its statistics, or
+    two for each core if those are more: neither thousands of small files nor idle cores."""
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # not known: not read from files
+        return df
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // each)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whichever that is."""
     jvm = spark.sparkContext._jvm
