@@ -176,10 +176,11 @@ def lookup(data: bytes, h: int, text: bytes) -> tuple[int | None, int] | None:
 
 
 def build_index(
-    docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", hashed: Callable[[Column], Column] = default_hash, capacity: int = BUCKET_BYTES, owners: int | None = None
+    docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", hashed: Callable[[Column], Column] = default_hash, capacity: int = BUCKET_BYTES, owners: int | None = None, classes: str | None = None
 ) -> DataFrame:
     """Write the index of all rows to ``folder`` and return its classes, one row for each distinct
-    text: h, text_sha256, n_bytes, keep_id, group_size, depth (of its bucket), chain (its place)."""
+    text: h, text_sha256, n_bytes, keep_id, group_size, depth (of its bucket), chain (its place).
+    They are written to the folder ``classes``, below ``folder`` unless it is given."""
     spark = docs.sparkSession
     small_batches(spark)
     prefix = max(1, ((owners or width(spark)) - 1).bit_length())
@@ -215,7 +216,7 @@ def build_index(
         if index:
             yield from batch(list(index.close()))
 
-    return stage(owned.mapInArrow(own, _CLASS), f"{folder}/classes")
+    return stage(owned.mapInArrow(own, _CLASS), classes or f"{folder}/classes", narrow=True)
 
 
 def mark(docs: DataFrame, classes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -231,9 +232,8 @@ def exact_duplicates(docs: DataFrame, keep_index: bool = False) -> DataFrame:
     """Index ``docs`` in a new shared folder and mark its rows."""
     spark = docs.sparkSession
     folder = work_dir(spark, "exact-dedup")
-    classes = build_index(docs, f"{folder}/index")
-    if not keep_index:  # the classes have been written; the segments serve later probes only
-        classes = stage(classes, f"{folder}/classes")
+    classes = build_index(docs, f"{folder}/index", classes=f"{folder}/classes")
+    if not keep_index:  # the segments serve later probes only
         remove(spark, f"{folder}/index")
     return mark(docs, classes)
 

@@ -133,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, level
     named in ``carry`` come along in both."""
     spark = docs.sparkSession
     folder = work_dir(spark, "mixing")
-    sized = stage(docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size")), f"{folder}/sizes")
+    sized = stage(docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size")), f"{folder}/sizes", narrow=True)
     goals = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), f"{folder}/targets")
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     block = max(1, math.ceil(total / (blocks_per_shard << levels)))  # words

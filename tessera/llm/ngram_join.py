@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     small_batches(spark)
     folder = work_dir(spark, "ngram-join")
     bands, rows = choose_bands(threshold, recall)
-    signed = stage(signatures(docs, bands, rows, n, text, key), f"{folder}/signed")
+    signed = stage(signatures(docs, bands, rows, n, text, key), f"{folder}/signed", narrow=True)
     known = signed.where("digest IS NOT NULL")
     # the smallest row of each class by doc_id (a null doc_id after all others) stands for its text
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
         hit = np.flatnonzero(links > 0)
         return pa.table({"digest": pa.array([names[k] for k in hit], pa.binary()), "root": pa.array([names[root[k]] for k in hit], pa.binary()), "links": pa.array(links[hit].astype(np.int64))})
 
-    found = stage(dealt.groupBy("root", "i", "j").applyInArrow(check, "digest binary, root binary, links bigint"), f"{folder}/links")
+    found = stage(dealt.groupBy("root", "i", "j").applyInArrow(check, "digest binary, root binary, links bigint"), f"{folder}/links", narrow=True)
     roots = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")), f"{folder}/linked")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     # classes are few against documents; all of this is narrow

@@ -90,7 +90,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, text: str = "text", key: str = "do
     """doc_id, the number of base spans by kind, base and all spans as kind:start:end lists."""
     spark = docs.sparkSession
     folder = work_dir(spark, "secrets")
-    parts = stage(find_parts(docs, text, key).withColumn("uid", F.monotonically_increasing_id()), f"{folder}/parts")
+    parts = stage(find_parts(docs, text, key).withColumn("uid", F.monotonically_increasing_id()), f"{folder}/parts", narrow=True)
     item = F.struct(F.col("start"), F.when(F.col("kind") == "weak", 3).otherwise(4).alias("rank"), F.col("end"))
     linked = link(parts, scope).groupBy("uid").agg(F.collect_list(item).alias("linked"))
     rows = parts.join(linked, "uid", "left")

@@ -329,7 +329,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, percent
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "file", "docs", "ids", "bytes"])
 
-    files = stage(ordered.mapInArrow(save, _MANIFEST), f"{folder}/files")
+    files = stage(ordered.mapInArrow(save, _MANIFEST), f"{folder}/files", narrow=True)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return stage(files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long")), f"{folder}/manifest")
 

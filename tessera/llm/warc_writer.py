@@ -143,7 +143,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "part", "file", "records", "bytes", "sha256"])
 
     cols = keyed.select("page_id", "url", "html", "digest", "first", "shard")
-    return stage(cols.mapInArrow(archive, _MANIFEST), f"{folder}/manifest")
+    return stage(cols.mapInArrow(archive, _MANIFEST), f"{folder}/manifest", narrow=True)
 
 
 _RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload string"
