@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, table
+from ._shared import in_files, small_batches, table
 
 PIECE = 1 << 15
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -89,4 +89,5 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return encode_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents")
+    return in_files(encode_digests(docs, path, public_tokenizers.PATTERN), docs)

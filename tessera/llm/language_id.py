@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, table
+from ._shared import in_files, small_batches, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS, _FIELD = 120_000, 40
@@ -173,4 +173,4 @@ def predict(docs: DataFrame, words: dict[str, list[str]], keep: tuple[str, ...]
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, learn(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return in_files(found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"), docs)
