@@ -172,7 +172,7 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "run.jsonl").write_text('{"session": "s", "step": 1, "tool": "search"}\nnoise\n{"session": "s", "step": 2, "tool": "get", "error": "no"}\n')
     assert [(r.tool, r.ok) for r in files.transcripts(spark, str(tmp_path / "run.jsonl")).orderBy("step").collect()] == [("search", True), ("get", False)]
     src = tmp_path / "src"
-    for name, body in {"a.ts": b"export class A {}\nfunction b() {}", "vendor/c.ts": b"class C {}", "d.txt": b"x", "e.rs": b"\0" * 100, "f.lua": b""}.items():
+    for name, body in {"a.ts": b"export class A {}\nfunction b() {}", "vendor/c.ts": b"class C {}", "d.txt": b"x", "e.rs": b"\0" * 100, "f.lua": b"-- x"}.items():
         (src / name).parent.mkdir(parents=True, exist_ok=True)
         (src / name).write_bytes(body)
     code = files.code_files(spark, str(src))
