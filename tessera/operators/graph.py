@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import tempfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,32 +155,24 @@ def edgeless(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where(t.live() & t.authored()).select("id").join(ends, "id", "left_anti")
 
 
-def backbone(edges: DataFrame) -> DataFrame:
-    """A spanning forest that prefers strong edges: Kruskal's order (strength, weight, ids) within
-    each component; components are dealt to tasks."""
+def backbone(edges: DataFrame, most: int = 40) -> DataFrame:
+    """A spanning forest (src, dst, type) that prefers strong edges: the one that Kruskal's order
+    (strength, weight, ids) gives. The order is total, so that forest is unique, and Boruvka's rounds
+    find it in parallel: each tree takes its first outward edge, then trees that meet are joined."""
     strength = (
         F.when(F.col("type") == "supersedes", 5).when((F.col("provenance") == "agent") & (F.col("type") != "similar_to"), 4).when(F.col("type") == "derived_from", 3).when(F.col("type") == "similar_to", 1).otherwise(2)
     )
-    rows = edges.where("src <> dst").withColumn("strength", strength)
-    roots = components(rows.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    own = rows.join(roots.withColumnRenamed("id", "src"), "src").select("root", "src", "dst", "type", "strength", "weight")
-
-    def kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["strength", "weight", "src", "dst", "type"], ascending=[False, False, True, True, True])
-        parent: dict = {}
-
-        def find(x):
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        keep = []
-        for k, (a, b) in enumerate(zip(pdf.src, pdf.dst)):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[a] = b
-                keep.append(k)
-        return pdf.iloc[keep][["root", "src", "dst", "type"]]
-
-    return own.groupBy("root").applyInPandas(kruskal, "root string, src string, dst string, type string")
+    key = F.struct((-strength).alias("s"), (-F.col("weight")).alias("w"), "src", "dst", "type")
+    left = settle(edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), key.alias("e")))
+    forest = left.limit(0).select("e")
+    for _ in range(most):
+        ends = left.select("a", "e").unionByName(left.select(F.col("b").alias("a"), "e"))
+        picked = settle(ends.groupBy("a").agg(F.min("e").alias("e")).select("e").distinct())
+        if picked.isEmpty():
+            return forest.select("e.src", "e.dst", "e.type")
+        forest = settle(forest.unionByName(picked).distinct())
+        joined = left.join(picked, "e", "left_semi").select("a", "b")
+        roots = components(joined)
+        left = left.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
+        left = settle(left.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "e").where("a <> b"))
+    raise RuntimeError("the forest did not settle")

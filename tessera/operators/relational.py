@@ -72,7 +72,13 @@ def keyset_page(df: DataFrame, after: tuple[float, int, str] | None, limit: int)
 
 
 def within_budget(df: DataFrame, key: str, order: Sequence[str], cost: str, budget: int, item: str) -> DataFrame:
-    """Greedy selection in order: an item that would overflow is skipped, later smaller ones may fit."""
+    """Greedy selection in order: an item that would overflow is skipped, later smaller ones may fit.
+
+    What is used only grows, so once an item of some cost is skipped all later ones of that cost are:
+    of each cost the first budget / cost items are enough, and a key of any size sends at most
+    budget x ln(budget) items to the walk. Items without cost always fit."""
+    cut = Window.partitionBy(key, cost).orderBy(*order, item)
+    costly = df.where(F.col(cost) > 0).withColumn("_n", F.row_number().over(cut)).where((F.col("_n") <= budget) & (F.col("_n") * F.col(cost) <= budget))
     items = F.sort_array(F.collect_list(F.struct(*order, item, cost)))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("kept"))
 
@@ -83,7 +89,8 @@ def within_budget(df: DataFrame, key: str, order: Sequence[str], cost: str, budg
         )
 
     kept = F.aggregate("items", start, step)
-    return df.groupBy(key).agg(items.alias("items")).select(key, F.explode(kept["kept"]).alias(item))
+    walked = costly.groupBy(key).agg(items.alias("items")).select(key, F.explode(kept["kept"]).alias(item))
+    return walked.unionByName(df.where(F.col(cost) <= 0).select(key, item))
 
 
 def branch_delta(before: DataFrame, after: DataFrame) -> DataFrame:

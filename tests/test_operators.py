@@ -130,6 +130,51 @@ def test_capped_matching(spark):
     assert got == {("a", "b"), ("a", "c"), ("c", "d")}
 
 
+def test_capped_matching_is_the_greedy_one(spark):
+    rng = random.Random(9)
+    rows = sorted({(f"{a:02d}", f"{b:02d}", rng.choice([0.5, 0.6, 0.7])) for a, b in ((rng.randrange(15), rng.randrange(15, 30)) for _ in range(120))})
+    rows = list({r[:2]: r for r in rows}.values())
+    want, n = set(), {}
+    for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if n.get(a, 0) < 3 and n.get(b, 0) < 3:
+            n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+            want.add((a, b))
+    assert {(r.a, r.b) for r in writing.capped_matching(spark.createDataFrame(rows, "a string, b string, score double"), 3).collect()} == want
+
+
+def test_backbone_is_kruskals(spark):
+    rng = random.Random(4)
+    kinds = ["supersedes", "derived_from", "similar_to", "references"]
+    rows = list({(f"{rng.randrange(20):02d}", f"{rng.randrange(20):02d}", rng.choice(kinds)): rng.choice([0.5, 0.7]) for _ in range(50)}.items())
+    rows = [(*k, rng.choice(["agent", "system"]), w) for k, w in rows]
+    strength = lambda t, p: 5 if t == "supersedes" else 4 if p == "agent" and t != "similar_to" else 3 if t == "derived_from" else 1 if t == "similar_to" else 2
+    root, want = {}, set()
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for s, d, t, p, w in sorted(rows, key=lambda r: (-strength(r[2], r[3]), -r[4], r[0], r[1], r[2])):
+        if find(s) != find(d):
+            root[find(s)] = find(d)
+            want.add((s, d, t))
+    got = graph.backbone(spark.createDataFrame(rows, "src string, dst string, type string, provenance string, weight double")).collect()
+    assert {tuple(r) for r in got} == want
+
+
+def test_budget_matches_the_plain_walk(spark):
+    rng = random.Random(6)
+    rows = [("k", i, f"i{i:03d}", rng.choice([0, 1, 5, 30, 60, 90, 200])) for i in range(200)]
+    used, want = 0, set()
+    for _, _, item, cost in rows:
+        if used + cost <= 300:
+            used += cost
+            want.add(item)
+    got = relational.within_budget(spark.createDataFrame(rows, "key string, pos int, item string, cost long"), "key", ["pos"], "cost", 300, "item")
+    assert {r.item for r in got.collect()} == want
+
+
 def test_xorshift_is_the_32_bit_sequence():
     g, s, want = evaluation.xorshift(1), 1, []
     for _ in range(5):
