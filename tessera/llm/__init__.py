@@ -18,8 +18,10 @@ QUERIES = {
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op4_url_rules": url_rules.ORACLE,
+    "op6_secret_scan": secret_scan.ORACLE,
     "op7_warc_writer": warc_writer.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

@@ -291,3 +291,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_grams")
+
+
+#: All pairs that share a gram, by plain joins: exact, and only for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+c AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 10 * c >= 8 * (a.n + b.n - c)),
+r(x, y) AS (SELECT rid, rid FROM w UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT w.doc_id, (SELECT min(v.doc_id) FROM r JOIN w v ON v.rid = r.y WHERE r.x = w.rid) AS class_id, (SELECT count(*) FROM l WHERE l.x = w.rid) AS n_links, coalesce(n.n, 0) AS n_grams FROM w LEFT JOIN n USING (rid)
+"""

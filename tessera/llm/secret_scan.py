@@ -105,3 +105,37 @@ def scan(docs: DataFrame, scope: int = SCOPE, text: str = "text", key: str = "do
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL for ``op6_secret_scan``."""
+    patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, WEAK, ENDPOINT)))
+
+    def part(rank: int, kind: str) -> str:
+        p = patterns[kind].replace("'", "''")
+        keep = {
+            "assign": f"WHERE length(regexp_extract(x.hit, '{p}', 2)) >= 6",
+            "weak": "WHERE length(x.hit) <= 128 AND regexp_matches(x.hit, '[0-9]') AND regexp_matches(x.hit, '[a-z]') AND regexp_matches(x.hit, '[A-Z]')",
+        }.get(kind, "")
+        return f"""{kind}_m AS (SELECT rid, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')),
+{kind}_p AS (SELECT rid, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'start': cast(list_sum(list_transform(gaps[1:i], lambda z: length(z)))
+  + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS bigint), 'hit': m[i]}})) AS x FROM {kind}_m),
+{kind} AS (SELECT rid, {rank} AS rank, '{kind}' AS kind, x.start AS s, x.start + length(x.hit) AS e FROM {kind}_p {keep})"""
+
+    near = lambda a, b: f"EXISTS (SELECT 1 FROM {b} y WHERE y.rid = {a}.rid AND y.s <= {a}.e + {SCOPE} AND y.e >= {a}.s - {SCOPE})"
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS[:3])
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),\n"
+        + ",\n".join(part(i, k) for i, k in enumerate(KINDS))
+        + f""",
+w2 AS (SELECT * FROM weak WHERE {near("weak", "access")}), sec AS (SELECT * FROM assign UNION ALL SELECT * FROM hex UNION ALL SELECT * FROM w2),
+e2 AS (SELECT * FROM endpoint WHERE {near("endpoint", "access")} AND {near("endpoint", "sec")}),
+base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex), every AS (SELECT * FROM base UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM e2),
+b AS (SELECT rid, {listed}, {counts} FROM base GROUP BY rid), a AS (SELECT rid, {listed} FROM every GROUP BY rid)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
+    )
+
+
+ORACLE = _oracle()
