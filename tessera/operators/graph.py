@@ -17,6 +17,8 @@ from .relational import symmetrise
 CONDUCTANCE = {"derived_from": 0.5, "documents": 0.7, "references": 0.7, "relates_to": 0.5, "similar_to": 0.3}
 TRAVERSABLE = tuple(CONDUCTANCE)
 PPR_ALPHA, PPR_ROUNDS, PPR_EPSILON = 0.5, 20, 1e-6
+#: Rounds of PageRank between two writes and looks at the change.
+ROUNDS_A_JOB = 4
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -58,9 +60,12 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = PPR
     start = settle(seeds.withColumn("p", F.col("score") / total).where("p > 0").select("query_id", F.col("id").alias("a"), "p"))
     ranks = start.withColumnRenamed("p", "r")
     restart = start.select("query_id", "a", ((1 - alpha) * F.col("p")).alias("m"))
-    for _ in range(rounds):
-        flow = ranks.join(moves, ["query_id", "a"]).select("query_id", F.col("b").alias("a"), (alpha * F.col("r") * F.col("share")).alias("m"))
-        new = settle(flow.unionByName(restart).groupBy("query_id", "a").agg(F.sum("m").alias("r")))
+    for done in range(0, rounds, ROUNDS_A_JOB):
+        new = ranks
+        for _ in range(min(ROUNDS_A_JOB, rounds - done)):
+            flow = new.join(moves, ["query_id", "a"]).select("query_id", F.col("b").alias("a"), (alpha * F.col("r") * F.col("share")).alias("m"))
+            new = flow.unionByName(restart).groupBy("query_id", "a").agg(F.sum("m").alias("r"))
+        new = settle(new)
         change = new.withColumnRenamed("r", "n").join(ranks, ["query_id", "a"], "full").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("n", F.lit(0.0)) - F.coalesce("r", F.lit(0.0)))).alias("d"))
         ranks = new
         if (change.agg(F.max("d")).first()[0] or 0) < epsilon:
