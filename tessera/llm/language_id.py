@@ -29,6 +29,7 @@ from ._shared import in_files, small_batches, table
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS, _FIELD = 120_000, 40
 _PREPARED: dict = {}
+MANY_LABELS = 1000
 
 
 class Automaton:
@@ -134,6 +135,9 @@ def learn(docs: DataFrame, docs_per_language: int = 400, chars_per_language: int
     place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     narrow = rows.select("doc_id", "lang", F.coalesce(place, F.lit(0.0)).alias("h"))
     limits = narrow.groupBy("lang").agg((4.0 * docs_per_language / F.count("*")).alias("limit"))
+    few = limits.limit(MANY_LABELS + 1).collect()
+    if len(few) <= MANY_LABELS:  # a checked size; with more labels none can be hot enough to matter
+        limits = F.broadcast(docs.sparkSession.createDataFrame(few, limits.schema))
     near = narrow.join(limits, "lang").where("h <= limit").select("doc_id", "lang", "h")
     ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     chosen = ranked.where(F.col("n") <= docs_per_language).select("doc_id", "lang", "h").distinct()
