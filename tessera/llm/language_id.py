@@ -102,7 +102,7 @@ class Model(dict):
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Label, score and the winner's phrases per character."""
         words = _LETTERS.findall((text or "").lower())
-        if not words or not self.labels:
+        if not self.labels or not any(c.isalpha() for w in words for c in w):  # \w has fractions and the like too
             return "und", 0.0, 0.0
         if len(self) > _CACHE_WORDS:
             self.clear()

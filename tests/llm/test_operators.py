@@ -367,7 +367,7 @@ def test_language_id(spark, empty):
     r = random.Random(4)
     words = {"aa": ["lom", "lomar", "mirol", "arol"], "bb": ["quix", "xiqu", "zuqi", "xuzi"]}
     body = [(i, " ".join(r.choices(words[k], k=40)), k, "s") for i in range(120) for k in [("aa", "bb")[i % 2]]]
-    body += [(500, None, "aa", "s"), (501, "123 !!", "bb", "s"), (502, "lom lomar", None, "s"), (502, "lom lomar", None, "s"), (None, "QUIX xiqu", None, "s"), (503, "lom " * 30_000, None, "s")]
+    body += [(500, None, "aa", "s"), (501, "123 ½² !!", "bb", "s"), (502, "lom lomar", None, "s"), (502, "lom lomar", None, "s"), (None, "QUIX xiqu", None, "s"), (503, "lom " * 30_000, None, "s")]
     docs = spark.createDataFrame(body, "doc_id bigint, text string, lang string, score string")
     model = language_id.learn(docs)
     assert set(model) == {"aa", "bb"}
