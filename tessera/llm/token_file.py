@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ._shared import Publisher, range_shards, read_file, small_batches, stage, table, width, work_dir
 
 MAGIC, BLOCK, SEGMENT, PERCENTILE, SHARD_BYTES, END_ID = b"PFR1", 256, 2048, 90, 64 << 20, 2
-_CACHE = 1_000_000  # entries of about 200 bytes
+_CACHE = 400_000  # entries of about 200 bytes
 
 
 # --- the codec -------------------------------------------------------------------------------
