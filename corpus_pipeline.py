@@ -6,7 +6,7 @@ docs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_codec, exact_dedup, language_id, mixing, ngram_join
@@ -24,19 +24,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return in_files(known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS), docs)
 
 
+def one_each(docs: DataFrame, chosen: DataFrame, key: Column, folder: str) -> DataFrame:
+    """A row of ``docs`` for each distinct (d, k) of ``chosen``, d being a doc_id, null included, and k
+    its ``key``. Of rows that share both, the first by source, lang, n_chars and text stays, once."""
+    counted = stage(chosen.groupBy("d", "k").agg(F.count("*").alias("n")), folder, narrow=True)
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (key == F.col("k"))
+    once = docs.select(*COLUMNS).join(counted.where("n = 1"), same, "left_semi")
+    more = counted.where("n > 1")
+    if more.isEmpty():
+        return once
+    first = F.min(F.struct("source", "lang", "n_chars", "text")).alias("row")
+    rows = docs.select(*COLUMNS).join(more, same, "left_semi").groupBy("doc_id", key.alias("k")).agg(first)
+    return once.unionByName(rows.select("doc_id", "row.*").select(*COLUMNS))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    marked = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("sha")).distinct()
+    """Of equal texts one row with the largest doc_id stays, or one without if none has any."""
+    marked = exact_dedup.exact_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    chosen = marked.select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("k"))
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    rows = docs.select(*COLUMNS).join(marked, F.col("doc_id").eqNullSafe(F.col("d")) & (sha == F.col("sha")), "left_semi")
-    return in_files(rows, docs)
+    return in_files(one_each(docs, chosen, sha, work_dir(spark, "drop-copies")), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-gram similarity the one with the smallest doc_id stays."""
-    stays = ngram_join.near_duplicates(docs).where("stays").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k"))
-    return in_files(docs.select(*COLUMNS).join(stays, same, "left_semi"), docs)
+    stays = ngram_join.near_duplicates(docs).where("stays").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    return in_files(one_each(docs, stays, F.xxhash64("text"), work_dir(spark, "drop-near-copies")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

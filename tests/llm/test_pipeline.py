@@ -96,3 +96,14 @@ def test_empty(spark):
     for _, step in cp.STAGES:
         docs = step(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_repeated_rows(spark):
+    a, b, c = ("lom lomar mirol arol tolam ramo " + " ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a, "aa", "s1", 0)] * 3 + [(1, b, "aa", "s0", 0)] * 2 + [(1, b, "bb", "s1", 0), (2, c, "aa", "s0", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    once = [(None, a, "aa", "s1", 0), (1, b, "aa", "s0", 0), (2, c, "aa", "s0", 0)]
+    for step in (cp.drop_copies, cp.drop_near_copies):
+        assert Counter(map(tuple, step(spark, docs, "").collect())) == Counter(once)
+    placed = Counter(tuple(x) for x in cp.mix_sources(spark, spark.createDataFrame(once, SCHEMA), "").collect())
+    assert placed.keys() <= set(once) and max(placed.values()) <= 3
