@@ -206,6 +206,19 @@ def test_verdicts():
     assert not compression_rules.compression(b"the same words again " * 400, compression_rules.Bands(), z)[2]
 
 
+def test_every_chunk_is_judged():
+    import zstandard
+
+    z, r, wide = zstandard.ZstdCompressor(level=3), random.Random(5), compression_rules.Bands(whole=((300, 0.1, 1e9),))
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(400)]
+    prose, same = (" ".join(r.choices(words, k=3000)).encode(), b"the same words again " * 400)
+    share = lambda raw: compression_rules.compression(raw, wide, z)[1]
+    assert share(prose[:12288]) == 0
+    assert share(prose[:4096] + same[:8000]) > 0.5  # of which the last chunk is no whole one
+    assert share(same[:5000]) == 1 and not compression_rules.compression(same[:5000], wide, z)[2]  # under two chunks
+    assert compression_rules.compression(same[:2000], compression_rules.Bands(), z)[1:] == (1.0, False)  # under one
+
+
 # --- 4
 
 
