@@ -5,8 +5,11 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera import streaming
+from tessera import plans, streaming
 from tessera.operators import evaluation, graph, ranking, relational, text, vector, writing
+from tessera.sources.corpus import Store
+
+DIR = "/root/testdata/sf0.001"
 
 
 def test_mmr_prefers_variety():
@@ -230,3 +233,8 @@ def test_merged_notes_say_nothing_twice():
     note = "intro\n\n## Facts\n- one\n- two\n\n## Other\ntext"
     got = writing.merge_notes(note, "Twin", [("Facts", "three"), ("Facts", "- one"), ("Nowhere", "four")], ["a or b", "a or b"])
     assert got == "intro\n\n## Facts\n- one\n- two\n- three\n\n## Other\ntext\n\n## Merged from: Twin\n- four\n\n## Unresolved conflicts\n- a or b"
+
+
+def test_links_of_every_note_are_rewritten(spark):
+    got = [r.id for r in plans.queries()["x3_rewrite_links"](spark, DIR).collect()]
+    assert sorted(got) == sorted(r.id for r in Store(spark, DIR).linked.select("id").collect())
