@@ -217,7 +217,7 @@ def _(s):
     from tessera.operators.relational import within_budget
 
     rows = live_authored(s).join(s.current.select(F.col("node_id").alias("id"), "content", F.col("ts_ms").alias("at")), "id")
-    rows = rows.select(F.coalesce("project", F.lit("(none)")).alias("scope"), (-F.col("at")).alias("newest"), "id", x.estimate_tokens(F.substring("content", 1, 400)).alias("tokens"))
+    rows = rows.select(F.coalesce("project", F.lit("(none)")).alias("scope"), (-F.col("at")).alias("newest"), "id", x.estimate_tokens(F.col("content")).alias("tokens"))
     return within_budget(rows, "scope", ["newest"], "tokens", 1500, "id")
 
 

@@ -238,3 +238,11 @@ def test_merged_notes_say_nothing_twice():
 def test_links_of_every_note_are_rewritten(spark):
     got = [r.id for r in plans.queries()["x3_rewrite_links"](spark, DIR).collect()]
     assert sorted(got) == sorted(r.id for r in Store(spark, DIR).linked.select("id").collect())
+
+
+def test_working_set_weighs_whole_notes(spark):
+    used = {r.node_id: -(-len(r.content) // 4) for r in Store(spark, DIR).current.select("node_id", "content").collect() if r.content}
+    spent = {}
+    for r in plans.queries()["e19_working_set"](spark, DIR).collect():
+        spent[r.scope] = spent.get(r.scope, 0) + used.get(r.id, 0)
+    assert spent and max(spent.values()) <= 1500
