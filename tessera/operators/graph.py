@@ -97,16 +97,18 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
         if new == mark:
             break
         mark = new
+    else:
+        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def terminal_successors(ids: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 30) -> DataFrame:
+def terminal_successors(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, successor: live nodes reached from ``ids`` along live ``supersedes`` edges (src replaces
     dst) through invalidated ones. Cycles end where nothing new is reached."""
     step = edges.where(t.live() & (F.col("type") == "supersedes")).select(F.col("dst").alias("at"), F.col("src").alias("next"))
     gone = nodes.where(~t.live()).select(F.col("id").alias("at"))
     seen = rim = settle(ids.select("id", F.col("id").alias("at")).distinct())
-    for _ in range(most):
+    while True:
         rim = rim.join(gone, "at", "left_semi").join(step, "at").select("id", F.col("next").alias("at")).distinct()
         rim = settle(rim.join(seen, ["id", "at"], "left_anti"))
         if rim.isEmpty():

@@ -142,7 +142,7 @@ def top_k(scored: DataFrame, k: int, key: str, by: str = "score") -> DataFrame:
 def phrase_hits(docs: DataFrame, key: str, field: str, phrases: DataFrame) -> DataFrame:
     """Documents that hold a phrase (phrase_id, phrase of n tokens) as consecutive tokens: shingles
     of the lengths asked for, joined by equality."""
-    sizes = [r[0] for r in phrases.select(F.size(tokens(F.col("phrase")))).distinct().limit(16).collect() if r[0]]
+    sizes = [r[0] for r in phrases.select(F.size(tokens(F.col("phrase")))).distinct().collect() if r[0]]
     asked = phrases.select("phrase_id", F.array_join(tokens(F.col("phrase")), " ").alias("shingle"))
     t = docs.select(key, tokens(F.col(field)).alias("t"))
     out = None

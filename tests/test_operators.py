@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera import plans, streaming
@@ -246,3 +247,24 @@ def test_working_set_weighs_whole_notes(spark):
     for r in plans.queries()["e19_working_set"](spark, DIR).collect():
         spent[r.scope] = spent.get(r.scope, 0) + used.get(r.id, 0)
     assert spent and max(spent.values()) <= 1500
+
+
+def test_unsettled_components_are_an_error(spark):
+    edges = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(40)], "a string, b string")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, most=1)
+
+
+def test_successors_of_a_long_chain(spark):
+    n = 33
+    nodes = spark.createDataFrame([(f"n{i:02d}", None if i == n else 1) for i in range(n + 1)], "id string, invalidated_ms bigint")
+    edges = spark.createDataFrame([(f"n{i + 1:02d}", f"n{i:02d}", "supersedes", None) for i in range(n)], "src string, dst string, type string, invalidated_ms bigint")
+    got = graph.terminal_successors(nodes.where("id = 'n00'").select("id"), nodes, edges).collect()
+    assert [(r.id, r.successor) for r in got] == [("n00", f"n{n}")]
+
+
+def test_phrases_of_many_lengths(spark):
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "id int, body string")
+    phrases = spark.createDataFrame([(n, " ".join(words[:n])) for n in range(1, 21)], "phrase_id int, phrase string")
+    assert {r.phrase_id for r in text.phrase_hits(docs, "id", "body", phrases).collect()} == set(range(1, 21))
