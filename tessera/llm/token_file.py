@@ -25,6 +25,7 @@ doc_id are ordered by their text and each has its place. An empty table gives an
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from ._shared import Publisher, range_shards, read_file, small_batches, stage, table, width, work_dir
 
 MAGIC, BLOCK, SEGMENT, PERCENTILE, SHARD_BYTES, END_ID = b"PFR1", 256, 2048, 90, 64 << 20, 2
-_CACHE = 400_000  # entries of about 200 bytes
+_CACHE = 300_000  # entries of about 200 bytes in each of two generations
 
 
 # --- the codec -------------------------------------------------------------------------------
@@ -223,7 +224,7 @@ class Pieces(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
-        self.line, self.space, self.tails = self.whole("\n"), self.letters[32], {}
+        self.line, self.space, self.tails, self.older = self.whole("\n"), self.letters[32], {}, {}
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # this table is the cache
 
@@ -235,16 +236,34 @@ class Pieces(dict):
             self.tails[text] = self.whole(text)
         return self.tails.get(text) or self.whole(text)
 
+    def age(self) -> None:
+        """Keep what was asked for since the last time, forget what was not."""
+        self.older = dict(self)
+        self.clear()
+
+    def first(self, text: str) -> bytes:
+        """The piece that a text begins with: no space goes before it."""
+        base = text.rstrip(".,;:!?")
+        if not (base.isascii() and base.isalpha()):
+            return self.whole(text)
+        return self.word(base) + (self.tail(text[len(base) :]) if len(base) < len(text) else b"")
+
+    def word(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return _PACKS[len(ids)].pack(*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[-1].isspace():
             raise Odd
+        if (got := self.older.get(piece)) is not None:
+            self[piece] = got
+            return got
         base = piece.rstrip(".,;:!?")
         body = base[1:] if piece[0] == "\n" else base
         if body.isalpha():
             head = self.line if piece[0] == "\n" else b""
             letters = body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(letters if head else self.space + letters)]
-            got = head + (_PACKS[len(ids)].pack(*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes())
+            got = head + self.word(letters if head else self.space + letters)
             if len(base) < len(piece):
                 got += self.tail(piece[len(base) :])
         else:
@@ -254,7 +273,8 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library.
+    """Ids of whole texts by the tokenizers library, which is used as it is loaded: the string of an
+    added token in a text (``<|endoftext|>``) is that token. Texts that hold such a string are encoded whole.
 
     The byte-level pattern never matches across a border between a character that is no white space
     and a space or line break, so a text all of whose spaces and line breaks follow such characters
@@ -265,9 +285,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.known = Pieces(self.tokenizer)
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -275,18 +296,18 @@ class Encoder:
 
     def encode_one(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
-        if not rest:
+        if not rest or self.added.search(text):
             return self.known.whole(text)
         try:
             if not first or first[-1].isspace():
                 raise Odd
-            return self.known.whole(first) + b"".join(map(self.known.__getitem__, rest))
+            return self.known.first(first) + b"".join(map(self.known.__getitem__, rest))
         except Odd:
             return self.known.whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _CACHE:
-            self.known.clear()
+            self.known.age()
         return [self.encode_one(t) for t in texts]
 
 

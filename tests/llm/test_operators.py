@@ -366,6 +366,16 @@ def test_token_file(spark, docs, rows, empty):
     assert none.count() == 0 and token_file.read(none, folder + "-0").count() == 0
 
 
+def test_added_tokens_are_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, e = Tokenizer.from_file(path), token_file.Encoder(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z <|endoftext", "no such thing", "Word, again", "Über uns", "1st of", "..."]
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in np.frombuffer(e.encode(texts)[0], "<u4")
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="ab1é! \t\x1c \n'", max_size=30), min_size=1, max_size=4))
 def test_pieces_encode_as_the_whole(texts):
