@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import in_files, small_batches, table
+from ._shared import gathered, table
 
 PIECE = 1 << 15
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -74,7 +74,6 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    small_batches(docs.sparkSession)
     coded = docs.select(F.col(key).alias("doc_id"), encode(F.col(text), path, pattern).alias("ids"))
     coded = coded.withColumn("decoded", decode(F.col("ids"), path, pattern))
     return coded.select(
@@ -90,4 +89,4 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents")
-    return in_files(encode_digests(docs, path, public_tokenizers.PATTERN), docs)
+    return gathered(encode_digests(docs, path, public_tokenizers.PATTERN))

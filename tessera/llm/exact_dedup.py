@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Publisher, read_file, remove, small_batches, stage, table, width, work_dir
+from ._shared import Publisher, read_file, remove, stage, table, width, work_dir
 
 MAGIC = b"XHI1"
 BUCKET_BYTES = 1 << 20
@@ -182,7 +182,6 @@ def build_index(
     text: h, text_sha256, n_bytes, keep_id, group_size, depth (of its bucket), chain (its place).
     They are written to the folder ``classes``, below ``folder`` unless it is given."""
     spark = docs.sparkSession
-    small_batches(spark)
     prefix = max(1, ((owners or width(spark)) - 1).bit_length())
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(hashed(body).alias("h"), body.alias("text"), F.col(key).cast("long").alias("id"))

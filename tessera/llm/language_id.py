@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import in_files, small_batches, table
+from ._shared import in_files, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS, _FIELD = 120_000, 40
@@ -156,7 +156,6 @@ def learn(docs: DataFrame, docs_per_language: int = 400, chars_per_language: int
 def predict(docs: DataFrame, words: dict[str, list[str]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and lang_pred, score, phrase_rate for every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     key = hashlib.sha256(repr(sorted(words.items())).encode()).hexdigest()
     model = spark.sparkContext.broadcast(words)  # its size is bounded by the sample's parameters
 

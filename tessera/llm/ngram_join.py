@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import remove, small_batches, stage, table, work_dir
+from ._shared import remove, slices, stage, table, work_dir
 
 N, THRESHOLD, RECALL, BLOCK, BLOCK_GRAMS = 5, 0.8, 0.999, 2048, 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -102,8 +102,8 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, text: str, key: s
     seen_bands = bands, rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict = {}  # of the batch: equal texts are hashed once
-        for b in batches:
+        last: dict = {}  # of the slice: equal texts are hashed once
+        for b in slices(batches, 512):
             last.clear()
             out = []
             for t in b.column("text"):
@@ -214,7 +214,6 @@ def _roots(linked: np.ndarray, square: bool) -> np.ndarray:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
     """See the module: doc_id, text_key, class_id, n_links, n_grams, stays for every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = work_dir(spark, "ngram-join")
     bands, rows = choose_bands(threshold, recall)
     signed = stage(signatures(docs, bands, rows, n, text, key), f"{folder}/signed", narrow=True)
@@ -236,7 +235,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     with_text = chosen.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [grams(t.as_py(), n) for t in b.column("text")]
             keep = pa.array([digest(s) == d for s, d in zip(sets, b.column("digest").to_pylist())], pa.bool_())
             cols = [b.column(c) for c in ("digest", "root", "parts", "part", "copies")]

@@ -16,12 +16,12 @@ A block holds 256 ids; the last is filled up with its first id. Each subtracts i
 at the width that ``percentile`` of its differences need; larger ones keep their low bits in the pack
 and their high part in the exception list. The index of block starts lets a reader decode any range.
 
-Shards are runs of equal doc_id ranges (``range_shards``), one task each, written under temporary
+Shards are ranges of (doc_id, hash of the text) of about equal bytes (``range_shards``), one task each, written under temporary
 names and moved; the manifest names the committed files and gives each its offset: the ids before
 it, a running sum over one row for each shard.
 
 A null text counts as empty and gives the end id alone. Null doc_ids come first. Rows that repeat a
-doc_id are ordered by their text and each has its place. An empty table gives an empty manifest."""
+doc_id are ordered by the hash of their text and then by the text, and each has its place. An empty table gives an empty manifest."""
 
 from __future__ import annotations
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Publisher, range_shards, read_file, small_batches, stage, table, width, work_dir
+from ._shared import Publisher, range_shards, read_file, slices, stage, table, width, work_dir
 
 MAGIC, BLOCK, SEGMENT, PERCENTILE, SHARD_BYTES, END_ID = b"PFR1", 256, 2048, 90, 64 << 20, 2
 _CACHE = 300_000  # entries of about 200 bytes in each of two generations
@@ -323,10 +323,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, percent
     """Write the ids of ``docs`` (doc_id, text) to ``folder``. Returns the manifest with ``start``,
     the number of ids in all files before."""
     spark = docs.sparkSession
-    small_batches(spark, 256)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shard, shards = range_shards(rows, "doc_id", F.octet_length("text").cast("long") + 1, shard_bytes, width(spark))
-    ordered = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    shard, shards = range_shards(rows, "doc_id", F.col("h"), F.octet_length("text") + F.lit(1), shard_bytes, width(spark))
+    ordered = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, now, files = encoder(path), None, None, []
@@ -335,7 +335,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, percent
             out.commit()
             files.append((now, name, len(out.docs), out.ids, out.out.size))
 
-        for b in batches:
+        for b in slices(batches):
             ids = b.column("doc_id").to_pylist()
             for i, s, blob in zip(ids, b.column("shard").to_pylist(), enc.encode(b.column("text").to_pylist())):
                 if s != now:

@@ -1,6 +1,6 @@
 """Operator 7: deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by id: shards are runs of equal id ranges cut by payload bytes, the same in
+Records are range-sorted by id: shards are ranges of (id, payload hash) of about equal bytes, the same in
 each run (``range_shards``). One task writes one shard: each record is a gzip member of its own with
 regenerated headers (type, id, target, digests, length), and the file is rolled before a record that
 would take its compressed size over ``roll_bytes``. Files are written under temporary names and
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Publisher, range_shards, read_file, small_batches, stage, table, width, work_dir
+from ._shared import Publisher, range_shards, read_file, slices, stage, table, width, work_dir
 
 LEAST, ROLL_BYTES, SHARD_BYTES, DATE = 100, 64 << 20, 256 << 20, "2000-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -87,20 +87,19 @@ _MANIFEST = "shard int, part int, file string, records bigint, bytes bigint, sha
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, least: int = LEAST) -> DataFrame:
     """Write the archives of ``pages`` (page_id, url, html) to ``folder``; returns the manifest."""
     spark = pages.sparkSession
-    small_batches(spark)
     body = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html")).withColumn("h", F.xxhash64("html"))
     size = F.octet_length("html").cast("long")
     # narrow rows decide what is a revisit; the payloads are shuffled once, to be sorted, and what was
     # decided meets them in the sort: a mark stands before the records of its page
-    digests = rows.where(F.octet_length("html") >= least).select("page_id", F.sha2("html", 256).alias("digest"))
+    digests = rows.where(F.octet_length("html") >= least).select("page_id", F.sha2("html", 256).alias("digest"), "h")
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    marks = digests.join(firsts, "digest").where("first IS NOT NULL AND NOT first <=> page_id").select("page_id", "digest", "first").distinct()
-    shard, shards = range_shards(rows, "page_id", size + 300, shard_bytes, width(spark))
-    records = rows.select("page_id", "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("first"), F.lit(1).alias("turn"), F.xxhash64("html").alias("h"))
+    marks = digests.join(firsts, "digest").where("first IS NOT NULL AND NOT first <=> page_id").select("page_id", "digest", "first", "h").distinct()
+    shard, shards = range_shards(rows, "page_id", F.col("h"), size + 300, shard_bytes, width(spark))
+    records = rows.select("page_id", "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("first"), F.lit(1).alias("turn"), "h")
     nothing = [F.lit(None).cast("string").alias(c) for c in ("url", "html")]
-    both = records.unionByName(marks.select("page_id", *nothing, "digest", "first", F.lit(0).alias("turn"), F.lit(0).cast("bigint").alias("h")))
-    keyed = both.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("page_id", "turn", "h", "url")
+    both = records.unionByName(marks.select("page_id", *nothing, "digest", "first", F.lit(0).alias("turn"), "h"))
+    keyed = both.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("page_id", "h", "turn", "url")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, part, n, sha, files, shard_no, page = None, 0, 0, None, [], None, object()
@@ -111,7 +110,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
             out.commit()
             files.append((shard_no, part, name, n, out.size, sha.hexdigest()))
 
-        for b in batches:
+        for b in slices(batches):
             for i, url, html, digest, first, s in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "shard"))):
                 if i != page:
                     page = i
@@ -193,9 +192,9 @@ def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-q AS (SELECT *, strlen(h) AS payload_bytes, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM p)
+q AS (SELECT *, strlen(h) AS payload_bytes, min(page_id) OVER (PARTITION BY payload_digest) AS low, row_number() OVER (PARTITION BY payload_digest, page_id) AS nth FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND low IS NOT NULL AND (page_id IS DISTINCT FROM low OR nth > 1) AS again FROM q)
 SELECT page_id, cast(payload_bytes AS bigint) AS payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id <> low THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> low THEN low END AS refers_to
-FROM q
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN low END AS refers_to
+FROM r
 """

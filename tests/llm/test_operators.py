@@ -8,8 +8,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -326,6 +328,10 @@ def test_warc(spark):
         seen.add((i, h))
         want[i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None, None if again else h or ""] += 1
     assert Counter((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to, x.payload) for x in got) == want
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": pa.array([x[0] for x in rows], pa.int64()), "html": pa.array([x[2] for x in rows], pa.string())}))
+    columns = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    assert Counter(con.sql(f"SELECT {columns} FROM ({warc_writer.ORACLE})").fetchall()) == Counter(k[:5] for k in want.elements())
     sizes = manifest.collect()
     assert len(sizes) > 4 and sum(m.records for m in sizes) == len(rows) and all(m.bytes <= 3000 or m.records == 1 for m in sizes)
     again = warc_writer.write(pages.repartition(3), work_dir(spark, "warc-test"), roll_bytes=3000, shard_bytes=5000)
@@ -354,7 +360,9 @@ def test_token_file(spark, docs, rows, empty):
     manifest = token_file.write(docs, folder, path, shard_bytes=20_000)
     got = sorted((tuple(r) for r in token_file.read(manifest, folder).collect()), key=lambda r: r[1])
     plain = token_file.Encoder(path)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    texts = spark.createDataFrame([(r[1] or "",) for r in rows], "t string").select("t", F.xxhash64("t")).collect()
+    h = dict(map(tuple, texts))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1] or ""]))
     start = 0
     assert len(got) == len(rows)
     for g, r in zip(got, order):
@@ -449,9 +457,31 @@ def test_exact_dedup_edges(empty, docs):
     assert exact_dedup.exact_duplicates(docs).count() == docs.count()
 
 
+ENDS = [-(1 << 63), (1 << 63) - 1, -9 * 10**18, 9 * 10**18]
+
+
 def test_range_shards(spark):
-    df = spark.createDataFrame([(i, (i or 0) % 7) for i in [*range(50), 10_000, None]], "k bigint, w bigint")
-    shard, n = range_shards(df, "k", F.col("w"), 20, 1)
-    got = df.withColumn("s", shard).collect()
-    by = sorted((r for r in got if r.k is not None), key=lambda r: r.k)
-    assert [r.s for r in by] == sorted(r.s for r in by) and max(r.s for r in got) == n - 1 and n > 1
+    keys = [*range(500), *ENDS, *[7] * 400, *[None] * 600]
+    df = spark.createDataFrame([(i, n * 7919 % 100_003, 1 + n % 7) for n, i in enumerate(keys)], "k bigint, t bigint, w bigint").repartition(3)
+    shard, n = range_shards(df, "k", F.col("t"), F.col("w"), 200, 1)
+    got = sorted(df.withColumn("s", shard).collect(), key=lambda r: (r.k is not None, r.k or 0, r.t))
+    assert [r.s for r in got] == sorted(r.s for r in got) and got[0].s == 0 and got[-1].s == n - 1 and n > 15
+    load = Counter()
+    for r in got:
+        load[r.s] += r.w
+    assert max(load.values()) <= 600  # nulls and repeated keys are cut apart too
+    same, _ = range_shards(df.repartition(5), "k", F.col("t"), F.col("w"), 200, 1)
+    assert Counter(map(tuple, df.withColumn("s", same).collect())) == Counter(map(tuple, got))
+    assert range_shards(df.limit(0), "k", F.col("t"), F.col("w"), 200, 1)[1] == 1
+
+
+def test_ids_at_both_ends(spark):
+    rows = [(i, f"http://h/{i}", "payload %d " % (i % 3) * 20) for i in [*ENDS, 0, 1]]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    folder = work_dir(spark, "ends")
+    got = warc_writer.read(warc_writer.write(pages, folder, shard_bytes=300), folder).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+    docs = pages.selectExpr("page_id AS doc_id", "html AS text")
+    folder = work_dir(spark, "ends")
+    manifest = token_file.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), shard_bytes=300)
+    assert [r.doc_id for r in token_file.read(manifest, folder).orderBy("start").collect()] == sorted(r[0] for r in rows)
