@@ -1,7 +1,8 @@
 """Operator 4: URL filter rules by a sort-merge range join (native).
 
 A rule (host, path) fits its host and all subdomains where the url's path starts with the rule's.
-Each url is probed once for every suffix of its host at a label border, so a rule becomes one
+Each url is probed once for every suffix of its host at a label border, of at most as many labels as a
+rule has, so a rule becomes one
 interval over canonical keys: reversed host, a zero byte, path prefix. Prefix intervals nest or are
 disjoint. Rule starts, rule ends and probes are sorted by key; the sweep carries the stack of active
 rules as its top, and each rule knows the rule below it on the stack (``parents``). The sweep runs
@@ -69,9 +70,12 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     spark = urls.sparkSession
     folder = work_dir(spark, "url-rules")
     rules = stage(parents(numbered(rules)), f"{folder}/rules")
+    most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
+    # a suffix of more labels than any rule has fits none: what a host of any length costs is bounded by the rules
     labels = F.split("host", r"\.")
+    labels = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - F.lit(most - 1)), F.lit(most))
     suffix = F.expr("transform(sequence(1, size(labels)), i -> slice(labels, i, size(labels) - i + 1))")
-    probes = urls.where("host <> ''").withColumn("labels", labels).select("host", "path", F.explode(suffix).alias("labels"))
+    probes = urls.where((F.col("host") != "") & F.lit(most > 0)).withColumn("labels", labels).select("host", "path", F.explode(suffix).alias("labels"))
     probe = probes.select(_key(F.col("labels"), F.col("path")).alias("key"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("top"), "host", "path")
     nothing = [F.lit(None).cast("string").alias(c) for c in ("host", "path")]
     # a start shows its rule as the top, an end the rule below; 0 stands for an empty stack
