@@ -9,8 +9,8 @@ characters in the same document; an ``endpoint`` (a url) only where an identifie
 of ``scope`` characters and met by equi-join on document and cell, so a very long document with many
 parts is spread over tasks, and nothing is compared across documents.
 
-Positions are code points, end exclusive. They are sums of the lengths of matches and of what lies
-between them. A null or empty text has no spans. Rows are kept apart by an id given when the parts
+Positions are code points, end exclusive. They are running sums of the lengths of matches and of what
+lies between them. A null or empty text has no spans. Rows are kept apart by an id given when the parts
 are written, so repeated rows and null doc_ids are answered row by row. Further columns and an empty
 table need no care."""
 
@@ -31,26 +31,38 @@ KINDS = ("assign", "access", "hex", "weak", "endpoint")
 SCOPE = 200
 
 
+NO_SPANS = "cast(array() AS array<struct<start:int,end:int>>)"
+
+
+def _named(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` computed once, however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
+def running_sums(x: Column) -> Column:
+    """array<int> of the sums of all elements up to each, by doubling steps: n log n for n elements.
+    A string has under 2**31 characters, so 31 steps do; those beyond the size change nothing."""
+    steps = F.array(*[F.lit(1 << k) for k in range(31)])
+
+    def step(a, d):
+        far = F.transform(a, lambda v, i: v + F.when(i >= d, F.get(a, i - d)).otherwise(F.lit(0)))
+        return F.when(F.size(a) <= d, a).otherwise(far)
+
+    return F.aggregate(steps, x, step)
+
+
 def spans(text: Column, pattern: str, keep=None) -> Column:
     """array<struct<start, end>> of the matches of a pattern that never matches the empty string."""
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<struct<start:int,end:int>>)").alias("out"))
-
-    def add(z, x):
-        start = z["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        good = keep(x["hit"]) if keep else F.lit(True)
-        one = F.when(good, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.expr("cast(array() AS array<struct<start:int,end:int>>)"))
-        return F.struct(end.alias("at"), F.concat(z["out"], one).alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def walk(hits):
         gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
-        both = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.aggregate(both, state, add, lambda z: z["out"])
+        ends = running_sums(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)))
+        every = F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), (keep(h) if keep else F.lit(True)).alias("good")))
+        return F.transform(F.filter(every, lambda s: s["good"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    # the split is made only where there are matches; the transform names the matches once
-    return F.transform(F.array(found), lambda hits: F.when(F.size(hits) > 0, walk(hits)).otherwise(F.expr("cast(array() AS array<struct<start:int,end:int>>)")))[0]
+    # the split is made only where there are matches
+    return _named(found, lambda hits: F.when(F.size(hits) > 0, walk(hits)).otherwise(F.expr(NO_SPANS)))
 
 
 def find_parts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

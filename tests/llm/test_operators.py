@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -250,6 +251,14 @@ def test_url_rules(spark):
     assert url_rules.filter_urls(pages.limit(0), df).count() == 0
 
 
+def test_long_hosts(spark):
+    long = "a." * 100_000 + "example.net"
+    urls = [f"http://{long}/en/x", f"http://{long}/f", "http://" + "." * 50_000, f"http://{long[:-4]}/"]
+    rows = [(i, u) for i, u in enumerate(urls)]
+    pages, rules = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(RULES, "host string, path string, verdict string")
+    assert Counter(map(tuple, url_rules.filter_urls(pages, rules).collect())) == Counter((i, *brute_url(u, RULES)) for i, u in rows)
+
+
 # --- 5
 
 
@@ -304,6 +313,14 @@ def test_secret_scan(spark, docs, rows):
     assert Counter((r.doc_id, r.base_sha256) for r in wild) == Counter((r[0], hashlib.sha256(",".join(brute_secrets(r[1])).encode()).hexdigest()) for r in rows)
 
 
+def test_secrets_by_the_hundred_thousand(spark):
+    t = " ".join(f"{i:024x}" for i in range(100_000)) + " token=abcdefgh"
+    began = time.time()
+    got = secret_scan.scan(spark.createDataFrame([(1, t)], "doc_id bigint, text string")).first()
+    assert (got.n_assign, got.n_hex) == (1, 100_000) and time.time() - began < 60
+    assert got.base_sha256 == hashlib.sha256(",".join(brute_secrets(t)).encode()).hexdigest()
+
+
 # --- 7
 
 
