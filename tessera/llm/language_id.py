@@ -1,18 +1,25 @@
 """Operator 9: language identification by cross-parsing entropy.
 
-A suffix automaton of labelled text is built for each language. A text is normalised (lower case,
-runs of letters as words with a space on either side) and parsed greedily into phrases: the longest
-match with the language's text, then the next. The number of phrases over the number of characters
-is the normalised phrase rate; the language that needs the fewest phrases wins. Phrases end at word
-ends, so a word's phrase counts do not depend on its neighbours: each distinct word is parsed once
-and then counted, which keeps whole texts of any length cheap.
-
-Learning uses text and non-null label of rows whose crc32(doc_id) mod ``folds`` is not ``held``.
-Of these the ``docs_per_language`` with the smallest hash of doc_id are taken per label, and of
-their text at most ``chars_per_language`` characters: the documented bound of the sample.
+A suffix automaton of labelled running text is built for each language. A text is normalised (lower
+case, runs of letters with a space between and around them, UTF-8) and parsed greedily into phrases:
+the longest match with the language's text from here, wherever it begins and however many words it
+spans, then the next from where that ends; a byte that the language's text does not have is a phrase
+of its own. Naming a phrase costs the logarithm of the sample's size, so phrases times that is the
+cross-parsing entropy of the text; the language that needs the fewest normalised phrases wins.
+
+Texts are parsed whole, in windows of ``WINDOW`` bytes at whose ends a phrase ends too: windows are the
+lanes of an array program that takes one step of all automata at a time, so the cost is linear in the
+text and the same for one long text and many short ones.
+
+Learning uses text and non-null label of rows whose crc32(doc_id) mod ``folds`` is not ``held`` (a row
+without doc_id belongs to no fold and may be used). Of these, for each label, the ``docs_per_language``
+with the smallest hash of doc_id and text are read, ``chars_per_document`` characters of each, up to
+``bytes_per_language`` bytes, or less so that all labels together have at most SAMPLE_BYTES; the
+``most_labels`` labels with the most rows are learned. These are the documented bounds of the sample.
 Prediction reads the text alone. A text that is null or has no letter gives ``und`` and score 0; so
 does every text where there is nothing to learn from. Ties go to the label first in code point
-order. Repeated rows give repeated predictions; further columns are not looked at."""
+order. Repeated rows give repeated predictions and count once in learning; further columns are not
+looked at."""
 
 from __future__ import annotations
 
@@ -20,106 +27,148 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import in_files, table
+from ._shared import gathered, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS, _FIELD = 120_000, 40
+WINDOW, CHUNK_BYTES, SAMPLE_BYTES = 512, 4 << 20, 320_000
 _PREPARED: dict = {}
-MANY_LABELS = 1000
-
-
-class Automaton:
-    """Suffix automaton; a state is the dict of its transitions, so that following one is one lookup."""
-
-    def __init__(self, words):
-        root: dict = {}
-        steps, link, length = [root], [-1], [0]
-        last = 0
-        for ch in "".join(f" {w} \n" for w in words):
-            new = len(steps)
-            steps.append({})
-            link.append(0)
-            length.append(length[last] + 1)
-            p = last
-            while p >= 0 and ch not in steps[p]:
-                steps[p][ch] = new
-                p = link[p]
-            if p >= 0:
-                q = steps[p][ch]
-                if length[q] == length[p] + 1:
-                    link[new] = q
-                else:
-                    copy = len(steps)
-                    steps.append(dict(steps[q]))
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    while p >= 0 and steps[p].get(ch) == q:
-                        steps[p][ch] = copy
-                        p = link[p]
-                    link[q] = link[new] = copy
-            last = new
-        for s in steps:
-            for ch, to in s.items():
-                s[ch] = steps[to]
-        self.root = root
-
-    def phrases(self, word: str) -> int:
-        """Phrases of a greedy longest-match parse; an unknown letter is a phrase of its own."""
-        root = state = self.root
-        n = 0
-        for ch in word:
-            to = state.get(ch)
-            if to is None:
-                n += state is not root
-                to = root.get(ch)
-                if to is None:
-                    n += 1
-                    to = root
-            state = to
-        return n + (state is not root)
-
-
-class Model(dict):
-    """The automata of all labels, and a bounded table of words: the phrase counts of all labels in
-    one number, ``_FIELD`` bits each, so that the counts of a text are one sum."""
-
-    def __init__(self, words: dict[str, list[str]]):
-        super().__init__()
-        self.labels = sorted(words)
-        self.automata = [Automaton(words[k]) for k in self.labels]
-
-    def __missing__(self, word: str) -> int:
-        padded, n = f" {word} ", 0
-        for k, a in enumerate(self.automata):
-            n |= a.phrases(padded) << _FIELD * k
-        self[word] = n
-        return n
-
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Label, score and the winner's phrases per character."""
-        words = _LETTERS.findall((text or "").lower())
-        if not self.labels or not any(c.isalpha() for w in words for c in w):  # \w has fractions and the like too
-            return "und", 0.0, 0.0
-        if len(self) > _CACHE_WORDS:
-            self.clear()
-        every = sum(map(self.__getitem__, words))
-        totals = [every >> _FIELD * k & (1 << _FIELD) - 1 for k in range(len(self.labels))]
-        chars = sum(map(len, words)) + 2 * len(words)
-        best = min(range(len(totals)), key=totals.__getitem__)
-        # each phrase costs the same number of bits in every language: a softmax over the costs
-        spread = sum(math.exp(-min(60.0, 0.7 * (t - totals[best]))) for t in totals)
-        return self.labels[best], 1.0 / spread, totals[best] / chars
-
-
-def prepared(key: str, words: dict[str, list[str]]) -> Model:
-    """One model for all tasks of a Python worker; ``key`` is a digest of the words."""
+
+
+def normalised(text: str | None) -> bytes:
+    """Runs of letters in lower case with a space between and around them; empty without a letter."""
+    words = _LETTERS.findall((text or "").lower())
+    if not any(c.isalpha() for w in words for c in w):  # \w has fractions and the like too
+        return b""
+    return f" {' '.join(words)} ".encode()
+
+
+def suffix_automaton(data: bytes) -> list[dict[int, int]]:
+    """The transitions of each state; state 0 is the root."""
+    steps, link, length, last = [{}], [-1], [0], 0
+    for ch in data:
+        new = len(steps)
+        steps.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and ch not in steps[p]:
+            steps[p][ch] = new
+            p = link[p]
+        if p >= 0:
+            q = steps[p][ch]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                copy = len(steps)
+                steps.append(dict(steps[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and steps[p].get(ch) == q:
+                    steps[p][ch] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    return steps
+
+
+class Model:
+    """The automata of all labels as tables: for each state and class of bytes the place of the next
+    state's row, with the number of phrases that end on the way in the two lowest bits."""
+
+    def __init__(self, samples: dict[str, bytes]):
+        self.labels = sorted(samples)
+        self.cost = [math.log2(max(2, len(samples[k]))) for k in self.labels]
+        known = sorted(set().union(*samples.values())) if samples else []
+        self.classes = len(known) + 1  # the last one is that of bytes which no sample has
+        self.code = np.full(256, len(known), np.int32)
+        self.code[known] = np.arange(len(known))
+        self.tables = [self.table(suffix_automaton(samples[k])) for k in self.labels]
+
+    def table(self, steps: list[dict[int, int]]) -> np.ndarray:
+        to = np.full((len(steps), self.classes), -1, np.int64)
+        for s, step in enumerate(steps):
+            for ch, t in step.items():
+                to[s, self.code[ch]] = t
+        miss = to < 0
+        again = to[0].copy()  # a phrase ends, and the byte begins the next or is one
+        after = np.where(miss, np.where(again < 0, 0, again)[None, :], to)
+        ends = miss * ((np.arange(len(steps)) > 0)[:, None] + (again < 0)[None, :].astype(np.int64))
+        return (after * self.classes * 4 + ends).astype(np.int32).ravel()
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """Phrases of each normalised text in each language."""
+        out = np.zeros((len(texts), len(self.labels)), np.int64)
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_BYTES):
+                size += len(texts[end])
+                end += 1
+            if end == at + 1 and size > CHUNK_BYTES:  # one very long text, by parts of whole windows
+                for k in range(0, size, CHUNK_BYTES):
+                    out[at] += self._chunk([texts[at][k : k + CHUNK_BYTES]])[0]
+            else:
+                out[at:end] = self._chunk(texts[at:end])
+            at = end
+        return out
+
+    def _chunk(self, texts: list[bytes]) -> np.ndarray:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        lanes = -(-sizes // WINDOW)
+        n = int(lanes.sum())
+        out = np.zeros((len(texts), len(self.labels)), np.int64)
+        if not n:
+            return out
+        owner = np.repeat(np.arange(len(texts)), lanes)
+        nth = np.arange(n) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = np.repeat(np.cumsum(sizes) - sizes, lanes) + nth * WINDOW
+        length = np.minimum(WINDOW, sizes[owner] - nth * WINDOW)
+        order = np.argsort(-length, kind="stable")
+        owner, start, length = owner[order], start[order], length[order]
+        flat = self.code[np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)]
+        steps = int(length[0])
+        grid = np.ascontiguousarray(flat[start[:, None] + np.arange(steps)].T)
+        active = np.searchsorted(-length, -np.arange(steps), "left")  # lanes that are longer than each step
+        for k, t in enumerate(self.tables):
+            state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+            where = np.empty(n, np.int32)
+            for step in range(steps):
+                m = active[step]
+                np.add(state[:m], grid[step, :m], out=where[:m])
+                got = t.take(where[:m])
+                count[:m] += got & 3
+                np.right_shift(got, 2, out=state[:m])
+            count += state > 0
+            out[:, k] = np.bincount(owner, count, len(texts)).astype(np.int64)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Label, score and the winner's phrases per byte for each text."""
+        if not self.labels:
+            return [("und", 0.0, 0.0)] * len(texts)
+        body = [normalised(t) for t in texts]
+        found = []
+        for t, row in zip(body, self.phrases(body).tolist()):
+            if not t:
+                found.append(("und", 0.0, 0.0))
+                continue
+            bits = [n * c for n, c in zip(row, self.cost)]
+            best = min(range(len(bits)), key=bits.__getitem__)
+            spread = sum(2.0 ** -min(60.0, b - bits[best]) for b in bits)
+            found.append((self.labels[best], 1.0 / spread, row[best] / len(t)))
+        return found
+
+
+def prepared(key: str, samples: dict[str, bytes]) -> Model:
+    """One model for all tasks of a Python worker; ``key`` is a digest of the samples."""
     if key not in _PREPARED:
         _PREPARED.clear()
-        _PREPARED[key] = Model(words)
+        _PREPARED[key] = Model(samples)
     return _PREPARED[key]
 
 
@@ -127,42 +176,44 @@ def held_out(key: Column, folds: int = 4, held: int = 2) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
-def learn(docs: DataFrame, docs_per_language: int = 400, chars_per_language: int = 40_000, folds: int = 4, held: int = 2) -> dict[str, list[str]]:
-    """Distinct normalised words of the bounded sample, by label, in order of appearance."""
-    rows = docs.where(~held_out(F.col("doc_id"), folds, held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+def learn(
+    docs: DataFrame, docs_per_language: int = 400, chars_per_document: int = 1_000, bytes_per_language: int = 40_000, most_labels: int = 64, folds: int = 4, held: int = 2
+) -> dict[str, bytes]:
+    """Normalised text of the bounded sample by label."""
+    row = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+    rows = docs.where(~held_out(F.col("doc_id"), folds, held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", row.alias("row"))
+    place = F.conv(F.substring("row", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    narrow = rows.select("lang", "row", place.alias("h"))
     # only hashes low enough to hold the sample four times over are ranked, so that a label which most
-    # rows bear sends no more of them to its task than any other
-    place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    narrow = rows.select("doc_id", "lang", F.coalesce(place, F.lit(0.0)).alias("h"))
-    limits = narrow.groupBy("lang").agg((4.0 * docs_per_language / F.count("*")).alias("limit"))
-    few = limits.limit(MANY_LABELS + 1).collect()
-    if len(few) <= MANY_LABELS:  # a checked size; with more labels none can be hot enough to matter
-        limits = F.broadcast(docs.sparkSession.createDataFrame(few, limits.schema))
-    near = narrow.join(limits, "lang").where("h <= limit").select("doc_id", "lang", "h")
-    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = ranked.where(F.col("n") <= docs_per_language).select("doc_id", "lang", "h").distinct()
-    # at most docs_per_language rows for each label, so broadcasting them is bounded by a parameter
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "h", "doc_id", F.substring("text", 1, chars_per_language).alias("text"))
-    words: dict[str, dict[str, None]] = {}
-    used: dict[str, int] = {}
-    for r in sample.orderBy("lang", "h", "doc_id", "text").toLocalIterator():
-        if used.get(r.lang, 0) < chars_per_language:
-            found = _LETTERS.findall(r.text.lower()[: chars_per_language - used.get(r.lang, 0)])
-            used[r.lang] = used.get(r.lang, 0) + len(r.text)
-            words.setdefault(r.lang, {}).update(dict.fromkeys(found))
-    return {k: list(v) for k, v in words.items() if v}
-
-
-def predict(docs: DataFrame, words: dict[str, list[str]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    # rows bear sends no more of them to its task than any other; equal rows are one
+    limits = narrow.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels)
+    few = [(r.lang, 4.0 * docs_per_language / r.n) for r in limits.collect()]
+    if not few:
+        return {}
+    limits = F.broadcast(docs.sparkSession.createDataFrame(few, "lang string, limit double"))
+    near = narrow.join(limits, "lang").where("h <= limit").select("lang", "row").distinct()
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("row")))
+    chosen = ranked.where(F.col("n") <= docs_per_language).select("lang", "row")
+    # at most docs_per_language short rows for each of most_labels labels are broadcast
+    sample = rows.join(F.broadcast(chosen), ["lang", "row"]).select("lang", "row", F.substring("text", 1, chars_per_document).alias("text")).distinct()
+    room = min(bytes_per_language, SAMPLE_BYTES // len(few))
+    out: dict[str, bytes] = {}
+    for r in sample.orderBy("lang", "row").toLocalIterator():
+        if len(out.get(r.lang, b"")) < room and (t := normalised(r.text)):
+            out[r.lang] = (out.get(r.lang, b"") + t)[:room]
+    return out
+
+
+def predict(docs: DataFrame, samples: dict[str, bytes], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and lang_pred, score, phrase_rate for every row."""
-    spark = docs.sparkSession
-    key = hashlib.sha256(repr(sorted(words.items())).encode()).hexdigest()
-    model = spark.sparkContext.broadcast(words)  # its size is bounded by the sample's parameters
+    key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
+    model = docs.sparkSession.sparkContext.broadcast(samples)  # SAMPLE_BYTES at most
 
     @F.arrow_udf("lang_pred string, score double, phrase_rate double")
     def label(texts: pa.Array) -> pa.Array:
-        m = prepared(key, model.value)
-        found = [m.predict(t.as_py()) for t in texts]
+        m, found = prepared(key, model.value), []
+        for at in range(0, len(texts), 512):
+            found += m.predict(texts.slice(at, 512).to_pylist())
         return pa.StructArray.from_arrays(
             [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())],
             ["lang_pred", "score", "phrase_rate"],
@@ -176,4 +227,4 @@ def predict(docs: DataFrame, words: dict[str, list[str]], keep: tuple[str, ...]
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, learn(docs))
-    return in_files(found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"), docs)
+    return gathered(found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"))

@@ -429,19 +429,47 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.predict(docs, {}).collect()} == {"und"}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="abc", min_size=1, max_size=8), min_size=1, max_size=5), st.text(alphabet="abcd", max_size=12))
-def test_automaton(train, word):
-    a = language_id.Automaton(train)
-    body = "".join(f" {w} \n" for w in train)
+def test_learning_with_null_and_repeated_ids(spark):
+    r = random.Random(6)
+    words = {"aa": ["lom", "lomar", "mirol", "arol"], "bb": ["quix", "xiqu", "zuqi", "xuzi"]}
+    text = lambda k: " ".join(r.choices(words[k], k=12))
+    body = [(None if i < 600 else i, text("aa"), "aa") for i in range(1000)] + [(None, text("bb"), "bb") for _ in range(300)] + [(7, text("bb"), "bb")] * 300
+    docs = spark.createDataFrame(body, "doc_id bigint, text string, lang string")
+    model = language_id.learn(docs, docs_per_language=50)
+    assert set(model) == {"aa", "bb"} and all(len(b) > 1000 for b in model.values())
+    assert set(language_id.learn(docs.where("doc_id IS NULL"))) == {"aa", "bb"}
+    assert language_id.learn(docs, most_labels=1).keys() == {"aa"}
+    assert all(len(b) <= 100 for b in language_id.learn(docs, bytes_per_language=100).values())
+
+
+def brute_phrases(train: bytes, text: bytes) -> int:
     n = at = 0
-    while at < len(word):
+    while at < len(text):
         end = at + 1
-        while end <= len(word) and word[at:end] in body:
+        while end <= len(text) and text[at:end] in train:
             end += 1
         at = max(at + 1, end - 1)
         n += 1
-    assert a.phrases(word) == n
+    return n
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="abcé ", min_size=1, max_size=30), min_size=1, max_size=3), st.lists(st.text(alphabet="abcdé ", max_size=40), max_size=5))
+def test_cross_parsing(train, texts):
+    samples = {str(k): t.encode() for k, t in enumerate(train)}
+    got = language_id.Model(samples).phrases([t.encode() for t in texts])
+    assert got.tolist() == [[brute_phrases(samples[k], t.encode()) for k in sorted(samples)] for t in texts]
+
+
+def test_long_texts_are_parsed_by_windows(monkeypatch):
+    r = random.Random(9)
+    train = "".join(r.choices("abcd ", k=3000)).encode()
+    texts = ["".join(r.choices("abcde ", k=n)).encode() for n in (0, 1, 511, 512, 513, 5000, 70_000)]
+    w = language_id.WINDOW
+    want = [[sum(brute_phrases(train, t[k : k + w]) for k in range(0, len(t), w))] for t in texts]
+    assert language_id.Model({"x": train}).phrases(texts).tolist() == want
+    monkeypatch.setattr(language_id, "CHUNK_BYTES", 4 * w)
+    assert language_id.Model({"x": train}).phrases(texts).tolist() == want
 
 
 # --- 10
