@@ -479,22 +479,33 @@ def test_long_texts_are_parsed_by_windows(monkeypatch):
 @pytest.mark.parametrize("capacity", [1, 5000, 1 << 20])
 def test_exact_dedup(spark, docs, rows, hashed, capacity):
     folder = work_dir(spark, "dedup-test")
-    classes = exact_dedup.build_index(docs, folder, hashed=hashed, capacity=capacity, owners=4)
-    got = Counter(map(tuple, exact_dedup.mark(docs, classes).collect()))
+    many = docs.unionByName(spark.createDataFrame([(None, "only null ids", "x", "s", 0, "", "", 0)] * 3, DOCS))
+    every = [*rows, *[(None, "only null ids")] * 3]
+    postings = exact_dedup.build_index(many, f"{folder}/index", f"{folder}/postings", hashed=hashed, capacity=capacity, owners=4, most_depth=6)
+    got = Counter(map(tuple, exact_dedup.mark(postings, f"{folder}/index").collect()))
     groups = defaultdict(list)
-    for r in rows:
+    for r in every:
         groups[r[1] or ""].append(r[0])
-    want = Counter()
-    for r in rows:
-        g = groups[r[1] or ""]
-        top = max((i for i in g if i is not None), default=None)
-        kept = r[0] == top if r[0] is not None and top is not None else len(g) == 1 or None
-        want[r[0], top, len(g), bool(kept) if kept is not None else False, hashlib.sha256((r[1] or "").encode()).hexdigest()] += 1
-    assert got == want
-    for c in classes.collect():  # every text is found again in its owner's segment
-        h = c.h & (1 << 64) - 1
-        t = next(t for t in groups if hashlib.sha256(t.encode()).hexdigest() == c.text_sha256)
-        assert exact_dedup.probe(folder, h >> 62, h, t.encode()) == (c.keep_id, c.group_size)
+    want, stays = Counter(), set()
+    for r in every:
+        t = r[1] or ""
+        top = max((i for i in groups[t] if i is not None), default=None)
+        kept = r[0] == top and t not in stays
+        if kept:
+            stays.add(t)
+        want[r[0], top, len(groups[t]), kept, hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert got == want and len(stays) == len(groups)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in every], pa.int64()), "text": pa.array([r[1] for r in every], pa.string())}))
+    assert Counter(con.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({exact_dedup.ORACLE})").fetchall()) == want
+    if capacity == 1 and hashed is exact_dedup.default_hash:
+        assert all(exact_dedup.Segment(f"{folder}/index", o).depth > 2 for o in range(4))
+    texts = spark.createDataFrame([(t,) for t in groups], "t string").select("t", hashed(F.col("t")).alias("h")).collect()
+    for t, h in map(tuple, texts):  # every text is found again through its owner's directory
+        h &= (1 << 64) - 1
+        segment = exact_dedup.Segment(f"{folder}/index", h >> 62)
+        assert segment.find(h, t.encode()) == (max((i for i in groups[t] if i is not None), default=None), len(groups[t]))
+        assert segment.find(h, t.encode() + b"?") is None
 
 
 def test_exact_dedup_edges(empty, docs):
