@@ -13,8 +13,8 @@ from tessera.llm import bpe_codec, exact_dedup, language_id, mixing, ngram_join
 from tessera.llm._shared import in_files, stage, table, work_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose best language needs more phrases a character than this is in none of the languages.
-MOST_PHRASES = 0.6
+#: A text whose best language needs more phrases a byte than this is in none of the languages.
+MOST_PHRASES = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
