@@ -122,28 +122,56 @@ def brute_targets(sizes, cap=3):
         full |= over
 
 
-def test_mixing(docs, rows, empty, spark):
+@pytest.mark.parametrize("whole", [False, True])
+def test_mixing(docs, rows, empty, whole):
     size = [len(WORD.findall(r[1] or "")) for r in rows]
     sizes = defaultdict(int)
     for r, n in zip(rows, size):
         sizes[r[3]] += n
     want = brute_targets(sizes)
-    placements, documents = mixing.mix(docs, levels=2, blocks_per_shard=8)
+    placements, documents = mixing.mix(docs, levels=2, blocks_per_shard=8, whole=whole)
     got = documents.collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], n) for r, n in zip(rows, size))
     taken = defaultdict(int)
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, r.target)
-        assert 0 <= r.taken <= 3 * r.size
+        assert 0 <= r.taken <= 3 * r.size and (not whole or r.size == 0 or r.taken % r.size == 0)
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    if not whole:
+        assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     placed = placements.collect()
     assert sum(p.words for p in placed) == sum(taken.values())
-    assert Counter(map(tuple, placed)) == Counter(map(tuple, mixing.mix(docs, levels=2, blocks_per_shard=8)[0].collect()))
-    assert {p.shard for p in placed} <= set(range(4))
+    assert Counter(map(tuple, placed)) == Counter(map(tuple, mixing.mix(docs.repartition(3), levels=2, blocks_per_shard=8, whole=whole)[0].collect()))
+    assert {p.shard for p in placed} == set(range(4))
+    other = mixing.mix(docs, levels=2, blocks_per_shard=8, seed=8, whole=whole)[1].collect()
+    assert whole or sum(r.taken for r in other) == sum(taken.values())
+    assert Counter((r.doc_id, r.taken) for r in other) != Counter((r.doc_id, r.taken) for r in got)
     assert mixing.mix(empty)[1].count() == 0 and mixing.mix(empty)[0].count() == 0
 
 
+def test_mixing_words_by_slots(spark, docs, rows):
+    """Every slot of the quotas takes its block's words once; the shards take no slot twice."""
+    placements, documents = mixing.mix(docs, levels=3, blocks_per_shard=8)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "source": pa.array([r[3] for r in rows], pa.string()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    mine = Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in documents.collect())
+    theirs = con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing._oracle(levels='3', blocks_per_shard=8)})").fetchall()
+    assert mine == Counter((d, n, m, round(t, 6), k) for d, n, m, t, k in theirs)
+    by = defaultdict(set)
+    for p in placements.collect():
+        by[p.source, getattr(p, "pass"), p.block].add(p.shard)
+    assert all(len(x) == 1 for x in by.values())
+    plan = documents._jdf.queryExecution().optimizedPlan().toString()
+    assert "shard" in plan
+
+
+def test_identical_rows_by_the_thousand(spark):
+    body = [(None, "the same text here", "s1")] * 5000 + [(i, f"text {i} of its own", "s2") for i in range(300)]
+    _, documents = mixing.mix(spark.createDataFrame(body, "doc_id bigint, text string, source string"))
+    got = documents.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t"), F.count("*").alias("rows")).collect()
+    assert {r.source: r.rows for r in got} == {"s1": 5000, "s2": 300} and all(abs(r.n - r.t) <= 1 for r in got)
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 1000, "c": 1, None: 5}, {"a": 0, "b": 0}, {"z": 7}, {"a": 100, "b": 1, "c": 1, "d": 2, "e": 300}])
 def test_targets(spark, sizes):
     got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()
@@ -154,7 +182,7 @@ def test_targets(spark, sizes):
 def test_splitting_tree(spark):
     quotas = {"a": 500, "b": 37, "c": 1, None: 90}
     df = spark.createDataFrame(list(quotas.items()), "source string, blocks bigint")
-    tables = [mixing.splitting_tree(df, 3, seed).collect() for seed in range(12)]
+    tables = [mixing.splitting_tree(df, 3, seed).collect() for seed in range(12)] + [mixing.splitting_tree(df, 3, 40, group=2).collect()]
     for t in tables:
         by, shard = Counter(), Counter()
         for r in t:
@@ -163,6 +191,7 @@ def test_splitting_tree(spark):
             shard[r.shard] += r.blocks
         assert by == Counter(quotas) and max(shard.values()) - min(shard.values()) <= 2 and len(shard) == 8
     assert {r.blocks for t in tables for r in t if r.source == "b"} > {3, 4, 5, 6}  # drawn, not dealt evenly
+    tables = tables[:-1]
     mean = np.mean([r.blocks for t in tables for r in t if r.source == "a"])
     spread = np.var([r.blocks for t in tables for r in t if r.source == "a"])
     n, k, m = sum(quotas.values()), 500, sum(quotas.values()) / 8
