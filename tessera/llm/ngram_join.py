@@ -2,12 +2,14 @@
 
 Every text becomes its set of word 5-grams (64-bit hashes; under five words, all words are one
 gram). Equal sets are one class. ``choose_bands`` picks rows and bands for a target recall at the
-threshold. Classes are shuffled by band hash; those that share a bucket are candidates. Stars around
-the smallest class of each bucket keep the candidates linear in the number of classes, and their
-connected components are the groups within which all links lie. Groups are dealt to tasks; a group
-of more than ``block`` classes or BLOCK_GRAMS grams is dealt as pairs of blocks, so no task holds an unbounded group and
-no pair is left out. There every pair is verified on the full n-gram sets: intersections come from
-an incidence matrix, and a task emits for each class only its number of links and one link towards
+threshold. Classes are shuffled by band hash; those that share a bucket are candidates, and every pair
+of classes that share a band is verified on the full n-gram sets. Stars around the smallest class
+of each bucket keep what says who shares buckets linear in the number of classes; their connected components
+are groups within which all candidates lie. A group is dealt as pairs of blocks of ``block`` classes (fewer
+where sets are large), so no task holds an unbounded group and no pair is left out. A component of over ``most_parts``
+blocks, which chains of buckets can make out of classes that mostly share none, is dealt bucket by
+bucket, and a pair counts in the first band that it shares. In a task intersections come from an
+incidence matrix, and it emits for each class only its number of links and one link towards
 the smallest class it reaches, never the pairs. Connected components of those links are the result.
 
 Result, one row for each input row: doc_id, class_id (smallest doc_id connected by links, the
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._shared import remove, slices, stage, table, work_dir
 
-N, THRESHOLD, RECALL, BLOCK, BLOCK_GRAMS = 5, 0.8, 0.999, 2048, 1_000_000
+N, THRESHOLD, RECALL, BLOCK, GRAMS_EACH, MOST_PARTS = 5, 0.8, 0.999, 512, 500, 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,6 +193,21 @@ def verify(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) ->
     return linked
 
 
+def shared_band(a: list[list[int]], b: list[list[int]] | None, band: int) -> np.ndarray:
+    """Which pairs share a band; with ``band`` 0 or more: whose first shared band it is."""
+    x = np.array(a, np.int64)
+    y = x if b is None else np.array(b, np.int64)
+    out = x[:, None, 0] == y[None, :, 0]
+    if band < 0:
+        for k in range(1, x.shape[1]):
+            out |= x[:, None, k] == y[None, :, k]
+        return out
+    seen = np.zeros_like(out)
+    for k in range(band):
+        seen |= x[:, None, k] == y[None, :, k]
+    return (x[:, None, band] == y[None, :, band]) & ~seen
+
+
 def _roots(linked: np.ndarray, square: bool) -> np.ndarray:
     """The smallest index that each member reaches; rows first, then columns unless square."""
     m, n = linked.shape
@@ -211,7 +228,7 @@ def _roots(linked: np.ndarray, square: bool) -> np.ndarray:
         left, right = x, r
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK, most_parts: int = MOST_PARTS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """See the module: doc_id, text_key, class_id, n_links, n_grams, stays for every row."""
     spark = docs.sparkSession
     folder = work_dir(spark, "ngram-join")
@@ -226,30 +243,49 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     bucket = member.groupBy("band", "h").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1")
     stars = member.join(bucket, ["band", "h"]).select(F.col("digest").alias("a"), "b")
     groups = components(stars, f"{folder}/candidates")
-    rows_of = groups.join(classes.select(F.col("digest").alias("node"), "rep.doc_id", "rep.text_key", "copies", "n_grams"), "node")
-    sizes = rows_of.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    chosen = rows_of.join(sizes, "root").select(F.col("node").alias("digest"), "root", "parts", part.alias("part"), "doc_id", "text_key", "copies")
+    rows_of = groups.join(classes.withColumnRenamed("digest", "node"), "node").select(F.col("node").alias("digest"), "root", "rep.doc_id", "rep.text_key", "copies", "n_grams", "bands")
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_grams") / (block * GRAMS_EACH))).cast("int").alias("parts")
+    sizes = stage(rows_of.groupBy("root").agg(parts), f"{folder}/sizes", narrow=True)
+    part = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part")
+    narrow = ("digest", "doc_id", "text_key", "copies", "bands")
+    near = rows_of.join(sizes.where(F.col("parts") <= most_parts), "root")
+    chosen = near.select(*narrow, F.array(F.struct(F.col("root").alias("grp"), "parts", part, F.lit(-1).alias("band"))).alias("groups"))
+    if not sizes.where(F.col("parts") > most_parts).isEmpty():
+        # what chains of buckets have joined is dealt by bucket instead
+        far = rows_of.join(sizes.where(F.col("parts") > most_parts).select("root"), "root", "left_semi")
+        each = far.select(*narrow, "n_grams", F.posexplode("bands").alias("band", "h"))
+        shared = each.groupBy("band", "h").agg(F.count("*").alias("n"), parts).where("n > 1").select("band", "h", "parts")
+        grp = F.concat_ws(":", "band", "h").cast("binary").alias("grp")
+        dealt_by = each.join(shared, ["band", "h"]).groupBy("digest").agg(F.collect_list(F.struct(grp, "parts", part, "band")).alias("groups"))
+        chosen = chosen.unionByName(far.select(*narrow).join(dealt_by, "digest"))
 
     texts = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
+    again = stage(known.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/again", narrow=True)
+    if not again.isEmpty():  # of repeated rows one is enough, and tasks fold theirs before the shuffle
+        twice = again.select(F.col("d").alias("d2"), F.col("k").alias("k2"))
+        same = F.col("d").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2"))
+        texts = texts.join(twice, same, "left_anti").unionByName(texts.join(twice, same, "left_semi").groupBy("d", "k").agg(F.first("text").alias("text")))
     with_text = chosen.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [grams(t.as_py(), n) for t in b.column("text")]
             keep = pa.array([digest(s) == d for s, d in zip(sets, b.column("digest").to_pylist())], pa.bool_())
-            cols = [b.column(c) for c in ("digest", "root", "parts", "part", "copies")]
-            made = pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "root", "parts", "part", "copies", "grams"])
+            cols = [b.column(c) for c in ("digest", "copies", "bands", "groups")]
+            made = pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "copies", "bands", "groups", "grams"])
             yield made.filter(keep)
 
-    sets = with_text.select("digest", "root", "parts", "part", "copies", "text").mapInArrow(as_sets, "digest binary, root binary, parts int, part int, copies bigint, grams binary")
+    kinds = "digest binary, copies bigint, bands array<bigint>, groups array<struct<grp:binary,parts:int,part:int,band:int>>"
+    sets = with_text.select("digest", "copies", "bands", "groups", "text").mapInArrow(as_sets, f"{kinds}, grams binary")
     # a class's block meets every other block of its group, and itself
-    pair = F.expr("transform(sequence(0, parts - 1), k -> struct(least(part, k) AS i, greatest(part, k) AS j))")
-    dealt = sets.select("digest", "root", "part", "copies", "grams", F.explode(pair).alias("p")).select("digest", "root", "part", "copies", "grams", "p.i", "p.j")
+    pair = F.expr("transform(sequence(0, g.parts - 1), k -> struct(least(g.part, k) AS i, greatest(g.part, k) AS j))")
+    dealt = sets.select("digest", "copies", "bands", "grams", F.explode("groups").alias("g")).select("digest", "copies", "bands", "grams", "g", F.explode(pair).alias("p"))
+    dealt = dealt.select("digest", "copies", "bands", "grams", "g.grp", "g.part", "g.band", "p.i", "p.j")
 
     def check(t: pa.Table) -> pa.Table:
         d, part, copies = t.column("digest").to_pylist(), np.array(t.column("part").to_pylist()), np.array(t.column("copies").to_pylist(), np.float64)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        signed_by = t.column("bands").to_pylist()
         place = {x: k for k, x in reversed(list(enumerate(d)))}  # a repeated row would bring its class twice
         order = sorted(place.values(), key=lambda k: (part[k] != i, d[k]))
         body = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("grams")]
@@ -260,6 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
         if not a or b == []:
             return pa.table({"digest": pa.array([], pa.binary()), "root": pa.array([], pa.binary()), "links": pa.array([], pa.int64())})
         linked = verify(a, b, threshold)
+        linked &= shared_band([signed_by[k] for k in order[:m]], None if b is None else [signed_by[k] for k in order[m:]], t.column("band")[0].as_py())
         if b is None:
             links = linked @ weight
         else:
@@ -268,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
         hit = np.flatnonzero(links > 0)
         return pa.table({"digest": pa.array([names[k] for k in hit], pa.binary()), "root": pa.array([names[root[k]] for k in hit], pa.binary()), "links": pa.array(links[hit].astype(np.int64))})
 
-    found = stage(dealt.groupBy("root", "i", "j").applyInArrow(check, "digest binary, root binary, links bigint"), f"{folder}/links", narrow=True)
+    found = stage(dealt.groupBy("grp", "i", "j").applyInArrow(check, "digest binary, root binary, links bigint"), f"{folder}/links", narrow=True)
     roots = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")), f"{folder}/linked")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     # classes are few against documents; all of this is narrow
@@ -276,6 +313,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     full = full.withColumn("root", F.coalesce("root", "digest"))
     heads = full.groupBy("root").agg(F.min("rep").alias("head"))
     named = stage(full.join(heads, "root").select("digest", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), f"{folder}/named")
+    for done in ("candidates", "linked", "links", "classes", "sizes", "again"):
+        remove(spark, f"{folder}/{done}")
     out = signed.select("doc_id", "text_key", "digest", "n_grams").join(named, "digest", "left")
     alone = F.col("digest").isNull()
     return out.select(

@@ -89,6 +89,8 @@ def test_ngram_join(docs, rows, empty):
     assert got == want
     small = Counter(tuple(r) for r in ngram_join.near_duplicates(docs, block=2).select("doc_id", "class_id", "n_links", "n_grams").collect())
     assert small == want  # groups dealt as pairs of blocks
+    chained = Counter(tuple(r) for r in ngram_join.near_duplicates(docs, block=1, most_parts=1).select("doc_id", "class_id", "n_links", "n_grams").collect())
+    assert chained == want  # groups dealt by bucket
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
@@ -98,6 +100,20 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - t**r) ** b >= recall and b * r <= 128
 
 
+def test_recall_at_the_threshold(spark):
+    r, body = random.Random(12), []
+    for k in range(300):  # pairs with a similarity of 0.8 to 0.86
+        base = [f"w{r.randrange(10**6)}" for _ in range(204)]
+        other = list(base)
+        for at in r.sample(range(10, 190, 10), r.choice((3, 4))):
+            other[at] = f"x{r.randrange(10**6)}"
+        body += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = dict(map(tuple, ngram_join.near_duplicates(spark.createDataFrame(body, "doc_id bigint, text string")).select("doc_id", "n_links").collect()))
+    sets = [brute_sets(t) for _, t in body]
+    near = [k for k in range(0, 600, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
+    assert len(near) > 200 and sum(got[k] == 1 for k in near) >= 0.99 * len(near) and sum(got.values()) <= 2 * len(near)
+
+
 def test_intersections():
     r = random.Random(1)
     a, b = ([np.unique(np.array(r.choices(range(40), k=r.randint(1, 30)), np.uint64)) for _ in range(n)] for n in (30, 25))
