@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_codec, exact_dedup, language_id, mixing, ngram_join
-from tessera.llm._shared import in_files, stage, table, work_dir
+from tessera.llm._shared import gathered, in_files, released, remove, stage, table, work_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language needs more phrases a byte than this is in none of the languages.
@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (key == F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
     rows = docs.select(*COLUMNS).join(placed, same)
     rows = rows.repartition("shard", F.pmod("turn", F.lit(16)))
-    return in_files(rows, docs).sortWithinPartitions("shard", "turn").select(*COLUMNS)
+    return rows.sortWithinPartitions("shard", "turn").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     coded = bpe_codec.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return in_files(coded, docs)
+    return gathered(coded)
 
 
 STAGES = [
@@ -86,7 +86,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = work_dir(spark, "pipeline")
+    folder, before = work_dir(spark, "pipeline"), None
     for k, (name, step) in enumerate(STAGES):
-        docs = stage(step(spark, docs, sf_dir), f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        with released(spark):  # what a stage has written for itself is not needed after its output
+            docs = stage(step(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
