@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -245,26 +246,59 @@ def test_base_counts(t):
     assert compression_rules.base_counts(t, t.encode()) == tuple(counts)
 
 
-def test_verdicts():
+def verdict(raw: bytes, bands=compression_rules.Bands()):
     import zstandard
 
-    z, r = zstandard.ZstdCompressor(level=3), random.Random(3)
+    return compression_rules.compression(raw.decode(), raw, bands, zstandard.ZstdCompressor(level=3))
+
+
+def prose():
+    """Public prose: licence texts, where the system has them, and Python's manual."""
+    from pydoc_data.topics import topics
+
+    found = [p.read_bytes() for p in map(Path, ("/usr/share/common-licenses/" + x for x in ("GPL-3", "GPL-2", "Apache-2.0", "MPL-2.0", "GFDL-1.3", "Artistic"))) if p.exists()]
+    return [*found, b"\n".join(found * (len(found) > 0)), "\n".join(topics.values()).encode()]
+
+
+def test_prose_stays():
+    for raw in prose():
+        whole = raw.decode()
+        for n in (1_000, 4_000, 16_000, 64_000, 256_000, 1 << 30):
+            part = whole[:n].encode()
+            assert not part or verdict(part)[2], (whole[:40], n)
+
+
+def test_verdicts():
+    r = random.Random(3)
     noise = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=9000)).encode()
-    assert not compression_rules.compression(noise, compression_rules.Bands(), z)[2]
-    assert not compression_rules.compression(b"the same words again " * 400, compression_rules.Bands(), z)[2]
+    assert not verdict(noise)[2]
+    assert not verdict(b"the same words again " * 400)[2]
+    assert not verdict("\u0442\u0435 \u0436\u0435 \u0441\u043b\u043e\u0432\u0430 ".encode() * 400)[2]
+    cyrillic = " ".join("".join(r.choices("\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a\u043b\u043c\u043d\u043e\u043f\u0440\u0441\u0442", k=r.randint(2, 9))) for _ in range(3000))
+    assert verdict(cyrillic.encode())[2]
 
 
 def test_every_chunk_is_judged():
-    import zstandard
-
-    z, r, wide = zstandard.ZstdCompressor(level=3), random.Random(5), compression_rules.Bands(whole=((300, 0.1, 1e9),))
+    r, wide = random.Random(5), compression_rules.Bands(fitted=tuple((k, 0.1, 1e9) for k in range(60) if k != 7))
     words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(400)]
-    prose, same = (" ".join(r.choices(words, k=3000)).encode(), b"the same words again " * 400)
-    share = lambda raw: compression_rules.compression(raw, wide, z)[1]
-    assert share(prose[:12288]) == 0
-    assert share(prose[:4096] + same[:8000]) > 0.5  # of which the last chunk is no whole one
-    assert share(same[:5000]) == 1 and not compression_rules.compression(same[:5000], wide, z)[2]  # under two chunks
-    assert compression_rules.compression(same[:2000], compression_rules.Bands(), z)[1:] == (1.0, False)  # under one
+    body, same = (" ".join(r.choices(words, k=3000)).encode(), b"the same words again " * 400)
+    share = lambda raw: verdict(raw, wide)[1]
+    assert share(body[:12288]) == 0
+    assert share(body[:4096] + same[:8000]) > 0.5  # of which the last chunk is no whole one
+    assert share(same[:5000]) == 1 and not verdict(same[:5000], wide)[2]  # under two chunks
+    assert verdict(same[:2000])[1:] == (1.0, False)  # under one
+
+
+def test_fitted_bands(spark):
+    r = random.Random(7)
+    body = [(k, " ".join("".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(80 + k % 200))) for k in range(200)]
+    docs = spark.createDataFrame([*body, (None, None), (3, body[3][1]), (500, "x " * 2000)], "doc_id bigint, text string")
+    good = spark.createDataFrame([(k,) for k in [*range(150), None, 3, 900]], "doc_id bigint")
+    bands = compression_rules.fit(docs, good)
+    assert bands.fitted and bands == compression_rules.fit(docs.repartition(3), good)
+    kept = {x.doc_id for x in compression_rules.judge(docs, bands).where("kept").collect()}
+    assert kept >= set(range(150)) and 500 not in kept
+    assert compression_rules.fit(docs, good.limit(0)) == compression_rules.Bands()
 
 
 # --- 4
