@@ -110,10 +110,16 @@ def test_chunks_follow_headings():
     assert all(len(t) <= 1600 for *_, t in writing.chunks_of("n", "word " * 5000))
 
 
-def test_rewrite_keeps_sections_labels_and_code():
-    text = "see [[My Note#part|label]] and [[my-note]] but `[[my-note]]` and [[other]]"
-    assert writing.rewrite(text, "My Note", "new") == ("see [[new#part|label]] and [[new]] but `[[my-note]]` and [[other]]", 2)
-    assert writing.rewrite(text, "my note", None) == ("see label and my-note but `[[my-note]]` and [[other]]", 2)
+def test_rewrite_keeps_sections_labels_and_code(spark):
+    body = "see [[My Note#part|label]] and [[my-note]] but `[[my-note]]` and [[other]] [ ```\n[[my note]]"
+    df = spark.createDataFrame([(body, "My Note", "new"), (body, "my note", None), ("[[a]] `[[a]]` [[a#b]] [[a|]]", "A", "z"), ("", "x", "y")], "body string, link string, target string")
+    got = [tuple(r.r) for r in df.select(writing.rewrite(F.col("body"), F.col("link"), F.col("target")).alias("r")).collect()]
+    assert got == [
+        ("see [[new#part|label]] and [[new]] but `[[my-note]]` and [[other]] [ ```\n[[my note]]", 2),
+        ("see label and my-note but `[[my-note]]` and [[other]] [ ```\n[[my note]]", 2),
+        ("[[z]] `[[a]]` [[z#b]] [[z|]]", 3),
+        ("", 0),
+    ]
 
 
 def test_query_terms(spark):
@@ -230,10 +236,40 @@ def test_file_sources(spark, tmp_path):
     assert {(r.kind, r.name, r.line) for r in files.extract_symbols(units).collect()} == {("class", "A", 1), ("function", "b", 2)}
 
 
-def test_merged_notes_say_nothing_twice():
+def merge(spark, notes, additions=(), conflicts=()):
+    n = spark.createDataFrame(notes, "id string, body string, other string")
+    a = spark.createDataFrame(list(additions), "id string, pos int, section string, text string")
+    c = spark.createDataFrame(list(conflicts), "id string, pos int, text string")
+    return {r.id: r.text for r in writing.merge_notes(n, a, c).collect()}
+
+
+def test_merged_notes_say_nothing_twice(spark):
     note = "intro\n\n## Facts\n- one\n- two\n\n## Other\ntext"
-    got = writing.merge_notes(note, "Twin", [("Facts", "three"), ("Facts", "- one"), ("Nowhere", "four")], ["a or b", "a or b"])
-    assert got == "intro\n\n## Facts\n- one\n- two\n- three\n\n## Other\ntext\n\n## Merged from: Twin\n- four\n\n## Unresolved conflicts\n- a or b"
+    add = [("Facts", "three"), ("Facts", "- one"), ("Nowhere", "four"), ("Facts", "1. three"), ("Other", "five"), ("Facts", " ")]
+    got = merge(spark, [("n", note, "Twin"), ("m", "- a\n", "Twin"), ("o", "plain", "Twin"), ("e", None, "T")], [("n", k, *x) for k, x in enumerate(add)] + [("m", 0, "x", "b"), ("o", 0, "", "b\nc"), ("o", 1, "", "d")], [("n", 0, "a or b"), ("n", 1, "a or b")])
+    assert got["n"] == "intro\n\n## Facts\n- one\n- two\n- three\n\n## Other\ntext\n\n- five\n\n## Merged from: Twin\n- four\n\n## Unresolved conflicts\n- a or b"
+    assert got["m"] == "- a\n- b" and got["o"] == "plain\n\nb\nc\n- d" and got["e"] == ""
+
+
+def test_sections_hold_their_subsections_and_code_has_no_headings(spark):
+    note = "# A\nx\n## B\ny\n\n```\n# C\n```\n\n# D #\nz\n# A\nw"
+    got = merge(spark, [("n", note, "T")], [("n", 0, "A", "p"), ("n", 1, "B", "q"), ("n", 2, "C", "r"), ("n", 3, "D", "s")])
+    assert got["n"] == "# A\nx\n## B\ny\n\n```\n# C\n```\n\n- p\n- q\n\n# D #\nz\n\n- s\n# A\nw\n\n## Merged from: T\n- r"
+
+
+def test_distilled(spark):
+    df = spark.createDataFrame([(" sum ", ["- a", "b", "a", " "]), ("", ["x"]), ("s", [])], "s string, f array<string>")
+    assert [r[0] for r in df.select(writing.distilled(F.col("s"), F.col("f"))).collect()] == ["sum\n\n- a\n- b", "- x", "s"]
+
+
+def test_ulid_shaped(spark):
+    import hashlib
+
+    keys, letters = ["a", "", "é", "N000000001"], "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+    got = {r.k: r.ulid for r in writing.ulid_shaped(spark.createDataFrame([(k,) for k in keys], "k string"), "k").collect()}
+    for k in keys:
+        n = int.from_bytes(hashlib.sha256(k.encode()).digest()[:16], "big")
+        assert got[k] == "".join(letters[n // 32**i % 32] for i in reversed(range(26)))
 
 
 def test_links_of_every_note_are_rewritten(spark):
