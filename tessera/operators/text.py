@@ -140,18 +140,18 @@ def top_k(scored: DataFrame, k: int, key: str, by: str = "score") -> DataFrame:
 
 
 def phrase_hits(docs: DataFrame, key: str, field: str, phrases: DataFrame) -> DataFrame:
-    """Documents that hold a phrase (phrase_id, phrase of n tokens) as consecutive tokens: shingles
-    of the lengths asked for, joined by equality."""
-    sizes = [r[0] for r in phrases.select(F.size(tokens(F.col("phrase")))).distinct().collect() if r[0]]
-    asked = phrases.select("phrase_id", F.array_join(tokens(F.col("phrase")), " ").alias("shingle"))
+    """Documents that hold a phrase (phrase_id, phrase) as consecutive tokens: those that hold its first
+    three (or all, if it has fewer), met by equality of shingles, and then the whole of it. A phrase without a token is in none."""
+    asked = phrases.select("phrase_id", tokens(F.col("phrase")).alias("p")).where(F.size("p") > 0)
+    asked = asked.select("phrase_id", F.array_join("p", " ").alias("whole"), F.array_join(F.slice("p", 1, 3), " ").alias("shingle"))
     t = docs.select(key, tokens(F.col(field)).alias("t"))
-    out = None
-    for n in sizes:
-        starts = f"if(size(t) >= {n}, sequence(1, size(t) - {n - 1}), cast(array() AS array<int>))"
-        shingles = F.array_distinct(F.expr(f"transform({starts}, i -> array_join(slice(t, i, {n}), ' '))"))
-        s = t.select(key, F.explode(shingles).alias("shingle"))
-        out = s if out is None else out.unionByName(s)
-    return out.join(asked, "shingle").select("phrase_id", key).distinct()
+    starts = lambda n: f"transform(sequence(1, size(t) - {n - 1}), i -> array_join(slice(t, i, {n}), ' '))"
+    lengths = [r[0] for r in phrases.select(F.least(F.size(tokens(F.col("phrase"))), F.lit(3))).distinct().collect() if r[0]]  # three at most
+    every = F.array_distinct(F.flatten(F.array(*[F.when(F.size("t") >= n, F.expr(starts(n))).otherwise(F.array().cast("array<string>")) for n in lengths or [1]])))
+    near = t.select(key, F.explode(every).alias("shingle")).join(asked, "shingle").select("phrase_id", "whole", key)
+    lines = t.select(key, F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("line"))
+    hold = F.contains("line", F.concat(F.lit(" "), F.col("whole"), F.lit(" ")))
+    return near.join(lines, key).where(hold).select("phrase_id", key).distinct()
 
 
 # --- links and citations

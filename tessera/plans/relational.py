@@ -214,10 +214,10 @@ def _(s):
     return live_authored(s).select("id").join(s.vectors.where("stale = 0").select(F.col("node_id").alias("id")), "id", "left_anti")
 
 
-@query("j5_incidence", "SELECT n.id, e.src, e.dst, e.type FROM nodes n JOIN edges e ON (e.src = n.id OR e.dst = n.id) WHERE n.ord % 25 = 0")
+@query("j5_incidence", "SELECT n.id, e.src, e.dst, e.type FROM nodes n JOIN edges e ON (e.src = n.id OR e.dst = n.id)")
 def _(s):
     both = r.symmetrise(s.edges, "src", "dst", "type").withColumnRenamed("a", "id")
-    return s.nodes.where("ord % 25 = 0").select("id").join(both, "id").select("id", "src", "dst", "type")
+    return s.nodes.select("id").join(both, "id").select("id", "src", "dst", "type")
 
 
 @query("j6_undirected_pairs", "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst")
@@ -264,11 +264,11 @@ def _(s):
     return s.edges.where(t.live() & (F.col("provenance") == "system")).join(rev, "src").where("last > valid_from_ms").select("src", "dst", "type")
 
 
-@query("j13_two_way_hop", "SELECT id, other, direction FROM (SELECT src AS id, dst AS other, 'out' AS direction FROM edges WHERE invalidated_ms IS NULL UNION ALL SELECT dst, src, 'in' FROM edges WHERE invalidated_ms IS NULL) h WHERE id IN (SELECT id FROM nodes WHERE ord % 30 = 0)")
+@query("j13_two_way_hop", "SELECT id, other, direction FROM (SELECT src AS id, dst AS other, 'out' AS direction FROM edges WHERE invalidated_ms IS NULL UNION ALL SELECT dst, src, 'in' FROM edges WHERE invalidated_ms IS NULL) h WHERE id IN (SELECT id FROM nodes)")
 def _(s):
     e = s.edges.where(t.live())
     both = e.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("out").alias("direction")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit("in").alias("direction")))
-    return both.join(s.nodes.where("ord % 30 = 0").select("id"), "id", "left_semi").select("id", "other", "direction")
+    return both.join(s.nodes.select("id"), "id", "left_semi").select("id", "other", "direction")
 
 
 @query("j17_suffix_paths", "SELECT DISTINCT f.path, p.tail FROM files f JOIN (SELECT DISTINCT substr(path, length(path) - 7) AS raw, string_split(path, '/')[-1] AS tail FROM files WHERE branch = 'main') p ON f.path = p.tail OR ends_with(f.path, '/' || p.tail)")
@@ -404,12 +404,13 @@ def _(s):
     return rows.groupBy("id").agg(F.min(F.struct("weight", "principal_id")).alias("w")).select("id", "w.weight", "w.principal_id")
 
 
-SECTIONS = ", chunks AS (SELECT c.node_id, s.k AS seq, concat('H2: Part ', cast(s.k % 2 AS string)) AS section, substr(c.content, 1 + 200 * s.k, 200) AS text FROM current c CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) s WHERE length(c.content) > 200 * s.k)"
+#: Notes in slices of 200 characters, to their end.
+SECTIONS = ", chunks AS (SELECT node_id, cast(k AS int) AS seq, concat('H2: Part ', cast(k % 2 AS varchar)) AS section, substr(content, 1 + 200 * k, 200) AS text FROM (SELECT node_id, content, unnest(range((length(content) + 199) // 200)) AS k FROM current) c)"
 
 
 def chunks(s):
-    k = F.explode(F.sequence(F.lit(0), F.lit(3)))
-    rows = s.current.select("node_id", "content", k.alias("seq")).where("length(content) > 200 * seq")
+    k = F.explode(F.expr("sequence(0, cast((length(content) - 1) div 200 AS int))"))
+    rows = s.current.where("length(content) > 0").select("node_id", "content", k.alias("seq"))
     return rows.select("node_id", "seq", F.concat(F.lit("H2: Part "), (F.col("seq") % 2).cast("string")).alias("section"), F.expr("substr(content, 1 + 200 * seq, 200)").alias("text"))
 
 

@@ -13,7 +13,7 @@ from tessera.sources import files as f
 from tessera.sources.corpus import DAY, NOW
 
 from .registry import query
-from .relational import chunks
+from .relational import SECTIONS, chunks
 from .retrieval import BM25, FUSED, KNN, QV, asked, asked_vectors, documents, fresh, lists, pairs, ranked
 from .upkeep import RESOLVED, duplicate_pairs, links, resolved
 
@@ -94,10 +94,14 @@ def _(s):
     return both.select("query_id", "id", F.row_number().over(w).alias("place")).where("place <= 10")
 
 
-@query("u5_lost_anchors", r"""SELECT c.node_id, a AS anchor FROM (SELECT node_id, content, unnest(list_distinct(regexp_extract_all(content, '\b\d+(?:\.\d+)?\b'))) AS a FROM current) c WHERE NOT contains(substr(content, 1, 300), a)""")
+@query("u5_lost_anchors", r"""SELECT src, dst, anchor FROM (SELECT e.src, e.dst, k.content AS kept, unnest(list_distinct(regexp_extract_all(l.content, '\b\d+(?:\.\d+)?\b'))) AS anchor
+FROM (SELECT DISTINCT src, dst FROM edges WHERE type = 'duplicate_of' AND invalidated_ms IS NULL) e JOIN current k ON k.node_id = e.src JOIN current l ON l.node_id = e.dst) p WHERE NOT contains(kept, anchor)""")
 def _(s):
-    found = s.current.select("node_id", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0)))).alias("anchor"))
-    return found.where(~F.contains(F.substring("content", 1, 300), F.col("anchor"))).select("node_id", "anchor")
+    """Facts of a duplicate that the note which would take its place doesn't hold."""
+    e = s.edges.where(t.live() & (F.col("type") == "duplicate_of")).select("src", "dst").distinct()
+    e = e.join(s.current.select(F.col("node_id").alias("src"), F.col("content").alias("kept")), "src").join(s.current.select(F.col("node_id").alias("dst"), "content"), "dst")
+    found = e.select("src", "dst", "kept", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0)))).alias("anchor"))
+    return found.where(~F.contains("kept", "anchor")).select("src", "dst", "anchor")
 
 
 @query("f9_fold_replay")
@@ -116,7 +120,7 @@ def _(s):
     return rows.select("query_id", "place", "id", "title", F.when(~x.summary_is_redundant(summary, chunk), summary).alias("summary"), chunk.alias("best_chunk"), "folded")
 
 
-@query("x11_narrowed", """, chunks AS (SELECT c.node_id, s.k AS seq, concat('H2: Part ', cast(s.k % 2 AS string)) AS section, substr(c.content, 1 + 200 * s.k, 200) AS text FROM current c CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) s WHERE length(c.content) > 200 * s.k)
+@query("x11_narrowed", SECTIONS + """
 SELECT n.id AS node_id, coalesce(cast(sum(length(text)) FILTER (section = 'H2: Part 1') AS bigint), 0) AS chars, count(*) FILTER (section = 'H2: Part 1') = 0 AS missing FROM nodes n JOIN chunks c ON c.node_id = n.id GROUP BY n.id""")
 def _(s):
     one = F.col("section") == "H2: Part 1"

@@ -12,7 +12,7 @@ from tessera.operators import writing as wr
 from tessera.sources.corpus import DAY, NOW
 
 from .registry import query
-from .relational import ENDS, LIVE_AUTHORED, RANKED, _ends, decided, live_authored, ranked_links
+from .relational import ENDS, LIVE_AUTHORED, RANKED, SECTIONS, _ends, chunks, decided, live_authored, ranked_links
 from .retrieval import KNN, asked_vectors, fresh
 
 SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
@@ -96,10 +96,8 @@ def _(s):
     return wr.chunk(s.current.select("node_id", "content"), "node_id", "content")
 
 
-@query("x10_sections", "SELECT node_id, seq, coalesce(CASE WHEN seq > 0 THEN section END, '(preamble)') AS section FROM (SELECT node_id, k AS seq, concat('H2: Part ', cast(k % 2 AS string)) AS section FROM current CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) z WHERE length(content) > 200 * k) c")
+@query("x10_sections", SECTIONS + " SELECT node_id, seq, coalesce(CASE WHEN seq > 0 THEN section END, '(preamble)') AS section FROM chunks")
 def _(s):
-    from .relational import chunks
-
     return chunks(s).select("node_id", "seq", F.coalesce(F.when(F.col("seq") > 0, F.col("section")), F.lit("(preamble)")).alias("section"))
 
 
@@ -152,9 +150,9 @@ def _(s):
     return s.nodes.groupBy(x.age_bucket((NOW - F.col("created_ms")) / 86_400_000.0).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("x19_merged_queries", r"SELECT regexp_replace(lower(trim(substr(text, 1, 12))), '\s+', ' ', 'g') AS q, count(*) AS n, cast(count(DISTINCT lang) AS bigint) AS labels FROM documents GROUP BY 1")
+@query("x19_merged_queries", r"SELECT regexp_replace(lower(trim(text)), '\s+', ' ', 'g') AS q, count(*) AS n, cast(count(DISTINCT lang) AS bigint) AS labels FROM documents GROUP BY 1")
 def _(s):
-    q = x.normalize_query(F.substring("text", 1, 12))
+    q = x.normalize_query(F.col("text"))
     return s.table("documents").groupBy(q.alias("q")).agg(F.count("*").alias("n"), F.size(F.collect_set("lang")).cast("bigint").alias("labels"))
 
 
@@ -500,9 +498,9 @@ def _(s):
     return s.sessions.groupBy("principal_id").agg(kind.alias("kind"), F.count("*").alias("sessions"))
 
 
-@query("z5_token_lookup", "SELECT id FROM sessions WHERE sha256(id) IN (SELECT sha256(created_by_session) FROM nodes WHERE ord % 50 = 0)")
+@query("z5_token_lookup", "SELECT id FROM sessions WHERE sha256(id) IN (SELECT sha256(created_by_session) FROM nodes)")
 def _(s):
-    hashes = s.nodes.where("ord % 50 = 0").select(F.sha2("created_by_session", 256).alias("h")).distinct()
+    hashes = s.nodes.select(F.sha2("created_by_session", 256).alias("h")).distinct()
     return s.sessions.withColumn("h", F.sha2("id", 256)).join(hashes, "h", "left_semi").select("id")
 
 

@@ -43,11 +43,11 @@ FROM documents CROSS JOIN (SELECT 1 AS rev UNION ALL SELECT 2 UNION ALL SELECT 3
 EDGES = """
 SELECT concat('N', lpad(cast(s AS string), 9, '0')) AS src, concat('N', lpad(cast(t AS string), 9, '0')) AS dst, type,
  min(prov) AS provenance, round(min(w), 2) AS weight, min(vf) AS valid_from_ms, CASE WHEN (min(k)) % 13 = 0 THEN min(vf) + 604800000 END AS invalidated_ms
-FROM (SELECT l_orderkey % n AS s, (l_partkey * 7 + l_linenumber) % n AS t,
-  CASE (l_partkey + l_linenumber) % 6 WHEN 0 THEN 'similar_to' WHEN 1 THEN 'references' WHEN 2 THEN 'relates_to' WHEN 3 THEN 'derived_from' WHEN 4 THEN 'supersedes' ELSE 'duplicate_of' END AS type,
-  CASE WHEN l_suppkey % 2 = 0 THEN 'agent' ELSE 'system' END AS prov, 0.5 + l_quantity / 100 AS w,
-  1704067200000 + (l_orderkey % 500) * 3600000 AS vf, l_orderkey + l_linenumber AS k
-  FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM documents) c WHERE l_orderkey % 20 = 0) x GROUP BY s, t, type"""
+FROM (SELECT o % n AS s, (p * 7 + k) % n AS t,
+  CASE (p + k) % 6 WHEN 0 THEN 'similar_to' WHEN 1 THEN 'references' WHEN 2 THEN 'relates_to' WHEN 3 THEN 'derived_from' WHEN 4 THEN 'supersedes' ELSE 'duplicate_of' END AS type,
+  CASE WHEN u % 2 = 0 THEN 'agent' ELSE 'system' END AS prov, 0.5 + q / 100 AS w,
+  1704067200000 + (o % 500) * 3600000 AS vf, o + k AS k
+  FROM (SELECT cast(floor(l_orderkey / 16) AS bigint) AS o, sum(l_partkey) AS p, sum(l_suppkey) AS u, max(l_quantity) AS q, count(*) AS k FROM lineitem GROUP BY 1) o CROSS JOIN (SELECT count(*) AS n FROM documents) c) x GROUP BY s, t, type"""
 
 VECTORS = """
 SELECT concat('C', lpad(cast(vec_id AS string), 9, '0')) AS chunk_id, concat('N', lpad(cast(vec_id % n AS string), 9, '0')) AS node_id,
@@ -120,11 +120,12 @@ FROM (SELECT DISTINCT unit_id, cast(regexp_replace(substr(unit_id, 2), 'x', '')
 CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k"""
 
 IMPORTS = """
-SELECT f.unit_id, concat(split_part(p.p_name, ' ', 1), cast(p.p_partkey % 30 AS string)) AS name, pos.pos, g.path AS candidate
-FROM (SELECT DISTINCT unit_id, cast(regexp_replace(substr(unit_id, 2), 'x', '') AS bigint) AS pk FROM files) f
-CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2) pos CROSS JOIN (SELECT count(*) AS n FROM part) c
-JOIN part p ON p.p_partkey = (f.pk * 3 + 1) % c.n
-JOIN (SELECT DISTINCT path, cast(regexp_replace(substr(unit_id, 2), 'x', '') AS bigint) AS pk FROM files) g ON g.pk = (f.pk * 3 + pos.pos) % c.n"""
+SELECT a.unit_id, concat(split_part(p.p_name, ' ', 1), cast(p.p_partkey % 30 AS string)) AS name, a.pos, g.path AS candidate
+FROM (SELECT unit_id, pos.pos, (pk * 3 + 1) % (SELECT count(*) FROM part) AS named, (pk * 3 + pos.pos) % (SELECT count(*) FROM part) AS wanted
+  FROM (SELECT DISTINCT unit_id, cast(regexp_replace(substr(unit_id, 2), 'x', '') AS bigint) AS pk FROM files) f
+  CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2) pos) a
+JOIN part p ON p.p_partkey = a.named
+JOIN (SELECT DISTINCT path, cast(regexp_replace(substr(unit_id, 2), 'x', '') AS bigint) AS pk FROM files) g ON g.pk = a.wanted"""
 
 #: For DuckDB: the tables as common table expressions, before a query over them.
 PRELUDE = "WITH " + ",\n".join(
