@@ -39,6 +39,14 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("bigint")
 
 
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a over UTF-16 code units."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    pair = lambda u: F.array(F.lit(0xD800) + F.shiftright(u - 0x10000, 10), F.lit(0xDC00) + (u - 0x10000).bitwiseAND(F.lit(0x3FF)))
+    units = F.flatten(F.transform(points, lambda u: F.when(u < 0x10000, F.array(u)).otherwise(pair(u))))
+    return F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def slugify(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

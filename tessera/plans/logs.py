@@ -212,7 +212,11 @@ def _(s):
     return rows.join(weights(s).where("weight < 1").select("principal_id"), "principal_id", "left_anti").select("src", "dst", "type")
 
 
-@query("e19_working_set")
+@query("e19_working_set", f""", it AS (SELECT scope, id, tokens, row_number() OVER (PARTITION BY scope ORDER BY moment DESC, id) AS n FROM (SELECT coalesce(project, '(none)') AS scope, id, ts_ms AS moment, cast(ceil(length(content) / 4.0) AS bigint) AS tokens
+  FROM nodes JOIN current ON node_id = id WHERE {LIVE_AUTHORED}) r WHERE tokens > 0),
+walk(scope, n, used, id, taken) AS (SELECT DISTINCT scope, cast(0 AS bigint), cast(0 AS bigint), cast(NULL AS varchar), false FROM it
+  UNION ALL SELECT w.scope, it.n, CASE WHEN used + tokens <= 1500 THEN used + tokens ELSE used END, it.id, used + tokens <= 1500 FROM walk w JOIN it ON it.scope = w.scope AND it.n = w.n + 1)
+SELECT scope, id FROM walk WHERE taken UNION ALL SELECT coalesce(project, '(none)'), id FROM nodes JOIN current ON node_id = id WHERE {LIVE_AUTHORED} AND length(content) = 0""")
 def _(s):
     from tessera.operators.relational import within_budget
 

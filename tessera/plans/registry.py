@@ -19,7 +19,8 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Store(spark, sf_dir))
         if sql:
-            SQL[name] = f"{PRELUDE}\n{sql}"
+            start = PRELUDE.replace("WITH ", "WITH RECURSIVE ", 1) if "\nwalk(" in sql else PRELUDE
+            SQL[name] = f"{start}\n{sql}"
         return f
 
     return add

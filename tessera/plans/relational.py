@@ -499,7 +499,11 @@ def _(s):
     return s.edges.join(low, "type").select("src", "dst", "type", F.round(scaled, 6).alias("scaled"))
 
 
-@query("w6_budget")
+@query("w6_budget", """, it AS (SELECT session, id, tokens, row_number() OVER (PARTITION BY session ORDER BY moment DESC, id) AS n FROM (SELECT created_by_session AS session, node_id AS id, ts_ms AS moment, cast(ceil(length(content) / 4.0) AS bigint) AS tokens
+  FROM current JOIN nodes ON id = node_id) r WHERE tokens > 0),
+walk(session, n, used, id, taken) AS (SELECT DISTINCT session, cast(0 AS bigint), cast(0 AS bigint), cast(NULL AS varchar), false FROM it
+  UNION ALL SELECT w.session, it.n, CASE WHEN used + tokens <= 1500 THEN used + tokens ELSE used END, it.id, used + tokens <= 1500 FROM walk w JOIN it ON it.session = w.session AND it.n = w.n + 1)
+SELECT session, id FROM walk WHERE taken UNION ALL SELECT created_by_session, node_id FROM current JOIN nodes ON id = node_id WHERE length(content) = 0""")
 def _(s):
     rows = s.current.join(s.nodes.select(F.col("id").alias("node_id"), "created_by_session"), "node_id").select(F.col("created_by_session").alias("session"), (-F.col("ts_ms")).alias("newest"), F.col("node_id").alias("id"), x.estimate_tokens(F.col("content")).alias("tokens"))
     return r.within_budget(rows, "session", ["newest"], "tokens", 1500, "id")
@@ -539,12 +543,10 @@ def _(s):
     return s.nodes.where(t.live() & F.col("project").isNotNull()).groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(7)
 
 
-@query("k5_hash_sample")
+@query("k5_hash_sample", """SELECT item_id, list_reduce(list_prepend(cast(2166136261 AS bigint), list_transform(regexp_extract_all(text, '(?s).'), lambda c: cast(unicode(c) AS bigint))), lambda h, u: (xor(h, u) * 16777619) & 4294967295) AS h
+FROM benchmark ORDER BY h, item_id LIMIT 20""")
 def _(s):
-    from tessera.operators.vector import fnv1a
-
-    h = F.pandas_udf(lambda c: c.map(fnv1a), "bigint")
-    return s.table("benchmark").select("item_id", h(F.col("text")).alias("h")).orderBy("h", "item_id").limit(20)
+    return s.table("benchmark").select("item_id", x.fnv1a(F.col("text")).alias("h")).orderBy("h", "item_id").limit(20)
 
 
 # --- sets

@@ -86,7 +86,14 @@ def _(s):
     return s.nodes.select("id", F.coalesce((p == "src1") | F.startswith(F.lit("src1"), F.concat(p, F.lit("-"))), F.lit(False)).alias("own"))
 
 
-@query("x3_rewrite_links")
+SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+NAME = "split_part(split_part(substr(p, 3, length(p) - 4), '|', 1), '#', 1)"
+FIRST = r"split_part(split_part(regexp_extract(body, '\[\[([^\]]+)\]\]', 1), '|', 1), '#', 1)"
+MEANT = f"starts_with(p, '[[') AND {SLUG.format(NAME)} = want"
+
+
+@query("x3_rewrite_links", rf""", pc AS (SELECT id, regexp_extract_all(body, '{wr.PIECES}') AS ps, {SLUG.format(FIRST)} AS want FROM linked)
+SELECT id, sha256(array_to_string(list_transform(ps, lambda p: CASE WHEN {MEANT} THEN '[[' || id || substr(p, 3 + length({NAME})) ELSE p END), '')) AS text_sha, cast(len(list_filter(ps, lambda p: {MEANT})) AS int) AS n FROM pc""")
 def _(s):
     return wr.rewrite_links(s.linked, "id", "body", F.col("id"))
 
@@ -101,7 +108,8 @@ def _(s):
     return chunks(s).select("node_id", "seq", F.coalesce(F.when(F.col("seq") > 0, F.col("section")), F.lit("(preamble)")).alias("section"))
 
 
-@query("x12_anchors")
+@query("x12_anchors", r"""SELECT id, anchor FROM (SELECT id, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(body, '\[\[[^\]]+\]\]'), regexp_extract_all(body, 'https?://[^\s)\]>]+')),
+  list_concat(regexp_extract_all(body, '\b\d+(?:\.\d+)?\b'), regexp_extract_all(body, '`[^`\n]+`'))))) AS anchor FROM linked) a""")
 def _(s):
     return wr.anchors(s.linked, "id", "body")
 
@@ -140,7 +148,8 @@ def _(s):
     return s.candidates.select("id", x.member_hash(F.col("kind"), F.array("a", "b")).alias("hash"))
 
 
-@query("x16_ulid_shaped")
+@query("x16_ulid_shaped", """, hx AS (SELECT id, '00' || array_to_string(list_transform(range(1, 33), lambda i: format('{:04b}', strpos('0123456789abcdef', substr(sha256(id), i, 1)) - 1)), '') AS bits FROM nodes)
+SELECT id, array_to_string(list_transform(range(26), lambda i: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', cast(1 + list_sum(list_transform(range(5), lambda j: cast(substr(bits, cast(5 * i + j + 1 AS bigint), 1) AS int) * (16 >> j))) AS bigint), 1)), '') AS ulid FROM hx""")
 def _(s):
     return wr.ulid_shaped(s.nodes.select("id"), "id")
 

@@ -195,8 +195,11 @@ def test_xorshift_is_the_32_bit_sequence():
     assert [next(g) for _ in range(5)] == want and want[0] == 270369 / 2**32
 
 
-def test_fnv1a():
+def test_fnv1a(spark):
     assert vector.fnv1a("") == 0x811C9DC5 and vector.fnv1a("a") == 0xE40C292C
+    texts = ["", "a", "é ñ", "a\nb", "\U0001F600 x", "日本"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.fnv1a(F.col("t")).alias("h")).collect()
+    assert all(r.h == vector.fnv1a(r.t) for r in rows)
 
 
 def test_streams_agree_with_batch(spark, tmp_path):
