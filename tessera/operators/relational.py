@@ -93,6 +93,38 @@ def within_budget(df: DataFrame, key: str, order: Sequence[str], cost: str, budg
     return walked.unionByName(df.where(F.col(cost) <= 0).select(key, item))
 
 
+def resolve_scopes(requests: DataFrame, repos: DataFrame, branches: DataFrame) -> DataFrame:
+    """Which branch of which repository each request reads: request_id, repo_id, branch, note.
+
+    ``requests`` (request_id, repo, branch, remote, ctx_branch): a named repository (all of that name), else that
+    of the caller's remote, else all. The branch asked for, else the caller's own in their repository, else
+    the default one. A branch that is not indexed is replaced by the default, unless it was
+    asked for by name; ``note`` says so, or why there is no branch."""
+    r = repos.select("repo_id", "display_name", "remote_key", "default_branch")
+    named = requests.where("repo IS NOT NULL").join(r, F.col("repo") == F.col("display_name"), "left")
+    own = requests.where("repo IS NULL AND remote IS NOT NULL").join(r, F.col("remote") == F.col("remote_key"), "left")
+    every = requests.where("repo IS NULL AND remote IS NULL").crossJoin(r)  # such a request reads all repositories
+    rows = named.unionByName(own).unionByName(every)
+    rows = rows.withColumn("wanted", F.coalesce("branch", F.when(F.col("remote") == F.col("remote_key"), F.col("ctx_branch"))))
+    live = branches.where("retired_ms IS NULL")
+    for name in ("wanted", "default_branch"):
+        there = live.select(F.col("repo_id").alias("r"), F.col("branch").alias("b"), F.lit(True).alias(f"has_{name}")).distinct()
+        rows = rows.join(there, (F.col("repo_id") == F.col("r")) & (F.col(name) == F.col("b")), "left").drop("r", "b")
+    asked = F.col("wanted").isNotNull()
+    stuck = asked & (F.col("branch").isNotNull() | F.col("default_branch").isNull() | (F.col("default_branch") == F.col("wanted")))
+    what = (
+        F.when(F.col("repo_id").isNull(), F.when(F.col("repo").isNotNull(), "unknown repository").otherwise("remote not indexed"))
+        .when(F.col("has_wanted"), F.lit(None))
+        .when(stuck, "branch not indexed")
+        .when(F.col("default_branch").isNull(), "no default branch")
+        .when(F.col("has_default_branch").isNull(), "default branch not indexed")
+        .when(asked, "default branch instead")
+    )
+    rows = rows.withColumn("note", what)
+    branch = F.when(F.col("has_wanted"), F.col("wanted")).when(F.col("note").isNull() | (F.col("note") == "default branch instead"), F.col("default_branch"))
+    return rows.select("request_id", "repo_id", branch.alias("branch"), "note")
+
+
 def branch_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Paths of two file lists (path, unit_id) with what happened: added, changed or removed."""
     both = before.select("path", F.col("unit_id").alias("old")).join(after.select("path", F.col("unit_id").alias("new")), "path", "full")

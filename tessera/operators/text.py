@@ -21,6 +21,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def stem(word: Column) -> Column:
+    """A word without the commonest English endings, so that plurals and verb forms meet."""
+    w = F.regexp_replace(F.regexp_replace(word, "sses$", "ss"), "ies$", "i")
+    w = F.regexp_replace(F.regexp_replace(w, "([^su])s$", "$1"), "([aeiouy][a-z]*[^aeiou])(?:ing|ed)$", "$1")
+    return F.when(F.length(word) <= 3, word).otherwise(w)
+
+
 def derive_summary(content: Column) -> Column:
     """The first line that is neither blank nor a heading, cut at 160 characters."""
     lines = F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
@@ -108,11 +115,11 @@ def query_terms(queries: DataFrame, key: str, raw: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, *fields: str) -> DataFrame:
-    """key, field, term, tf, dl (length of the field)."""
+    """key, field, stemmed term, tf, dl (length of the field)."""
     out = None
     for f in fields:
         t = docs.select(key, F.lit(f).alias("field"), tokens(F.col(f)).alias("t")).withColumn("dl", F.size("t"))
-        t = t.select(key, "field", "dl", F.explode("t").alias("term"))
+        t = t.select(key, "field", "dl", F.explode("t").alias("term")).withColumn("term", stem(F.col("term")))
         out = t if out is None else out.unionByName(t)
     return out.groupBy(key, "field", "term", "dl").agg(F.count("*").alias("tf"))
 
@@ -130,7 +137,7 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str, fields: tuple[str, ...]
     Postings are cut to the terms that are asked for before anything is joined to them; frequencies
     of documents come from those postings, lengths ride along, so one shuffle by term is enough."""
     posted = postings(docs, key, *fields)
-    asked = queries.select("query_id", "term").distinct()
+    asked = queries.select("query_id", stem(F.col("term")).alias("term")).distinct()
     hits = posted.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     # one row for each field

@@ -12,7 +12,7 @@ from tessera.sources.corpus import HOUR, NOW
 
 from .registry import query
 from .relational import LIVE_AUTHORED, WEIGHTS, auc, live_authored
-from .retrieval import KNN, asked_vectors, fresh
+from .retrieval import KNN, TOK, asked_vectors, fresh
 
 SHOWN = """, sh AS (SELECT event_id, session_id, ts, r.r AS rank, (base + r.r) % n AS id FROM log CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) r CROSS JOIN (SELECT count(*) AS n FROM documents) c WHERE action = 'search'),
 ft AS (SELECT sh.*, EXISTS (SELECT 1 FROM log g WHERE g.action = 'get' AND g.session_id = sh.session_id AND g.base = sh.id AND g.ts > sh.ts) AS hit FROM sh)"""
@@ -139,7 +139,13 @@ def _(s):
 @query("e9_bootstrap")
 def _(s):
     rows = measured(s).select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("arm"), F.col("rr").alias("a"), F.col("ndcg").alias("b"))
-    return e.paired_bootstrap(rows, iterations=200)
+    return e.paired_bootstrap(rows)
+
+
+@query("e9_unpaired")
+def _(s):
+    rows = measured(s).select("query_id", F.when(F.col("query_id") % 3 == 0, "a").otherwise("b").alias("side"), F.lit("thirds").alias("arm"), F.col("ndcg").alias("value"))
+    return e.unpaired_bootstrap(rows)
 
 
 SWEEP = [0.35 + 0.05 * i for i in range(12)]
@@ -269,6 +275,13 @@ def _(s):
     return s.queue.where(ELIGIBLE).select("node_id")
 
 
+@query("st2_batch", f"SELECT node_id, attempts, CASE WHEN attempts + 1 >= 5 THEN 'parked' ELSE 'retry' END AS on_failure FROM queue WHERE {ELIGIBLE} ORDER BY last_attempt_ms NULLS FIRST, node_id LIMIT 16")
+def _(s):
+    """The next batch, longest waiting first, and what becomes of each entry if it fails again."""
+    after = F.when(F.col("attempts") + 1 >= 5, "parked").otherwise("retry")
+    return s.queue.where(ELIGIBLE).orderBy(F.asc_nulls_first("last_attempt_ms"), "node_id").limit(16).select("node_id", "attempts", after.alias("on_failure"))
+
+
 @query("st3_reconcile", f"SELECT id FROM nodes WHERE {LIVE_AUTHORED} AND id NOT IN (SELECT node_id FROM vectors WHERE stale = 0) AND id NOT IN (SELECT node_id FROM queue)")
 def _(s):
     known = fresh(s).select(F.col("node_id").alias("id")).union(s.queue.select("node_id"))
@@ -291,11 +304,11 @@ def _(s):
     return s.jobs.groupBy("kind").agg((F.max("ended_ms").isNull() | (F.max("ended_ms") + 6 * HOUR <= NOW)).alias("due"))
 
 
-@query("st7_quota", "SELECT user_id, date_trunc('hour', ts) AS start, count(*) AS calls FROM events GROUP BY 1, 2")
+@query("st7_quota", "SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS start, count(*) AS calls FROM events CROSS JOIN (SELECT unnest(range(6)) AS k) s GROUP BY 1, 2")
 def _(s):
     from tessera.streaming import quota_windows
 
-    return quota_windows(s.table("events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "calls")
+    return quota_windows(s.table("events"), slide="10 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "calls")
 
 
 @query("st8_burst", "SELECT e.src, e.dst, e.type FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.created_by_session = b.created_by_session AND abs(a.created_ms - b.created_ms) < 360000000")
@@ -339,10 +352,23 @@ def _(s):
     return s.log.where("action = 'get'").join(first, "session_id", "left").select("event_id", v_.alias("searched_before"))
 
 
-@query("z20_role_agreement", "SELECT type, count(*) AS n, round(avg(CASE WHEN (weight > 0.75) = (provenance = 'agent') THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM edges GROUP BY type")
+@query("z20_role_agreement", rf""", tx AS (SELECT node_id, list_distinct(list_filter({TOK.format("content")}, lambda w: regexp_matches(w, '^[a-z]{{{{3,}}}}$'))) AS w, list_distinct(regexp_extract_all(content, '\b\d+(?:\.\d+)?\b')) AS nums FROM current),
+mj AS (SELECT type, max(n) * 1.0 / sum(n) AS majority FROM (SELECT type, provenance, count(*) AS n FROM edges GROUP BY ALL) c GROUP BY type)
+SELECT type, count(*) AS n, round(avg(CASE WHEN (weight > 0.75) = (provenance = 'agent') THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(any_value(majority), 6) AS majority,
+  round(avg(CASE WHEN len(a.w) = 0 THEN 1 ELSE len(list_intersect(a.w, b.w)) * 1.0 / len(a.w) END), 5) AS coverage, cast(sum(len(b.nums) - len(list_intersect(a.nums, b.nums))) AS bigint) AS invented_numbers
+FROM edges e JOIN mj USING (type) JOIN tx a ON a.node_id = e.src JOIN tx b ON b.node_id = e.dst GROUP BY type""".replace("{{", "{").replace("}}", "}"))
 def _(s):
+    """Verdicts against labels and their majority; what the second text keeps of the first one's words, and numbers that only it has."""
+    words = F.array_distinct(F.filter(x.tokens(F.col("content")), lambda w: w.rlike("^[a-z]{3,}$")))
+    numbers = F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0)))
+    tx = s.current.select("node_id", words.alias("w"), numbers.alias("nums"))
+    rows = s.edges.join(tx.select(F.col("node_id").alias("src"), F.col("w").alias("a"), F.col("nums").alias("m")), "src").join(tx.select(F.col("node_id").alias("dst"), F.col("w").alias("b"), F.col("nums").alias("k")), "dst")
     right = ((F.col("weight") > 0.75) == (F.col("provenance") == "agent")).cast("double")
-    return s.edges.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"))
+    common = s.edges.groupBy("type", "provenance").agg(F.count("*").alias("c")).groupBy("type").agg(F.round(F.max("c") / F.sum("c"), 6).alias("majority"))
+    out = rows.groupBy("type").agg(
+        F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(x.coverage(F.col("a"), F.col("b"))), 5).alias("coverage"), F.sum(F.size(F.array_except("k", "m"))).cast("long").alias("invented_numbers")
+    )
+    return out.join(common, "type")
 
 
 @query("z21_logged_queries", "SELECT json_extract_string(props, '$.k') AS q, max(ts) AS last FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")

@@ -13,7 +13,7 @@ from tessera.sources.corpus import DAY, NOW
 
 from .registry import query
 from .relational import ENDS, LIVE_AUTHORED, RANKED, SECTIONS, _ends, chunks, decided, live_authored, ranked_links
-from .retrieval import KNN, asked_vectors, fresh
+from .retrieval import KNN, TOK, asked_vectors, bm25_sql, fresh
 
 SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
@@ -397,9 +397,26 @@ def scope(s, branch="main"):
     return s.files.where(t.live() & (F.col("branch") == branch)).select("path", "unit_id")
 
 
-@query("d1_scope", "SELECT n.id, coalesce(CASE WHEN n.ord % 3 = 0 THEN 'dev' END, CASE WHEN n.ord % 5 = 0 THEN 'main' END, 'main') AS branch FROM nodes n")
+REPOS = "SELECT n_nationkey AS repo_id, n_name AS display_name, concat('host/', lower(n_name)) AS remote_key, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'dev' ELSE 'main' END AS default_branch FROM nation"
+BRANCHES = "SELECT n_nationkey AS repo_id, 'main' AS branch, cast(NULL AS bigint) AS retired_ms FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT n_nationkey, 'dev', CASE WHEN n_nationkey % 5 = 0 THEN 1 END FROM nation"
+REQUESTS = """SELECT id AS request_id, CASE WHEN ord % 3 = 0 THEN coalesce(a.n_name, 'NOWHERE') END AS repo, CASE ord % 5 WHEN 0 THEN 'dev' WHEN 1 THEN 'feature' END AS branch,
+  CASE WHEN ord % 2 = 0 THEN concat('host/', coalesce(lower(b.n_name), 'nowhere')) END AS remote, CASE WHEN ord % 2 = 0 THEN (CASE WHEN ord % 7 < 3 THEN 'dev' ELSE 'main' END) END AS ctx_branch
+  FROM nodes LEFT JOIN nation a ON a.n_nationkey = ord % 27 LEFT JOIN nation b ON b.n_nationkey = ord % 26"""
+
+
+@query("d1_scope", f""", rp AS ({REPOS}), br AS ({BRANCHES}), rq AS ({REQUESTS}),
+ch AS (SELECT rq.*, rp.* FROM rq LEFT JOIN rp ON rq.repo = rp.display_name WHERE rq.repo IS NOT NULL UNION ALL SELECT rq.*, rp.* FROM rq LEFT JOIN rp ON rq.remote = rp.remote_key WHERE rq.repo IS NULL AND rq.remote IS NOT NULL
+  UNION ALL SELECT rq.*, rp.* FROM rq, rp WHERE rq.repo IS NULL AND rq.remote IS NULL),
+wa AS (SELECT *, coalesce(branch, CASE WHEN remote = remote_key THEN ctx_branch END) AS wanted FROM ch),
+li AS (SELECT *, EXISTS (SELECT 1 FROM br WHERE br.repo_id = wa.repo_id AND br.branch = wa.wanted AND retired_ms IS NULL) AS w, EXISTS (SELECT 1 FROM br WHERE br.repo_id = wa.repo_id AND br.branch = wa.default_branch AND retired_ms IS NULL) AS d FROM wa),
+nt AS (SELECT *, CASE WHEN repo_id IS NULL AND repo IS NOT NULL THEN 'unknown repository' WHEN repo_id IS NULL THEN 'remote not indexed' WHEN w THEN NULL
+  WHEN wanted IS NOT NULL AND (branch IS NOT NULL OR default_branch IS NULL OR default_branch = wanted) THEN 'branch not indexed' WHEN default_branch IS NULL THEN 'no default branch' WHEN NOT d THEN 'default branch not indexed' WHEN wanted IS NOT NULL THEN 'default branch instead' END AS note FROM li)
+SELECT request_id, repo_id, CASE WHEN w THEN wanted WHEN note IS NULL OR note = 'default branch instead' THEN default_branch END AS branch, note FROM nt""")
 def _(s):
-    return s.nodes.select("id", F.coalesce(F.when(F.col("ord") % 3 == 0, "dev"), F.when(F.col("ord") % 5 == 0, "main"), F.lit("main")).alias("branch"))
+    nation = s.table("nation")
+    repos, branches = (s.spark.sql(q.replace("FROM nation", "FROM {nation}"), nation=nation) for q in (REPOS, BRANCHES))
+    requests = s.spark.sql(REQUESTS.replace("FROM nodes", "FROM {nodes}").replace("JOIN nation", "JOIN {nation}"), nodes=s.nodes, nation=nation)
+    return r.resolve_scopes(requests, repos, branches)
 
 
 @query("d3_retired_branches", f"SELECT branch, max(valid_from_ms) AS seen FROM files GROUP BY branch HAVING max(valid_from_ms) < {NOW - 14 * DAY} AND branch <> 'main'")
@@ -475,9 +492,17 @@ def _(s):
     return refs.join(best, "name").select("id", "symbol")
 
 
-@query("t5_symbol_search", SCOPE + " SELECT y.id, y.qualified FROM symbols y WHERE contains(y.qualified, 'widget') AND y.unit_id IN (SELECT unit_id FROM sf) ORDER BY y.qualified, y.id LIMIT 40")
+@query("t5_symbol_search", SCOPE + bm25_sql(", q AS (SELECT DISTINCT split_part(qualified, '.', 1) AS query_id, lower(split_part(qualified, '.', 1)) AS term FROM symbols)",
+  f"SELECT id, 'qualified' AS field, {TOK.format('qualified')} AS toks FROM symbols UNION ALL SELECT id, 'summary', {TOK.format('name')} FROM symbols") + """,
+un AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5000)
+SELECT query_id, id, score FROM un JOIN symbols USING (id) WHERE unit_id IN (SELECT unit_id FROM sf) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 40""")
 def _(s):
-    return s.symbols.where(F.contains("qualified", F.lit("widget"))).join(scope(s), "unit_id", "left_semi").orderBy("qualified", "id").limit(40).select("id", "qualified")
+    """The 5,000 best of all symbols, then those of the scope, then 40 of them."""
+    word = F.split_part("qualified", F.lit("."), F.lit(1))
+    asked = s.symbols.select(word.alias("query_id"), F.lower(word).alias("term")).distinct()
+    hits = x.top_k(x.bm25(asked, s.symbols.select("id", "qualified", F.col("name").alias("summary")), "id", ("qualified", "summary")), 5000, "id").drop("rank")
+    mine = s.symbols.join(scope(s), "unit_id", "left_semi").select("id")
+    return x.top_k(hits.join(mine, "id", "left_semi"), 40, "id").select("query_id", "id", "score")
 
 
 # --- reads, mutations and checks

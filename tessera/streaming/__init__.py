@@ -20,10 +20,10 @@ def activity_feed(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.error").isNull().alias("ok"))
 
 
-def quota_windows(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Calls of each user in tumbling windows; later data than the watermark is dropped."""
+def quota_windows(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Calls of each user in windows, one after another or each ``slide`` later than the one before; later data than the watermark is dropped."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return timed.groupBy("user_id", F.window("at", window).alias("w")).agg(F.count("*").alias("calls")).select("user_id", F.col("w.start").alias("start"), "calls")
+    return timed.groupBy("user_id", F.window("at", window, slide).alias("w")).agg(F.count("*").alias("calls")).select("user_id", F.col("w.start").alias("start"), "calls")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
