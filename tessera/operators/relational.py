@@ -125,6 +125,44 @@ def resolve_scopes(requests: DataFrame, repos: DataFrame, branches: DataFrame) -
     return rows.select("request_id", "repo_id", branch.alias("branch"), "note")
 
 
+def fold_jobs(events: DataFrame, lease_ms: int, most: int) -> DataFrame:
+    """job, state, owner, expires_ms, attempts, ended_ms: what events (job, at_ms, seq, op, owner) leave of each
+    job, taken in order of time and number.
+
+    ``claim`` leases a job that is pending, or running with a lease that has ended, up to ``most`` times; only its owner
+    can ``renew``, ``succeed`` or ``fail`` it, and a failure gives it back while attempts are left;
+    ``cancel`` ends what has not ended; ``reconcile``, after a crash, gives back or fails what runs."""
+    start = F.struct(
+        F.lit("pending").alias("state"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("long").alias("expires_ms"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("long").alias("ended_ms")
+    )
+
+    def step(z, x):
+        running, spent = z["state"] == "running", z["attempts"] >= most
+        mine = running & (z["owner"] == x["owner"])
+        free = (z["state"] == "pending") | (running & (z["expires_ms"] <= x["at_ms"]))
+        open_ = ~z["state"].isin("done", "failed", "cancelled")
+
+        def becomes(state, owner=None, expires=None, attempts=None, ended=None):
+            return F.struct(
+                F.lit(state).alias("state"), (F.lit(None).cast("string") if owner is None else owner).alias("owner"), (F.lit(None).cast("long") if expires is None else expires).alias("expires_ms"),
+                (z["attempts"] if attempts is None else attempts).alias("attempts"), (F.lit(None).cast("long") if ended is None else ended).alias("ended_ms"),
+            )
+
+        op, now = x["op"], x["at_ms"]
+        back = F.when(spent, becomes("failed", ended=now)).otherwise(becomes("pending"))
+        return (
+            F.when((op == "claim") & free & ~spent, becomes("running", x["owner"], now + lease_ms, z["attempts"] + 1))
+            .when((op == "renew") & mine, becomes("running", z["owner"], now + lease_ms))
+            .when((op == "succeed") & mine, becomes("done", ended=now))
+            .when(((op == "fail") & mine) | ((op == "reconcile") & running), back)
+            .when((op == "cancel") & open_, becomes("cancelled", ended=now))
+            .otherwise(z)
+        )
+
+    history = F.sort_array(F.collect_list(F.struct("at_ms", "seq", "op", "owner")))
+    return events.groupBy("job").agg(F.aggregate(history, start, step).alias("z")).select("job", "z.*")
+
+
 def branch_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Paths of two file lists (path, unit_id) with what happened: added, changed or removed."""
     both = before.select("path", F.col("unit_id").alias("old")).join(after.select("path", F.col("unit_id").alias("new")), "path", "full")

@@ -299,6 +299,28 @@ def _(s):
     return s.jobs.where(ready).groupBy("kind").agg(F.min_by("id", F.struct("scheduled_ms", "id")).alias("id"))
 
 
+JOB_EVENTS = """SELECT concat(cast(user_id AS string), '-', cast(event_id % 4 AS string)) AS job, {ms} AS at_ms, event_id AS seq,
+  CASE event_id % 9 WHEN 3 THEN 'renew' WHEN 4 THEN 'succeed' WHEN 5 THEN 'fail' WHEN 6 THEN 'fail' WHEN 7 THEN (CASE WHEN event_id % 36 = 7 THEN 'cancel' ELSE 'renew' END) WHEN 8 THEN (CASE WHEN event_id % 27 = 8 THEN 'reconcile' ELSE 'claim' END) ELSE 'claim' END AS op,
+  concat('w', cast(event_id % 2 AS string)) AS owner FROM {events}"""
+
+
+@query("st5_job_states", ", je AS (" + JOB_EVENTS.format(ms="epoch_us(ts) // 1000", events="events") + f"""), hs AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY at_ms, seq) AS n FROM je),
+walk(job, n, state, owner, expires_ms, attempts, ended_ms) AS (SELECT DISTINCT job, cast(0 AS bigint), 'pending', cast(NULL AS varchar), cast(NULL AS bigint), cast(0 AS bigint), cast(NULL AS bigint) FROM je
+  UNION ALL SELECT w.job, h.n, c.s.state, c.s.owner, c.s.expires_ms, c.s.attempts, c.s.ended_ms FROM walk w JOIN hs h ON h.job = w.job AND h.n = w.n + 1, LATERAL (SELECT CASE
+    WHEN h.op = 'claim' AND (w.state = 'pending' OR (w.state = 'running' AND w.expires_ms <= h.at_ms)) AND w.attempts < 3 THEN {{'state': 'running', 'owner': h.owner, 'expires_ms': h.at_ms + {HOUR}, 'attempts': w.attempts + 1, 'ended_ms': cast(NULL AS bigint)}}
+    WHEN h.op = 'renew' AND w.state = 'running' AND w.owner = h.owner THEN {{'state': 'running', 'owner': w.owner, 'expires_ms': h.at_ms + {HOUR}, 'attempts': w.attempts, 'ended_ms': cast(NULL AS bigint)}}
+    WHEN h.op = 'succeed' AND w.state = 'running' AND w.owner = h.owner THEN {{'state': 'done', 'owner': cast(NULL AS varchar), 'expires_ms': cast(NULL AS bigint), 'attempts': w.attempts, 'ended_ms': h.at_ms}}
+    WHEN w.state = 'running' AND ((h.op = 'fail' AND w.owner = h.owner) OR h.op = 'reconcile') THEN {{'state': CASE WHEN w.attempts >= 3 THEN 'failed' ELSE 'pending' END, 'owner': cast(NULL AS varchar), 'expires_ms': cast(NULL AS bigint), 'attempts': w.attempts, 'ended_ms': CASE WHEN w.attempts >= 3 THEN h.at_ms END}}
+    WHEN h.op = 'cancel' AND w.state NOT IN ('done', 'failed', 'cancelled') THEN {{'state': 'cancelled', 'owner': cast(NULL AS varchar), 'expires_ms': cast(NULL AS bigint), 'attempts': w.attempts, 'ended_ms': h.at_ms}}
+    ELSE {{'state': w.state, 'owner': w.owner, 'expires_ms': w.expires_ms, 'attempts': w.attempts, 'ended_ms': w.ended_ms}} END AS s) c)
+SELECT job, state, owner, expires_ms, attempts, ended_ms FROM walk QUALIFY row_number() OVER (PARTITION BY job ORDER BY n DESC) = 1""")
+def _(s):
+    from tessera.operators.relational import fold_jobs
+
+    rows = s.spark.sql(JOB_EVENTS.format(ms="unix_millis(cast(ts AS timestamp))", events="{events}"), events=s.table("events"))
+    return fold_jobs(rows, HOUR, 3)
+
+
 @query("st6_due", f"SELECT kind, max(ended_ms) IS NULL OR max(ended_ms) + {6 * HOUR} <= {NOW} AS due FROM jobs GROUP BY kind")
 def _(s):
     return s.jobs.groupBy("kind").agg((F.max("ended_ms").isNull() | (F.max("ended_ms") + 6 * HOUR <= NOW)).alias("due"))

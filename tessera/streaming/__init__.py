@@ -37,6 +37,54 @@ def pending(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti")
 
 
+_JOB = "job string, state string, owner string, expires_ms long, attempts long, ended_ms long"
+
+
+def job_states(events: DataFrame, lease_ms: int, most: int) -> DataFrame:
+    """The state of each job after each batch that has events of it: the stateful form of
+    ``relational.fold_jobs``, for events (job, at_ms, seq, op, owner). Events of a batch are taken in order of time."""
+    import pandas as pd
+
+    def become(z: tuple, at: int, op: str, owner: str) -> tuple:
+        state, holder, expires, attempts, ended = z
+        running = state == "running"
+        mine, spent = running and holder == owner, attempts >= most
+        if op == "claim" and not spent and (state == "pending" or running and expires <= at):
+            return "running", owner, at + lease_ms, attempts + 1, None
+        if op == "renew" and mine:
+            return "running", holder, at + lease_ms, attempts, None
+        if op == "succeed" and mine:
+            return "done", None, None, attempts, at
+        if op == "fail" and mine or op == "reconcile" and running:
+            return ("failed", None, None, attempts, at) if spent else ("pending", None, None, attempts, None)
+        if op == "cancel" and state not in ("done", "failed", "cancelled"):
+            return "cancelled", None, None, attempts, at
+        return z
+
+    def run(key, frames, state):
+        z = state.get if state.exists else ("pending", None, None, 0, None)
+        rows = pd.concat(list(frames)).sort_values(["at_ms", "seq"])
+        for at, op, owner in zip(rows.at_ms, rows.op, rows.owner):
+            z = become(tuple(z), int(at), op, owner)
+        state.update(z)
+        yield pd.DataFrame([(key[0], *z)], columns=[x.split()[0] for x in _JOB.split(", ")]).astype({"expires_ms": "Int64", "ended_ms": "Int64"})
+
+    return events.groupBy("job").applyInPandasWithState(run, _JOB, _JOB.split(", ", 1)[1], "update", "NoTimeout")
+
+
+def latest(stream: DataFrame, folder: str, key: str) -> DataFrame:
+    """Run an updating stream over what is there and return the last row of each key."""
+    out = f"{folder}/stream-{uuid.uuid4().hex}"
+
+    def save(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/data")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{out}/data")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in stream.columns if c != key]), "batch").alias("z")).select(key, "z.*")
+
+
 def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run the stream over what is there, into Parquet below ``folder``, and read the result."""
     out = f"{folder}/stream-{uuid.uuid4().hex}"

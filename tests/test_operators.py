@@ -307,3 +307,54 @@ def test_phrases_of_many_lengths(spark):
     docs = spark.createDataFrame([(1, " ".join(words))], "id int, body string")
     phrases = spark.createDataFrame([(n, " ".join(words[:n])) for n in range(1, 21)], "phrase_id int, phrase string")
     assert {r.phrase_id for r in text.phrase_hits(docs, "id", "body", phrases).collect()} == set(range(1, 21))
+
+
+def test_job_states_stream_as_the_fold(spark, tmp_path):
+    rng = random.Random(14)
+    ops = ["claim"] * 4 + ["renew", "succeed", "fail", "fail", "cancel", "reconcile"]
+    rows = [(f"j{rng.randrange(30)}", 1000 * k, k, rng.choice(ops[:-2] if rng.random() < 0.9 else ops), f"w{rng.randrange(2)}") for k in range(600)]
+    schema = "job string, at_ms long, seq long, op string, owner string"
+    for k in range(3):  # three files in order of time are three batches
+        spark.createDataFrame(rows[200 * k : 200 * (k + 1)], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    df = spark.createDataFrame(rows, schema)
+    want = {tuple(r) for r in relational.fold_jobs(df, 5000, 3).collect()}
+    assert {r[1] for r in want} >= {"done", "failed", "running"}
+    got = streaming.latest(streaming.job_states(streaming.event_stream(spark, f"file://{tmp_path}/in", schema), 5000, 3), f"file://{tmp_path}/out", "job")
+    assert {tuple(r) for r in got.select("job", "state", "owner", "expires_ms", "attempts", "ended_ms").collect()} == want
+
+
+def test_bootstraps(spark):
+    rng = random.Random(3)
+    body = [(f"q{k:03d}", "x", rng.random(), rng.random() + 0.5) for k in range(80)]
+    paired = evaluation.paired_bootstrap(spark.createDataFrame(body, "query_id string, arm string, a double, b double"), 400).first()
+    mean = sum(b - a for *_, a, b in body) / 80
+    assert abs(paired.delta - mean) < 1e-9 and paired.low < mean < paired.high and paired.high - paired.low < 0.4
+    sides = [(q, "x", "ab"[k % 2], a + k % 2) for k, (q, _, a, _) in enumerate(body)]
+    both = evaluation.unpaired_bootstrap(spark.createDataFrame(sides, "query_id string, arm string, side string, value double"), 400).first()
+    assert 0.7 < both.low < both.delta < both.high < 1.3
+    one = spark.createDataFrame(sides[:1], "query_id string, arm string, side string, value double")
+    assert evaluation.unpaired_bootstrap(one, 10).count() == 0
+
+
+def test_fold_replay(spark):
+    rows = [("e", 0, "a"), ("e", 1, "b"), ("e", 2, "c"), ("e", 3, "d"), ("f", 0, "a"), ("f", 1, "x")]
+    vectors = [("a", [1.0, 0.0]), ("b", [0.9, 0.436]), ("c", [0.0, 1.0]), ("d", [0.1, 0.995])]
+    shown = spark.createDataFrame(rows, "event_id string, rank int, node_id string")
+    got = {r.gate: (r.searches_with_fold, r.folds) for r in writing.replay_folds(shown, spark.createDataFrame(vectors, "node_id string, embedding array<float>"), [0.5, 0.95, 0.999]).collect()}
+    assert got == {0.5: (1, 2), 0.95: (1, 1), 0.999: (0, 0)}
+
+
+def test_stems(spark):
+    words = {"classes": "class", "ponies": "poni", "cats": "cat", "gas": "gas", "running": "runn", "played": "play", "glass": "glass", "virus": "virus", "sing": "sing", "stresses": "stress"}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r.w: r.s for r in df.select("w", text.stem(F.col("w")).alias("s")).collect()} == words
+
+
+def test_phrases_of_any_length(spark):
+    docs = spark.createDataFrame([("d1", "one two three four five"), ("d2", "two three"), ("d3", "one two three five four"), ("d4", None), ("d5", "one")], "id string, body string")
+    asked = ["one", "two three", "one two three", "one two three four", "one two three four five six", "", "!!"]
+    phrases = spark.createDataFrame(list(enumerate(asked)), "phrase_id int, phrase string")
+    got = {(r.phrase_id, r.id) for r in text.phrase_hits(docs, "id", "body", phrases).collect()}
+    bodies = {"d1": "one two three four five", "d2": "two three", "d3": "one two three five four", "d5": "one"}
+    assert got == {(k, d) for k, p in enumerate(asked[:5]) for d, b in bodies.items() if f" {p} " in f" {b} "}
+    assert text.phrase_hits(docs, "id", "body", phrases.limit(0)).count() == 0
