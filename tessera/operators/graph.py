@@ -22,9 +22,12 @@ ROUNDS_A_JOB = 4
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder of the session, set here only if there is none."""
+    """Cut the lineage through the checkpoint folder of the session, set here only if there is none and
+    Spark runs in one process."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 

@@ -25,7 +25,7 @@ def stem(word: Column) -> Column:
     """A word without the commonest English endings, so that plurals and verb forms meet."""
     w = F.regexp_replace(F.regexp_replace(word, "sses$", "ss"), "ies$", "i")
     w = F.regexp_replace(F.regexp_replace(w, "([^su])s$", "$1"), "([aeiouy][a-z]*[^aeiou])(?:ing|ed)$", "$1")
-    return F.when(F.length(word) <= 3, word).otherwise(w)
+    return F.when((F.length(word) <= 3) | ~word.rlike("(?:s|ing|ed)$"), word).otherwise(w)
 
 
 def derive_summary(content: Column) -> Column:
@@ -119,9 +119,10 @@ def postings(docs: DataFrame, key: str, *fields: str) -> DataFrame:
     out = None
     for f in fields:
         t = docs.select(key, F.lit(f).alias("field"), tokens(F.col(f)).alias("t")).withColumn("dl", F.size("t"))
-        t = t.select(key, "field", "dl", F.explode("t").alias("term")).withColumn("term", stem(F.col("term")))
+        t = t.select(key, "field", "dl", F.explode("t").alias("word"))
         out = t if out is None else out.unionByName(t)
-    return out.groupBy(key, "field", "term", "dl").agg(F.count("*").alias("tf"))
+    words = out.groupBy(key, "field", "word", "dl").agg(F.count("*").alias("tf"))
+    return words.groupBy(key, "field", stem(F.col("word")).alias("term"), "dl").agg(F.sum("tf").alias("tf"))
 
 
 def field_stats(docs: DataFrame, *fields: str) -> DataFrame:
