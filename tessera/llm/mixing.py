@@ -167,16 +167,18 @@ def _part(seed: int, what: str, digits: int = 7) -> Column:
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("long")
 
 
-def block_plan(goals: DataFrame, block: int, least: int, seed: int = SEED) -> DataFrame:
+def block_plan(goals: DataFrame, block: int, least: int, seed: int = SEED, whole: bool = False) -> DataFrame:
     """For each source with words and a target: ``b`` words a block (the last block may be short), ``n`` blocks, ``full`` passes,
     ``r`` slots of the partial pass with ``cut`` words in the last of them, ``slots`` in all, and the
-    permutations: slot j of a pass holds block (a * j + c) mod n, place i of the shards is slot (e * i + f) mod slots."""
+    permutations: slot j of a pass holds block (a * j + c) mod n, place i of the shards is slot (e * i + f) mod slots.
+    For ``whole`` documents a is 1: the blocks of the partial pass are then neighbours in the random order, and only
+    the documents at the two ends of the run, not at those of every block, move the words taken from the target."""
     factors = F.array(*[F.lit(x) for x in FACTORS])
     factor = lambda what: F.element_at(factors, (_part(seed, what) % len(FACTORS) + 1).cast("int")).cast("long")
     plan = goals.where("source_size > 0 AND want > 0").withColumn("b", F.least(F.lit(block), F.expr(f"(source_size + {least - 1}) div {least}")))
     plan = plan.withColumn("n", F.expr("(source_size + b - 1) div b")).withColumn("full", F.expr("want div source_size")).withColumn("rest", F.expr("want % source_size"))
     # the last block is drawn a slot, ``odd``, and c follows from it: so the words of the first slots are known
-    plan = plan.withColumn("lack", F.expr("n * b - source_size")).withColumn("odd", _part(seed, "c") % F.col("n")).withColumn("a", factor("a") % F.col("n"))
+    plan = plan.withColumn("lack", F.expr("n * b - source_size")).withColumn("odd", _part(seed, "c") % F.col("n")).withColumn("a", (F.lit(1).cast("long") if whole else factor("a")) % F.col("n"))
     plan = plan.withColumn("c", F.expr("pmod(n - 1 - (a * odd) % n, n)")).withColumn("r", F.expr("(rest + b - 1) div b"))
     plan = plan.withColumn("r", F.expr("r + if(odd < r AND r * b - lack < rest, 1, 0)"))
     plan = plan.withColumn("cut", F.expr("rest - (r - 1) * b + if(odd < r - 1, lack, 0)")).withColumn("slots", F.expr("full * n + r"))
@@ -218,7 +220,7 @@ def mix(
     block = max(1, -(-total // (blocks_per_shard << levels)))  # words
     rows = ordered(sized, seed, carry).join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = stage(rows, f"{folder}/ordered")
-    plan = stage(block_plan(goals, block, least, seed), f"{folder}/plan")
+    plan = stage(block_plan(goals, block, least, seed, whole), f"{folder}/plan")
     dealt = stage(splitting_tree(plan.select("source", F.col("slots").alias("blocks")), levels, seed), f"{folder}/quotas", narrow=True)
     slots = stage(filled(plan, dealt).withColumnsRenamed({"source": "s", "block": "k"}), f"{folder}/slots", narrow=True)
     blocks = plan.select(F.col("source").alias("p"), F.col("b").alias("words_a_block"))
@@ -251,7 +253,8 @@ def _oracle(seed: int = SEED, levels: str = "greatest(4, cast(ceil(log2(greatest
     part = lambda what: f"cast('0x' || substr(md5('{seed}:{what}:' || coalesce('=' || source, '')), 1, 7) AS bigint)"
     return rf"""
 WITH d AS (SELECT doc_id, source, md5('{seed}:' || coalesce(cast(doc_id AS varchar), '') || ':' || md5(coalesce(text, ''))) AS h,
-  cast(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS bigint) AS size FROM documents),
+  cast(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS bigint) AS size FROM documents),
 s AS (SELECT source, cast(sum(size) AS bigint) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, cast([1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS double) AS w FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
