@@ -47,7 +47,7 @@ FROM (SELECT o % n AS s, (p * 7 + k) % n AS t,
   CASE (p + k) % 6 WHEN 0 THEN 'similar_to' WHEN 1 THEN 'references' WHEN 2 THEN 'relates_to' WHEN 3 THEN 'derived_from' WHEN 4 THEN 'supersedes' ELSE 'duplicate_of' END AS type,
   CASE WHEN u % 2 = 0 THEN 'agent' ELSE 'system' END AS prov, 0.5 + q / 100 AS w,
   1704067200000 + (o % 500) * 3600000 AS vf, o + k AS k
-  FROM (SELECT cast(floor(l_orderkey / 16) AS bigint) AS o, sum(l_partkey) AS p, sum(l_suppkey) AS u, max(l_quantity) AS q, count(*) AS k FROM lineitem GROUP BY 1) o CROSS JOIN (SELECT count(*) AS n FROM documents) c) x GROUP BY s, t, type"""
+  FROM (SELECT cast(floor(l_orderkey / 4) AS bigint) AS o, sum(l_partkey) AS p, sum(l_suppkey) AS u, cast(sum(l_quantity) AS bigint) % 50 + 1 AS q, count(*) AS k FROM lineitem GROUP BY 1) o CROSS JOIN (SELECT count(*) AS n FROM documents) c) x GROUP BY s, t, type"""
 
 VECTORS = """
 SELECT concat('C', lpad(cast(vec_id AS string), 9, '0')) AS chunk_id, concat('N', lpad(cast(vec_id % n AS string), 9, '0')) AS node_id,
