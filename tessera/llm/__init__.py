@@ -1,6 +1,6 @@
 """Operators for preparing training data. Nothing else in the library imports this subpackage."""
 
-from . import bpe_codec, compression_rules, exact_dedup, language_id, mixing, ngram_join, secret_scan, token_file, url_rules, warc_writer
+from . import bpe_codec, compression_rules, exact_dedup, filter_audit, importance, language_id, mixing, ngram_join, secret_scan, token_counts, token_file, url_rules, warc_writer
 
 #: One query for each operator, over its whole table with production parameters.
 QUERIES = {
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_token_file": token_file.op8_token_file,
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_importance": importance.op12_importance,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 #: DuckDB SQL for those that SQL can express.
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op6_secret_scan": secret_scan.ORACLE,
     "op7_warc_writer": warc_writer.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_importance": importance.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
