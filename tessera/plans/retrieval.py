@@ -389,11 +389,8 @@ def _(s):
 
 
 @query("g6_terminal_successors", """, st AS (SELECT dst AS pt, src AS nx FROM edges WHERE type = 'supersedes' AND invalidated_ms IS NULL), gone AS (SELECT id FROM nodes WHERE invalidated_ms IS NOT NULL),
-h1 AS (SELECT g.id, nx AS pt FROM gone g JOIN st ON st.pt = g.id), h2 AS (SELECT id, pt FROM h1 UNION SELECT h1.id, nx FROM h1 JOIN st ON st.pt = h1.pt WHERE h1.pt IN (SELECT id FROM gone)),
-h3 AS (SELECT id, pt FROM h2 UNION SELECT h2.id, nx FROM h2 JOIN st ON st.pt = h2.pt WHERE h2.pt IN (SELECT id FROM gone)), h4 AS (SELECT id, pt FROM h3 UNION SELECT h3.id, nx FROM h3 JOIN st ON st.pt = h3.pt WHERE h3.pt IN (SELECT id FROM gone)),
-h5 AS (SELECT id, pt FROM h4 UNION SELECT h4.id, nx FROM h4 JOIN st ON st.pt = h4.pt WHERE h4.pt IN (SELECT id FROM gone)), h6 AS (SELECT id, pt FROM h5 UNION SELECT h5.id, nx FROM h5 JOIN st ON st.pt = h5.pt WHERE h5.pt IN (SELECT id FROM gone)),
-h7 AS (SELECT id, pt FROM h6 UNION SELECT h6.id, nx FROM h6 JOIN st ON st.pt = h6.pt WHERE h6.pt IN (SELECT id FROM gone)), h8 AS (SELECT id, pt FROM h7 UNION SELECT h7.id, nx FROM h7 JOIN st ON st.pt = h7.pt WHERE h7.pt IN (SELECT id FROM gone))
-SELECT DISTINCT id, pt AS successor FROM h8 WHERE pt IN (SELECT id FROM nodes WHERE invalidated_ms IS NULL)""")
+walk(id, pt) AS (SELECT g.id, nx FROM gone g JOIN st ON st.pt = g.id UNION SELECT walk.id, nx FROM walk JOIN gone g ON g.id = walk.pt JOIN st ON st.pt = walk.pt)
+SELECT DISTINCT id, pt AS successor FROM walk WHERE pt IN (SELECT id FROM nodes WHERE invalidated_ms IS NULL)""")
 def _(s):
     return g.terminal_successors(s.nodes.where(~t.live()).select("id"), s.nodes, s.edges)
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import code
 from tessera.operators import evaluation as e
 from tessera.operators import graph as g
 from tessera.operators import temporal as t
@@ -52,11 +53,33 @@ def _(s):
     return _paths(s).where(f.indexable(F.col("path"))).select("path", f.language(F.col("path")).alias("lang"))
 
 
-@query("d12_symbol_extraction", "SELECT cast(p_partkey AS varchar) AS unit_id, 'class' AS kind, 'C' || cast(p_partkey AS varchar) AS name, 1 AS line FROM part UNION ALL SELECT cast(p_partkey AS varchar), 'function', 'run' || cast(p_size AS varchar), 4 FROM part")
+#: (kind, name, qualified, first line, last line) of what each file declares; with $i for each method. m is the number of methods.
+DECLARED = {
+    "ts": (("class", "C$k", "C$k", "2", "3 + 3 * m"), ("method", "run$i", "C$k.run$i", "3 * i", "3 * i + 2"), ("const", "LIMIT_$w", "LIMIT_$w", "4 + 3 * m", "4 + 3 * m"), ("function", "helper", "helper", "5 + 3 * m", "5 + 3 * m"), ("module", None, None, "1", "5 + 3 * m")),
+    "php": (("trait", "T$k", "T$k", "3", "4 + m"), ("method", "run$i", "T$k.run$i", "3 + i", "3 + i"), ("function", "helper_$w", "helper_$w", "5 + m", "5 + m"), ("module", None, None, "1", "5 + m")),
+    "rs": (("mod", "m$k", "m$k", "2", "7 + m"), ("struct", "S$k", "m$k::S$k", "4", "4"), ("impl", "S$k", "m$k::impl Drop for S$k", "5", "6 + m"), ("method", "run$i", "m$k::S$k.run$i", "5 + i", "5 + i"), ("const", "LIMIT", "LIMIT", "8 + m", "8 + m"), ("module", None, None, "1", "8 + m")),
+    "cpp": (("macro", "MAX_$k", "MAX_$k", "1", "2"), ("namespace", "n$k", "n$k", "3", "6 + 2 * m"), ("struct", "S", "n$k::S", "4", "5 + m"), ("method", "run$i", "n$k::S.run$i", "4 + i", "4 + i"), ("function", "main", "main", "7 + 2 * m", "7 + 2 * m"), ("module", None, None, "1", "7 + 2 * m")),
+    "lua": (("const", "M", "M", "2", "2"), ("method", "run$i", "M.run$i", "2 + i", "2 + i"), ("const", "size_$w", "M.size_$w", "3 + m", "3 + m"), ("module", None, None, "1", "4 + m")),
+}
+
+
+def _declared_sql() -> str:
+    put = lambda x: "'" + x.replace("$k", "' || p_partkey || '").replace("$i", "' || i || '").replace("$w", "' || split_part(p_name, ' ', 1) || '") + "'"
+    out = []
+    for k, (end, rows) in enumerate(DECLARED.items()):
+        path = f"'src/m' || p_partkey % 50 || '/f' || p_partkey || '.{end}'"
+        for kind, name, qualified, first, last in rows:
+            named = f"{put(name)} AS name, {path} || ':' || {put(qualified)} AS qualified" if name else f"'f' || p_partkey || '.{end}' AS name, {path} AS qualified"
+            each = ", (SELECT 1 AS i UNION ALL SELECT 2 UNION ALL SELECT 3) n" if "$i" in (name or "") else ""
+            out.append(f"SELECT {path} AS path, '{kind}' AS kind, {named}, ({first})::BIGINT AS start_line, ({last})::BIGINT AS end_line FROM (SELECT *, 1 + p_size % 3 AS m FROM part WHERE p_partkey % 5 = {k}) p{each}" + " WHERE i <= m" * bool(each))
+    return " UNION ALL ".join(out)
+
+
+@query("d12_symbol_extraction", _declared_sql())
 def _(s):
-    k = F.col("p_partkey").cast("string")
-    body = F.concat(F.lit("export class C"), k, F.lit(" {\n  x = 1;\n}\nexport async function run"), F.col("p_size").cast("string"), F.lit("() {}\n// function no() {}"))
-    return f.extract_symbols(s.table("part").select(k.alias("unit_id"), body.alias("content")))
+    """What every source file declares, with kinds, qualified names and lines."""
+    found = code.symbols(s.sources.select("path", f.language(F.col("path")).alias("lang"), "content"))
+    return found.select("path", "kind", "name", "qualified", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
 @query("p10_audit_detail", "SELECT event_id, '{\"action\":\"' || action || '\",\"base\":' || cast(base AS varchar) || '}' AS detail FROM log")

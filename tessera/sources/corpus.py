@@ -40,14 +40,18 @@ SELECT concat('N', lpad(cast(doc_id AS string), 9, '0')) AS node_id, r.rev AS re
  1704067200000 + doc_id * 3600000 + (r.rev - 1) * 43200000 AS ts_ms
 FROM documents CROSS JOIN (SELECT 1 AS rev UNION ALL SELECT 2 UNION ALL SELECT 3) r WHERE r.rev <= 1 + doc_id % 3"""
 
+#: An edge for each order. Targets are skewed, so that a few nodes are hubs; of 23 nodes one has no edge at all and
+#: one only a neighbour of its own kind.
 EDGES = """
 SELECT concat('N', lpad(cast(s AS string), 9, '0')) AS src, concat('N', lpad(cast(t AS string), 9, '0')) AS dst, type,
- min(prov) AS provenance, round(min(w), 2) AS weight, min(vf) AS valid_from_ms, CASE WHEN (min(k)) % 13 = 0 THEN min(vf) + 604800000 END AS invalidated_ms
-FROM (SELECT o % n AS s, (p * 7 + k) % n AS t,
-  CASE (p + k) % 6 WHEN 0 THEN 'similar_to' WHEN 1 THEN 'references' WHEN 2 THEN 'relates_to' WHEN 3 THEN 'derived_from' WHEN 4 THEN 'supersedes' ELSE 'duplicate_of' END AS type,
-  CASE WHEN u % 2 = 0 THEN 'agent' ELSE 'system' END AS prov, 0.5 + q / 100 AS w,
-  1704067200000 + (o % 500) * 3600000 AS vf, o + k AS k
-  FROM (SELECT cast(floor(l_orderkey / 4) AS bigint) AS o, sum(l_partkey) AS p, sum(l_suppkey) AS u, cast(sum(l_quantity) AS bigint) % 50 + 1 AS q, count(*) AS k FROM lineitem GROUP BY 1) o CROSS JOIN (SELECT count(*) AS n FROM documents) c) x GROUP BY s, t, type"""
+ min(prov) AS provenance, round(min(w), 2) AS weight, min(vf) AS valid_from_ms, CASE WHEN min(k) % 13 = 0 THEN min(vf) + 604800000 END AS invalidated_ms
+FROM (SELECT s, type, prov, w, vf, k,
+  CASE WHEN s % 23 <> 17 THEN h - CASE WHEN h % 23 IN (11, 17) THEN 1 ELSE 0 END WHEN floor(s / 23) % 2 = 1 THEN s - 23 WHEN s + 23 < n THEN s + 23 ELSE s END AS t
+  FROM (SELECT n, s - CASE WHEN s % 23 = 11 THEN 1 ELSE 0 END AS s, cast(floor(y * y / n) AS bigint) AS h, k,
+    CASE (s + k) % 6 WHEN 0 THEN 'similar_to' WHEN 1 THEN 'references' WHEN 2 THEN 'relates_to' WHEN 3 THEN 'derived_from' WHEN 4 THEN 'supersedes' ELSE 'duplicate_of' END AS type,
+    CASE WHEN k % 2 = 0 THEN 'agent' ELSE 'system' END AS prov, 0.5 + q / 100 AS w, 1704067200000 + (o % 500) * 3600000 AS vf
+    FROM (SELECT n, o_orderkey AS o, o_orderkey % n AS s, (o_orderkey * 31 + o_custkey * 7) % n AS y, o_orderkey + o_custkey AS k, cast(floor(o_totalprice) AS bigint) % 50 + 1 AS q
+      FROM orders CROSS JOIN (SELECT count(*) AS n FROM documents) c) a) b) x GROUP BY s, t, type"""
 
 VECTORS = """
 SELECT concat('C', lpad(cast(vec_id AS string), 9, '0')) AS chunk_id, concat('N', lpad(cast(vec_id % n AS string), 9, '0')) AS node_id,
@@ -127,6 +131,43 @@ FROM (SELECT unit_id, pos.pos, (pk * 3 + 1) % (SELECT count(*) FROM part) AS nam
 JOIN part p ON p.p_partkey = a.named
 JOIN (SELECT DISTINCT path, cast(regexp_replace(substr(unit_id, 2), 'x', '') AS bigint) AS pk FROM files) g ON g.pk = a.wanted"""
 
+#: Source files in five languages, one for each part, whose declarations depend on its row. Comments, strings and
+#: patterns hold brackets and keywords that declare nothing.
+SOURCE_LINES = {
+    "ts": ("// class Ghost$k { }", "export class C$k extends Base<Map<string, number>> {", *["$i  run$i(x: { a: number }): string {", "$i    return \"} class No {\" + `t${x}`;", "$i  }"], "}", "export const LIMIT_$w = /[{]\"/;", "function helper() { if (1) { function inner() { } } }"),
+    "php": ("<?php", "# function ghost() { }", "trait T$k {", "$i  public static function run$i(array $a = [~}~]): int { return fn() => 1; }", "}", "function helper_$w() { return \"class X { }\"; }"),
+    "rs": ("/* mod ghost { /* fn no() {} */ } */", "pub mod m$k {", "  #[derive(Debug)]", "  pub struct S$k { a: u8 }", "  impl Drop for S$k {", "$i    fn run$i(&mut self) -> Vec<Vec<u8>> { let c = ~{~; }", "  }", "}", "const LIMIT: usize = $z;"),
+    "cpp": ("#define MAX_$k ^", "  { $z }", "namespace n$k {", "struct S : Base {", "$i  int run$i(const char* s) const;", "};", "$iint S::run$i(const char* s) const { if (s) { return ~{~; } return 0; }", "}", "int main() { return n$k::S().run1(\"class X {\"); }"),
+    "lua": ("--[[ function ghost() end ]]", "local M = {}", "$ifunction M.run$i(a) if a then for i = 1, 2 do print(\"end\") end end end", "M.size_$w = $z", "return M"),
+}
+
+
+def _source(lines: tuple[str, ...]) -> str:
+    """SQL for the text of ``lines``: runs of those that begin with $i are there for each i up to m; $k, $z
+    and $w are key, size and a word of the part, ~ an apostrophe, ^ a backslash."""
+    out, at = [], 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and lines[end].startswith("$i"):
+            end += 1
+        texts = [("\n".join(x[2:] for x in lines[at:end]) + "\n", i) for i in (1, 2, 3)] if end > at else [(lines[at] + "\n" * (at + 1 < len(lines)), 0)]
+        for text, i in texts:
+            parts = re.split(r"(\$[ikzw]\b|\$[ikzw](?=[^\w])|\$[kzw]|\$i|~|\^|\n)", text)
+            special = {"$k": "cast(p_partkey AS string)", "$z": "cast(p_size AS string)", "$w": "split_part(p_name, ' ', 1)", "~": "chr(39)", "^": "chr(92)", "\n": "chr(10)", "$i": f"'{i}'"}
+            sql = "concat(" + ", ".join(special.get(x, f"'{x}'") for x in parts if x) + ")"
+            out.append(f"CASE WHEN p_size % 3 >= {i - 1} THEN {sql} ELSE '' END" if i else sql)
+        at = max(end, at + 1)
+    return f"concat({', '.join(out)})"
+
+
+SOURCES = (
+    "SELECT p_partkey, p_size, p_name, concat('src/m', cast(p_partkey % 50 AS string), '/f', cast(p_partkey AS string), '.', CASE p_partkey % 5 "
+    + " ".join(f"WHEN {k} THEN '{end}'" for k, end in enumerate(SOURCE_LINES))
+    + " END) AS path, CASE p_partkey % 5 "
+    + " ".join(f"WHEN {k} THEN {_source(x)}" for k, x in enumerate(SOURCE_LINES.values()))
+    + " END AS content FROM part"
+)
+
 #: For DuckDB: the tables as common table expressions, before a query over them.
 PRELUDE = "WITH " + ",\n".join(
     f"{name} AS ({sql})" for name, sql in (("nodes", NODES), ("revisions", REVISIONS), ("edges", EDGES), ("vectors", VECTORS), ("log", LOG), ("sessions", SESSIONS), ("current", CURRENT),
@@ -206,6 +247,10 @@ class Store:
     def linked(self) -> DataFrame:
         return self.sql(LINKED, nodes=self.nodes)
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        return self.sql(SOURCES)
+
     @cached_property
     def files(self) -> DataFrame:
         return self.sql(FILES)

@@ -75,16 +75,6 @@ def code_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(indexable(F.col("path")) & ~looks_binary(F.col("content"))).select("path", language(F.col("path")).alias("lang"), "content")
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """unit_id, kind, name, line of the declarations in ``files`` (unit_id, content): classes and
-    functions at the start of a line, by pattern; a grammar would find more."""
-    line = F.posexplode(F.split("content", "\n")).alias("line", "text")
-    pattern = r"^\s*(?:export\s+)?(?:default\s+)?(?:pub\s+)?(?:async\s+)?(class|function|fn|interface|struct|trait)\s+([A-Za-z_][A-Za-z0-9_]*)"
-    rows = files.select("unit_id", line).select("unit_id", (F.col("line") + 1).alias("line"), F.regexp_extract("text", pattern, 1).alias("word"), F.regexp_extract("text", pattern, 2).alias("name"))
-    kind = F.when(F.col("word").isin("function", "fn"), "function").otherwise(F.when(F.col("word") == "interface", "interface").otherwise("class"))
-    return rows.where("word <> ''").select("unit_id", kind.alias("kind"), "name", "line")
-
-
 def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, partitions: int, **options: str) -> DataFrame:
     """A table of a relational store, read in parallel ranges of an integer key."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)

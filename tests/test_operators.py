@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import plans, streaming
-from tessera.operators import evaluation, graph, ranking, relational, text, vector, writing
+from tessera.operators import code, evaluation, graph, ranking, relational, text, vector, writing
 from tessera.sources.corpus import Store
 
 DIR = "/root/testdata/sf0.001"
@@ -233,10 +233,10 @@ def test_file_sources(spark, tmp_path):
     for name, body in {"a.ts": b"export class A {}\nfunction b() {}", "vendor/c.ts": b"class C {}", "d.txt": b"x", "e.rs": b"\0" * 100, "f.lua": b"-- x"}.items():
         (src / name).parent.mkdir(parents=True, exist_ok=True)
         (src / name).write_bytes(body)
-    code = files.code_files(spark, str(src))
-    assert {(r.path.rsplit("/", 1)[1], r.lang) for r in code.collect()} == {("a.ts", "typescript"), ("f.lua", "lua")}
-    units = code.select(F.col("path").alias("unit_id"), F.col("content").cast("string").alias("content"))
-    assert {(r.kind, r.name, r.line) for r in files.extract_symbols(units).collect()} == {("class", "A", 1), ("function", "b", 2)}
+    found = files.code_files(spark, str(src))
+    assert {(r.path.rsplit("/", 1)[1], r.lang) for r in found.collect()} == {("a.ts", "typescript"), ("f.lua", "lua")}
+    named = code.symbols(found.withColumn("content", F.col("content").cast("string"))).where("kind <> 'module'").collect()
+    assert {(r.kind, r.name, r.start_line) for r in named} == {("class", "A", 1), ("function", "b", 2)}
 
 
 def merge(spark, notes, additions=(), conflicts=()):
