@@ -5,9 +5,12 @@ so the plan stays short and a lost executor costs the running round only."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from contextlib import suppress
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import temporal as t
@@ -21,15 +24,41 @@ PPR_ALPHA, PPR_ROUNDS, PPR_EPSILON = 0.5, 20, 1e-6
 ROUNDS_A_JOB = 4
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder of the session, set here only if there is none and
-    Spark runs in one process."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set here only if there is none and Spark runs in one process."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` below the shared folder and read it again, with its size known to the
+    planner. What this process has written is deleted when it ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera-settled/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_written() -> None:
+    for spark, path in _written:
+        with suppress(Exception):  # the session has ended, or the folder is gone
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def subgraph(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, cap: int = 500, types: tuple[str, ...] = TRAVERSABLE) -> DataFrame:

@@ -1,15 +1,21 @@
-"""Exact vector operators: cosine, nearest neighbours in both filter orders, seeded neighbours."""
+"""Exact vector operators: cosine, nearest neighbours by an inverted file in both filter orders, seeded
+neighbours, moments and mean similarities from sums of unit vectors."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settle
+
+#: Rows that the centres of cells are fitted on, and most cells.
+SAMPLE, MOST_CELLS = 4096, 1024
 #: Query vectors of one block and corpus rows of one cell (about): a product of that size is in memory at once.
 QUERY_BLOCK, CELL = 512, 4096
 
@@ -31,19 +37,94 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str, keep: str | None = None) -> DataFrame:
-    """The k nearest rows of ``corpus`` (key, embedding) for each of ``queries`` (query_id, embedding):
-    query_id, key, score (cosine, 6 digits), rank; ties by key.
-
-    Queries are cut into numbered blocks; each corpus batch meets a block in one matrix product and
-    leaves with its k best for each query, and the k best of those follow. The stated query set
-    meets all rows, block by block; neither side is held whole."""
-    blocks = queries.select("query_id", "embedding").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    packed = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q"))
-    # the corpus is dealt to cells of a bounded number of rows; a pair of cell and block is one matrix product
-    cell = F.pmod(F.xxhash64(key), F.lit(max(1, -(-corpus.count() // CELL))))
-    cells = corpus.select(key, "embedding", cell.alias("cell")).groupBy("cell").agg(F.collect_list(F.struct(key, "embedding")).alias("c"))
-    kinds = dict(corpus.dtypes)[key], dict(queries.dtypes)["query_id"]
+@dataclass
+class Cells:
+    """An inverted file over rows of unit length: ``centres`` are the cells' directions, ``radius`` the widest angle
+    of a row from them and ``rows`` how many each has; the last cell is for rows without length, whose
+    cosines are 0. ``table`` has (key, embedding, cell) of every row."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    rows: np.ndarray
+    table: DataFrame
+
+    def bounds(self, unit: np.ndarray) -> np.ndarray:
+        """The greatest cosine that any row of each cell can have with each of ``unit``: an angle between a query
+        and a row is at least that to the centre less the radius."""
+        angle = np.arccos(np.clip(unit @ self.centres.T, -1, 1)) - self.radius[None, :-1]
+        most = np.where(self.rows[:-1] > 0, np.cos(np.clip(angle, 0, np.pi)), -2.0)
+        most[~unit.any(axis=1)] = 0.0
+        return np.concatenate([most, np.full((len(unit), 1), 0.0 if self.rows[-1] else -2.0)], axis=1)
+
+
+def fit_cells(corpus: DataFrame, key: str, sample: int = SAMPLE, rounds: int = 6) -> Cells:
+    """Centres from a sample of about ``sample`` rows, chosen by the hash of their keys; then every row in its cell.
+    There are about as many cells as the root of the number of rows, ``MOST_CELLS`` at most."""
+    spark, n = corpus.sparkSession, corpus.count()
+    count = max(1, min(MOST_CELLS, int(n**0.5), sample // 8))
+    chosen = corpus.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // sample)))) == 0).select(F.xxhash64(key, F.lit(1)).alias("h"), "embedding")
+    rows = [r.embedding for r in sorted(chosen.limit(4 * sample).collect(), key=lambda r: r.h)]  # a bounded sample
+    known = _unit(np.array(rows, np.float64)) if rows else np.zeros((1, 1))
+    centres = known[np.linspace(0, len(known) - 1, min(count, len(known))).astype(int)]
+    for _ in range(rounds):
+        near = (known @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, known)
+        centres = np.where(sums.any(axis=1)[:, None], _unit(sums), centres)
+    held = spark.sparkContext.broadcast(centres)  # MOST_CELLS rows at most
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unit = _unit(_matrix(b.column("embedding"))) if b.num_rows else np.zeros((0, held.value.shape[1]))
+            product = unit @ held.value.T
+            cell = product.argmax(axis=1)
+            angle = np.arccos(np.clip(product.max(axis=1), -1, 1)) if b.num_rows else np.zeros(0)
+            none = ~unit.any(axis=1)
+            cell[none], angle[none] = len(held.value), 0.0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], names=[*b.schema.names, "cell", "angle"])
+
+    kind = dict(corpus.dtypes)[key]
+    table = settle(corpus.select(key, "embedding").mapInArrow(place, f"{key} {kind}, embedding {dict(corpus.dtypes)['embedding']}, cell int, angle double"))
+    radius, size = np.zeros(len(centres) + 1), np.zeros(len(centres) + 1, np.int64)
+    for r in table.groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():  # one row a cell
+        radius[r.cell], size[r.cell] = r.r + 1e-9, r.n
+    return Cells(centres, radius, size, table.drop("angle"))
+
+
+def _visits(queries: DataFrame, cells: Cells, k: int, again: bool) -> DataFrame:
+    """query_id, embedding, cell: the most promising cells that hold ``k`` rows together; or, ``again``, all others that
+    can hold a row as good as the ``least`` score that the first visit has found."""
+    held = queries.sparkSession.sparkContext.broadcast((cells.centres, cells.radius, cells.rows))
+    kind, vector = dict(queries.dtypes)["query_id"], dict(queries.dtypes)["embedding"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Cells(*held.value, None)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            most = own.bounds(_unit(_matrix(b.column("embedding"))))
+            order = np.argsort(-most, axis=1, kind="stable")
+            sums = np.cumsum(own.rows[order], axis=1)
+            first = (sums - own.rows[order] < k) & (np.take_along_axis(most, order, 1) > -2)
+            if again:
+                least = np.array([-2.0 if x is None else x for x in b.column("least").to_pylist()])
+                first = ~first & (np.take_along_axis(most, order, 1) >= np.maximum(least - 1e-6, -1.5)[:, None])  # scores have six digits
+            row, at = np.nonzero(first)
+            names = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("query_id").take(names), b.column("embedding").take(names), pa.array(order[row, at].astype(np.int32))], names=["query_id", "embedding", "cell"])
+
+    return queries.mapInArrow(choose, f"query_id {kind}, embedding {vector}, cell int")
+
+
+def _meet(visits: DataFrame, cells: Cells, k: int, key: str) -> DataFrame:
+    """query_id, key, score: the ``k`` best of each visit. Queries of a cell meet its rows in matrix products of bounded size."""
+    many = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
+    asked = visits.join(many, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+    packed = asked.groupBy("cell", "block").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q"))
+    parts = F.create_map(*[F.lit(int(x)) for c, n in enumerate(cells.rows) if n > CELL for x in (c, -(-n // CELL))]) if (cells.rows > CELL).any() else None
+    part = F.pmod(F.xxhash64(key), F.coalesce(parts[F.col("cell")], F.lit(1))) if parts is not None else F.lit(0)
+    rows = cells.table.groupBy("cell", part.alias("part")).agg(F.collect_list(F.struct(key, "embedding")).alias("c"))
+    kinds = dict(cells.table.dtypes)[key], dict(visits.dtypes)["query_id"]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -57,9 +138,32 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str, keep: str | Non
                 ids = [x for x in q.field(0).to_pylist() for _ in range(top.shape[1])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names[order][top].ravel()), pa.array(np.take_along_axis(scores, top, 1).ravel())], names=["query_id", key, "score"])
 
-    found = packed.select("q").crossJoin(cells.select("c")).mapInArrow(best, f"query_id {kinds[1]}, {key} {kinds[0]}, score double")
+    return packed.join(rows, "cell").select("q", "c").mapInArrow(best, f"query_id {kinds[1]}, {key} {kinds[0]}, score double")
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str) -> DataFrame:
+    """The k nearest rows of ``corpus`` (key, embedding) for each of ``queries`` (query_id, embedding):
+    query_id, key, score (cosine, 6 digits), rank; ties by key. Exact: see ``knn_report``."""
+    return knn_report(queries, corpus, k, key)[0]
+
+
+def knn_report(queries: DataFrame, corpus: DataFrame, k: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """``knn`` and, of each query, how many cells were visited and skipped.
+
+    Rows lie in the cells of an inverted file. A query first visits the most promising cells that
+    hold k rows together; the k-th score found there is what any other cell must be able to reach, by
+    the triangle inequality of angles, to be visited too. Queries meet cells by equality of the cell."""
+    cells = fit_cells(corpus, key)
+    queries = settle(queries.select("query_id", "embedding"))
+    before = _visits(queries, cells, k, False)
+    first = settle(_meet(before, cells, k, key))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    least = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    after = settle(_visits(queries.join(least, "query_id", "left"), cells, k, True))
+    found = first.unionByName(_meet(after, cells, k, key))
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    seen = before.unionByName(after).groupBy("query_id").agg(F.count("*").alias("visited"))
+    return best, seen.withColumn("skipped", F.lit(int((cells.rows > 0).sum())) - F.col("visited"))
 
 
 def knn_then_filter(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, k: int, cap: int) -> DataFrame:
@@ -115,23 +219,52 @@ def fnv1a(text: str) -> int:
 
 
 def similarity_moments(queries: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
-    """query_id, n, mean, sd of the cosines of each query with all other rows; each product of a
-    block and a cell leaves sums, never pairs."""
-    blocks = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("block"))
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
-    cell = F.pmod(F.xxhash64(key), F.lit(max(1, -(-corpus.count() // CELL))))
-    cells = corpus.select(key, "embedding", cell.alias("cell")).groupBy("cell").agg(F.collect_list(F.struct(key, "embedding")).alias("c"))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id, n, mean, sd of the cosines of each query with all other rows, without a pair: the sum over all rows
+    is the query times the sum of unit vectors, that of squares a quadratic form of the sum of their outer
+    products. A task sends one vector and one matrix."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, m = 0, 0.0, 0.0
         for b in batches:
-            for n in range(b.num_rows):
-                q, c = b.column("q")[n].values, b.column("c")[n].values
-                ids = q.field(0).to_pylist()
-                s = _unit(_matrix(q.field(1))) @ _unit(_matrix(c.field(1))).T
-                s[np.array(ids)[:, None] == np.array(c.field(0).to_pylist())[None, :]] = np.nan
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((~np.isnan(s)).sum(1)), pa.array(np.nansum(s, 1)), pa.array(np.nansum(s * s, 1))], names=["query_id", "n", "s", "ss"])
-
-    found = packed.select("q").crossJoin(cells.select("c")).mapInArrow(sums, f"query_id {dict(queries.dtypes)['query_id']}, n bigint, s double, ss double")
-    total = found.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    mean = F.col("s") / F.col("n")
-    return total.select("query_id", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))
+            if b.num_rows:
+                unit = _unit(_matrix(b.column("embedding")))
+                n, s, m = n + len(unit), s + unit.sum(axis=0), m + unit.T @ unit
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([m.ravel().tolist()])], names=["n", "s", "m"])
+
+    parts = corpus.select("embedding").mapInArrow(add, "n bigint, s array<double>, m array<double>")
+    flat = parts.select("n", F.posexplode(F.concat("s", "m")).alias("at", "x"))
+    sums = [r.x for r in flat.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()]  # d + d^2 numbers for vectors of d
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    dim = int((len(sums) + 0.25) ** 0.5 - 0.5) if sums else 0
+    held = queries.sparkSession.sparkContext.broadcast((np.array(sums[:dim]), np.array(sums[dim:]).reshape(dim, dim)))
+    own = corpus.select(F.col(key).alias("query_id")).distinct().withColumn("self", F.lit(True))
+    kind = dict(queries.dtypes)["query_id"]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, m = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            unit = _unit(_matrix(b.column("embedding")))
+            self = np.array([bool(x) for x in b.column("self").to_pylist()])
+            norm = (unit * unit).sum(axis=1) * self
+            n = np.full(len(unit), total) - self
+            mean = (unit @ s - norm) / np.maximum(n, 1)
+            square = (np.einsum("ij,jk,ik->i", unit, m, unit) - norm * norm) / np.maximum(n, 1)
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array(n.astype(np.int64)), pa.array(mean), pa.array(np.sqrt(np.maximum(square - mean * mean, 0)))], names=["query_id", "n", "mean", "sd"])
+
+    return queries.select("query_id", "embedding").join(own, "query_id", "left").mapInArrow(apply, f"query_id {kind}, n bigint, mean double, sd double").where("n > 0")
+
+
+def mean_similarity(members: DataFrame) -> DataFrame:
+    """group, members, mean: the mean cosine over all pairs of the members (group, embedding) of each group, null for
+    one member. No pair is made: the square of the length of the sum of unit vectors is the sum over
+    all pairs and the members themselves. A dimension is a row, so a group of any size is summed in parts."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = members.select("group", "embedding", norm.alias("norm"))
+    flat = unit.select("group", F.posexplode(F.transform("embedding", lambda x: F.when(F.col("norm") > 0, x.cast("double") / F.col("norm")).otherwise(0.0))).alias("at", "x"))
+    sums = flat.groupBy("group", "at").agg(F.sum("x").alias("x")).groupBy("group").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    sizes = unit.groupBy("group").agg(F.count("*").alias("members"), F.count_if(F.col("norm") > 0).alias("able"))
+    n = F.col("members")
+    return sizes.join(sums, "group", "left").select("group", "members", F.when(n > 1, (F.col("square") - F.col("able")) / (n * (n - 1))).alias("mean"))

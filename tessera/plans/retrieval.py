@@ -9,23 +9,39 @@ from tessera.operators import relational as r
 from tessera.operators import temporal as t
 from tessera.operators import text as x
 from tessera.operators import vector as v
+from tessera.operators.search import search, search_with_totals
 from tessera.sources.corpus import NOW
 
 from .registry import query
 from .relational import LIVE_AUTHORED, SECTIONS, WEIGHTS, chunks, live_authored, weights
 
 TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
-TERMS = rf""", q AS (SELECT item_id AS query_id, unnest(list_distinct({TOK.format("text")})) AS term FROM benchmark)"""
+#: Every benchmark item as a query: its first three words as a phrase, the others one by one.
+RAW = rf""", raw AS (SELECT item_id AS query_id, {TOK.format("text")} AS w FROM benchmark), rq AS (SELECT query_id, w, CASE WHEN len(w) >= 3 THEN array_to_string(w[1:3], ' ') END AS phrase, CASE WHEN len(w) >= 3 THEN w[4:] ELSE w END AS bare FROM raw)"""
+TERMS = RAW + ", q AS (SELECT query_id, unnest(list_distinct(bare)) AS term FROM rq)"
+#: The same items word by word.
+WORDS = rf""", q AS (SELECT item_id AS query_id, unnest(list_distinct({TOK.format("text")})) AS term FROM benchmark)"""
+
+
+def raw_queries(s):
+    """query_id, raw: every benchmark item as it might be typed, its first three words in quotation marks."""
+    w = x.tokens(F.col("text"))
+    quoted = F.concat(F.lit('"'), F.array_join(F.slice(w, 1, 3), " "), F.lit('" '), F.array_join(F.slice(w, 4, F.greatest(F.size(w), F.lit(1))), " "))
+    return s.table("benchmark").select(F.col("item_id").alias("query_id"), F.when(F.size(w) >= 3, quoted).otherwise(F.array_join(w, " ")).alias("raw"))
 
 
 def asked(s):
-    """The words of every benchmark item as a query."""
+    """The terms of every query, phrases as words apart by a space."""
+    return x.query_terms(raw_queries(s), "query_id", "raw").select("query_id", "term").distinct()
+
+
+def asked_words(s):
     terms = F.array_distinct(x.tokens(F.col("text")))
     return s.table("benchmark").select(F.col("item_id").alias("query_id"), F.explode(terms).alias("term"))
 
 
 def documents(s):
-    """The text index: title and current body of every node, invalidated ones too."""
+    """Title and current body of every node, invalidated ones too."""
     return s.nodes.select("id", "title").join(s.current.select(F.col("node_id").alias("id"), F.col("content").alias("body")), "id")
 
 
@@ -33,36 +49,43 @@ def documents(s):
 STEM = r"CASE WHEN length({0}) <= 3 THEN {0} ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, 'sses$', 'ss'), 'ies$', 'i'), '([^su])s$', '\1'), '([aeiouy][a-z]*[^aeiou])(?:ing|ed)$', '\1') END"
 
 
-def bm25_sql(terms: str, index: str) -> str:
-    """From the terms ``q`` (query_id, term) and the index ``idx`` (id, field, toks) to scores ``bm``."""
+def bm25_sql(terms: str, index: str, phrases: str = "") -> str:
+    """From the terms ``q`` (query_id, term) and the index ``idx`` (id, field, toks) to scores ``bm``; ``phrases`` are rows
+    (query_id, phrase) of three words each, which count where they stand one after another."""
+    held = rf""",
+ph0 AS ({phrases}), ph1 AS (SELECT DISTINCT query_id, list_transform(string_split(phrase, ' '), lambda z: {STEM.format("z")}) AS p FROM ph0),
+sx AS (SELECT id, field, dl, list_transform(toks, lambda z: {STEM.format("z")}) AS sw FROM (SELECT id, field, len(toks) AS dl, toks FROM idx) y),
+pw AS (SELECT DISTINCT unnest(p) AS term FROM ph1), wd AS (SELECT field, term, count(*) AS df FROM (SELECT DISTINCT id, field, unnest(sw) AS term FROM sx) z WHERE term IN (SELECT term FROM pw) GROUP BY ALL),
+pi AS (SELECT p, field, sum(idf) AS idf FROM (SELECT p, field, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT p, unnest(p) AS term FROM (SELECT DISTINCT p FROM ph1) u) v JOIN wd USING (term) JOIN st USING (field)) z GROUP BY ALL),
+pf AS (SELECT p, id, field, dl, len(list_filter(range(1, len(sw) - 1), lambda i: sw[i] = p[1] AND sw[i + 1] = p[2] AND sw[i + 2] = p[3])) AS tf FROM (SELECT DISTINCT p FROM ph1) u JOIN sx ON contains(' ' || array_to_string(sw, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ')),
+ps AS (SELECT query_id, id, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM ph1 JOIN pf USING (p) JOIN pi USING (p, field) JOIN st USING (field) WHERE tf > 0)"""
     return rf"""{terms}, qs AS (SELECT DISTINCT query_id, {STEM.format("term")} AS term FROM q), idx AS ({index}),
 st AS (SELECT field, count(*) AS n, avg(len(toks)) AS avgdl FROM idx GROUP BY field),
 tf AS (SELECT id, field, dl, term, count(*) AS tf FROM (SELECT id, field, dl, {STEM.format("term")} AS term FROM (SELECT id, field, len(toks) AS dl, unnest(toks) AS term FROM idx) y) z WHERE term IN (SELECT term FROM qs) GROUP BY ALL),
-df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
-bm AS (SELECT qs.query_id, tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-  FROM qs JOIN tf USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY qs.query_id, tf.id)"""
+df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL){held if phrases else ""},
+bm AS (SELECT query_id, id, round(sum(score), 6) AS score FROM (SELECT qs.query_id, tf.id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score
+  FROM qs JOIN tf USING (term) JOIN df USING (field, term) JOIN st USING (field){" UNION ALL SELECT query_id, id, score FROM ps" if phrases else ""}) z GROUP BY query_id, id)"""
 
 
 NOTES = f"""SELECT n.id, 'title' AS field, {TOK.format("n.title")} AS toks FROM nodes n JOIN current c ON c.node_id = n.id
   UNION ALL SELECT n.id, 'body', {TOK.format("c.content")} FROM nodes n JOIN current c ON c.node_id = n.id"""
-BM25 = f"""{bm25_sql(TERMS, NOTES)},
+BM25 = f"""{bm25_sql(TERMS, NOTES, "SELECT query_id, phrase FROM rq WHERE phrase IS NOT NULL")},
 tl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 40)"""
 
 def text_list(s, cap=40):
-    return x.top_k(x.bm25(asked(s), documents(s), "id"), cap, "id")
+    return search(s.text_index, asked(s), cap)
 
 
-@query("t1_query_terms", rf"""SELECT item_id, CAST(len({TOK.replace("lower", "").format("text")}) AS bigint) AS n FROM benchmark WHERE text NOT LIKE '%"%'""")
+@query("t1_query_terms", RAW + """ SELECT query_id, 0 AS pos, phrase AS term, 3 AS words FROM rq WHERE phrase IS NOT NULL
+  UNION ALL SELECT query_id, i - CASE WHEN phrase IS NULL THEN 1 ELSE 0 END, bare[i], 1 FROM rq, LATERAL (SELECT unnest(range(1, len(bare) + 1)) AS i) u""")
 def _(s):
-    return x.query_terms(s.table("benchmark").where(~F.contains("text", F.lit('"'))), "item_id", "text").groupBy("item_id").agg(F.count("*").alias("n"))
+    return x.query_terms(raw_queries(s), "query_id", "raw")
 
 
 @query("t2_bm25_topk", BM25 + " SELECT query_id, id, score, total FROM tl JOIN (SELECT query_id, count(*) AS total FROM bm GROUP BY query_id) n USING (query_id) WHERE rank <= 10")
 def _(s):
-    """The best ten with the exact number of all hits."""
-    hits = g.settle(x.bm25(asked(s), documents(s), "id"))  # read twice
-    totals = hits.groupBy("query_id").agg(F.count("*").alias("total"))
-    return x.top_k(hits, 10, "id").join(totals, "query_id").select("query_id", "id", "score", "total")
+    """The best ten of queries with a phrase each, with the exact number of all hits."""
+    return search_with_totals(s.text_index, asked(s), 10).select("query_id", "id", "score", "total")
 
 
 PHRASE = rf""", p AS (SELECT item_id AS phrase_id, {TOK.format("text")} AS w FROM benchmark)"""
@@ -75,12 +98,12 @@ def _(s):
     return x.phrase_hits(documents(s), "id", "body", phrases)
 
 
-@query("t4_best_chunk", rf"""{TERMS}{SECTIONS}, ch AS (SELECT node_id, seq, {TOK.format("text")} AS toks FROM chunks),
+@query("t4_best_chunk", rf"""{WORDS}{SECTIONS}, ch AS (SELECT node_id, seq, {TOK.format("text")} AS toks FROM chunks),
 hit AS (SELECT q.query_id, ch.node_id, ch.seq, count(DISTINCT q.term) AS n FROM (SELECT node_id, seq, unnest(toks) AS term FROM ch) ch JOIN q USING (term) GROUP BY ALL)
 SELECT query_id, node_id, seq, n FROM hit QUALIFY row_number() OVER (PARTITION BY query_id, node_id ORDER BY n DESC, seq) = 1""")
 def _(s):
     words = chunks(s).select("node_id", "seq", F.explode(F.array_distinct(x.tokens(F.col("text")))).alias("term"))
-    hits = words.join(asked(s), "term").groupBy("query_id", "node_id", "seq").agg(F.count("*").alias("n"))
+    hits = words.join(asked_words(s), "term").groupBy("query_id", "node_id", "seq").agg(F.count("*").alias("n"))
     best = hits.groupBy("query_id", "node_id").agg(F.max(F.struct("n", (-F.col("seq")).alias("s"))).alias("b"))
     return best.select("query_id", "node_id", (-F.col("b.s")).alias("seq"), F.col("b.n").alias("n"))
 
@@ -224,7 +247,7 @@ SCORED = FUSED + f""", rescored AS (SELECT fu.query_id, id, matched, score * CAS
 
 def lists(s):
     live = s.nodes.where(t.live()).select("id")
-    text = x.top_k(x.bm25(asked(s), documents(s), "id").join(live, "id", "left_semi"), 40, "id")
+    text = search(s.text_index, asked(s), 40, live)
     queries = s.vectors.where("cast(substr(chunk_id, 2) AS bigint) % 20 = 0").select(F.expr("cast(substr(chunk_id, 2) AS bigint) div 20").alias("query_id"), "embedding")
     near = v.knn_then_filter(queries, fresh(s), live, 1000, 40).withColumnRenamed("node_id", "id")
     return text, near

@@ -10,6 +10,7 @@ from tessera.operators import temporal as t
 from tessera.operators import text as x
 from tessera.operators import vector as v
 from tessera.operators import writing as wr
+from tessera.operators.search import search
 from tessera.sources import files as f
 from tessera.sources.corpus import DAY, NOW
 
@@ -101,7 +102,7 @@ def _(s):
 
 @query("k1_text_candidates", BM25 + " SELECT query_id, count(*) AS n, max(score) AS best FROM tl GROUP BY query_id")
 def _(s):
-    return x.top_k(x.bm25(asked(s), documents(s), "id"), 40, "id").groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    return search(s.text_index, asked(s), 40).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
 @query("k2_vector_candidates", KNN + " SELECT query_id, count(*) AS n, min(score) AS least FROM kn WHERE rank <= 100 GROUP BY query_id")

@@ -5,15 +5,22 @@ so both engines order them alike. ``Store`` gives each table as a DataFrame; not
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import graph, search
+
 BASE = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"}
 T0 = 1_704_067_200_000
 HOUR, DAY = 3_600_000, 86_400_000
+#: Raised when what ``Store.kept`` writes changes.
+INDEX_FORMAT = 3
 #: The clock of all queries: a result never depends on when it is computed.
 NOW = T0 + 600 * HOUR
 
@@ -83,7 +90,7 @@ SELECT n.*, c.rev, c.content, c.ts_ms AS updated_ms, cast(coalesce(d.edge_count,
 FROM nodes n JOIN current c ON c.node_id = n.id LEFT JOIN degrees d ON d.id = n.id"""
 
 CANDIDATES = """
-SELECT concat('K', src, dst) AS id, CASE WHEN type = 'duplicate_of' THEN 'merge' ELSE 'link' END AS kind,
+SELECT concat(CASE WHEN type = 'duplicate_of' THEN 'K' ELSE 'L' END, src, dst) AS id, CASE WHEN type = 'duplicate_of' THEN 'merge' ELSE 'link' END AS kind,
  CASE WHEN weight < 0.65 THEN 'dismissed' WHEN weight < 0.8 THEN 'applied' ELSE 'pending' END AS status, src AS a, dst AS b,
  round(weight / 1.5, 4) AS score, valid_from_ms AS detected_ms,
  CASE WHEN weight > 0.9 THEN '{"recommendation":"merge"}' WHEN weight > 0.85 THEN '{"note":"none"}' END AS proposal
@@ -193,6 +200,31 @@ class Store:
             sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
         return self.spark.sql(sql, **views)
 
+    @cached_property
+    def text_index(self) -> search.TextIndex:
+        """The index of titles and current bodies, invalidated notes too. It is written below the checkpoint
+        folder when it is first asked for and read from then on, until the documents change."""
+        docs = self.nodes.select("id", "title").join(self.current.select(F.col("node_id").alias("id"), F.col("content").alias("body")), "id")
+        folder = self.kept("text-index", "documents", lambda to: search.build(docs, "id", ("title", "body"), to))
+        return search.load(self.spark, folder, "id")
+
+    def kept(self, name: str, source: str, build: Callable[[str], None]) -> str:
+        """The folder of what ``build`` makes of a base table, made once for each state of that table. It is
+        written under a temporary name and moved, so no reader sees a part of it."""
+        sc, hadoop = self.spark.sparkContext, self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{self.sf_dir}/{source}.parquet")
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        size, changed = fs.getContentSummary(path), fs.getFileStatus(path).getModificationTime()
+        state = hashlib.sha256(f"{fs.makeQualified(path)} {size.getLength()} {size.getFileCount()} {changed} {INDEX_FORMAT}".encode()).hexdigest()[:16]
+        made, temporary = f"{graph.shared_folder(self.spark)}/tessera-kept/{name}-{state}", uuid.uuid4().hex
+        target = hadoop.Path(made)
+        out = target.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not out.exists(target):
+            build(f"{made}.{temporary}")
+            if not out.rename(hadoop.Path(f"{made}.{temporary}"), target) or out.exists(hadoop.Path(f"{made}/{target.getName()}.{temporary}")):
+                out.delete(hadoop.Path(f"{made}.{temporary}"), True)  # another job was first
+        return made
+
     @cached_property
     def nodes(self) -> DataFrame:
         return self.sql(NODES)
