@@ -57,10 +57,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.xxhash64("text")
     placements, _ = mixing.mix(docs.select("doc_id", "source", "text", key.alias("text_key")), whole=True, carry=("text_key",))
     placed = placements.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("source").alias("s"), "shard", "turn", "pass")
+    placed = stage(placed, work_dir(spark, "placed"), narrow=True)
+    shards = 1 + (placed.agg(F.max("shard")).first()[0] or 0)
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (key == F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
     rows = docs.select(*COLUMNS).join(placed, same)
-    rows = rows.repartition("shard", F.pmod("turn", F.lit(16)))
-    return rows.sortWithinPartitions("shard", "turn").select(*COLUMNS)
+    # a partition, and so a file, for each shard, in its order of turns
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("turn").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,10 @@
 3. *Probe*: tasks open the segments, go through the directory to the page of each address and read
    there what the whole class has come to: the row that stays, the number of rows and the digest.
 
+This is the bulk loading of an extendible-hash index: as rows come in hash order, the directory is a
+depth that doubles while buckets split, and its array is laid out once, when the segment closes. There
+are as many owners as the bytes of the input ask for.
+
 A directory doubles at most MOST_DEPTH times; a bucket that would need more grows beyond its
 capacity instead.
 
@@ -38,6 +42,8 @@ from ._shared import Publisher, file_system, gathered, slices, stage, table, wid
 
 MAGIC = b"XHI2"
 BUCKET_BYTES = 1 << 20
+#: Bytes of input, as they are stored, for each owner; there are as many owners as shuffle partitions at least.
+OWNER_BYTES, MOST_OWNERS = 64 << 20, 1 << 20
 COMBINE_BYTES = 8 << 20
 MOST_DEPTH = 22
 _TAIL = struct.Struct("<QIIQQ")  # pages, depth, prefix, offset of the directory, offset of the page list
@@ -224,7 +230,12 @@ def build_index(
     """Write the index of all rows to ``folder`` and, to ``postings``, the ids of all rows with their
     addresses in it: owner, h, chain, task, row, ids. Returns the postings."""
     spark = docs.sparkSession
-    prefix = max(1, ((owners or width(spark)) - 1).bit_length())
+    if owners is None:
+        size = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size >= 1 << 60:  # the planner does not know, as where rows come from no files
+            size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        owners = max(width(spark), min(MOST_OWNERS, size // OWNER_BYTES))
+    prefix = max(1, (owners - 1).bit_length())
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(hashed(body).alias("h"), body.alias("text"), F.col(key).cast("long").alias("id"))
     combined = rows.mapInArrow(_combine, "h bigint, text string, ids array<bigint>, task bigint, row bigint")

@@ -587,6 +587,21 @@ def test_exact_dedup(spark, docs, rows, hashed, capacity):
         assert segment.find(h, t.encode() + b"?") is None
 
 
+def test_owners_follow_the_bytes(spark, docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "OWNER_BYTES", 1000)
+    folder = work_dir(spark, "owners")
+    stored = spark.createDataFrame(docs.select("doc_id", "text").collect(), "doc_id bigint, text string")
+    stored.write.parquet(f"{folder}/docs")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        postings = exact_dedup.build_index(spark.read.parquet(f"{folder}/docs"), f"{folder}/index", f"{folder}/postings", capacity=5000)
+        assert postings.select("owner").distinct().count() > 8
+        assert exact_dedup.mark(postings, f"{folder}/index").count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_exact_dedup_edges(empty, docs):
     assert exact_dedup.exact_duplicates(empty).count() == 0
     assert exact_dedup.exact_duplicates(docs).count() == docs.count()

@@ -107,3 +107,26 @@ def test_repeated_rows(spark):
         assert Counter(map(tuple, step(spark, docs, "").collect())) == Counter(once)
     placed = Counter(tuple(x) for x in cp.mix_sources(spark, spark.createDataFrame(once, SCHEMA), "").collect())
     assert placed.keys() <= set(once) and max(placed.values()) <= 3
+
+
+def test_mixed_files_are_in_the_order_of_turns(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import mixing
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20 + i % 7)), "aa", f"s{i % 3}", 0) for i in range(400)], SCHEMA)
+    kept, real = {}, mixing.mix
+
+    def mix(*args, **named):
+        placements, documents = real(*args, **named)
+        for r in sorted(placements.collect(), key=lambda r: r.turn):
+            kept.setdefault(r.shard, []).append(r.doc_id)
+        return placements, documents
+
+    monkeypatch.setattr(mixing, "mix", mix)
+    out = cp.mix_sources(spark, docs, "")
+    rows = out.withColumn("part", F.spark_partition_id()).select("part", "doc_id").collect()
+    parts = defaultdict(list)
+    for r in rows:
+        parts[r.part].append(r.doc_id)
+    assert len(parts) > 10 and sorted(parts.values()) == sorted(kept.values())
