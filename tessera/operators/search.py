@@ -79,7 +79,7 @@ def build(docs: DataFrame, key: str, fields: tuple[str, ...], folder: str) -> No
     blocks = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(8 * buckets, "bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "field", "term", "block")
     blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = spark.read.parquet(f"{folder}/postings").groupBy("bucket", "field", "term").agg(F.sum("n").alias("df")).withColumn("idf", idf)
+    known = spark.read.schema(_POSTINGS).parquet(f"{folder}/postings").groupBy("bucket", "field", "term").agg(F.sum("n").alias("df")).withColumn("idf", idf)
     known.withColumn("buckets", F.lit(buckets)).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/words")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as e
 from tessera.operators import graph as g
+from tessera.operators import lifecycle as lc
 from tessera.operators import temporal as t
 from tessera.operators import text as x
 from tessera.operators import vector as v
@@ -293,6 +294,21 @@ def _(s):
     return s.jobs.where("state = 'running'").select("id", (F.col("lease_expires_ms").isNull() | (F.col("lease_expires_ms") < NOW - 100 * HOUR)).alias("claimable"))
 
 
+LEASES = """SELECT concat('role', cast(event_id % 7 AS string)) AS role, {ms} AS at_ms, event_id AS seq, CASE WHEN event_id % 11 = 3 THEN 'release' ELSE 'hold' END AS op, concat('w', cast(user_id % 3 AS string)) AS owner FROM {events}"""
+
+
+@query("st4_lease_history", ", le AS (" + LEASES.format(ms="epoch_us(ts) // 1000", events="events") + f"""), ls AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY at_ms, seq) AS n FROM le),
+walk(role, n, holder, until_ms, granted) AS (SELECT DISTINCT role, cast(0 AS bigint), cast(NULL AS varchar), cast(0 AS bigint), false FROM le
+  UNION ALL SELECT w.role, h.n, CASE WHEN h.op = 'release' THEN (CASE WHEN w.holder = h.owner THEN NULL ELSE w.holder END) WHEN w.holder IS NULL OR w.holder = h.owner OR w.until_ms <= h.at_ms THEN h.owner ELSE w.holder END,
+    CASE WHEN h.op = 'hold' AND (w.holder IS NULL OR w.holder = h.owner OR w.until_ms <= h.at_ms) THEN h.at_ms + {HOUR} ELSE w.until_ms END, h.op = 'hold' AND (w.holder IS NULL OR w.holder = h.owner OR w.until_ms <= h.at_ms)
+  FROM walk w JOIN ls h ON h.role = w.role AND h.n = w.n + 1)
+SELECT h.role, h.at_ms, h.seq, h.owner, w.granted, w.until_ms AS expires_ms FROM walk w JOIN ls h USING (role, n) WHERE h.op = 'hold'""")
+def _(s):
+    """Every attempt to hold a worker's lease."""
+    rows = s.spark.sql(LEASES.format(ms="unix_millis(cast(ts AS timestamp))", events="{events}"), events=s.table("events"))
+    return lc.leases(rows, HOUR)
+
+
 @query("st5_claimable", f"SELECT kind, arg_min(id, (scheduled_ms, id)) AS id FROM jobs WHERE (state = 'pending' AND scheduled_ms <= {NOW}) OR (state = 'running' AND lease_expires_ms < {NOW} AND attempts < max_attempts) GROUP BY kind")
 def _(s):
     ready = ((F.col("state") == "pending") & (F.col("scheduled_ms") <= NOW)) | ((F.col("state") == "running") & (F.col("lease_expires_ms") < NOW) & (F.col("attempts") < F.col("max_attempts")))

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as g
+from tessera.operators import lifecycle as lc
 from tessera.operators import relational as r
 from tessera.operators import temporal as t
 from tessera.operators import text as x
@@ -281,6 +282,48 @@ def _(s):
     return survivors(s).join(known, ["a", "b"], "left_anti").select("a", "b")
 
 
+LIFE = """SELECT concat('K', cast(user_id AS string), '-', cast(event_id % 3 AS string)) AS candidate, {ms} AS at_ms, event_id AS seq,
+  CASE event_id % 10 WHEN 0 THEN 'detect' WHEN 1 THEN 'propose' WHEN 2 THEN 'apply' WHEN 3 THEN 'detect' WHEN 4 THEN 'undo' WHEN 5 THEN 'dismiss' WHEN 6 THEN 'reopen' WHEN 7 THEN 'propose' WHEN 8 THEN 'apply' ELSE (CASE WHEN event_id % 3 = 0 THEN 'undo' ELSE 'dismiss' END) END AS op,
+  concat('note ', cast(event_id AS string)) AS note, {changes} AS changes FROM {events}"""
+LIFE_SQL = ", le AS (" + LIFE.format(ms="epoch_us(ts) // 1000", changes="['A' || event_id % 40, 'B' || user_id]", events="events") + """), ls AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY at_ms, seq) AS n FROM le),
+walk(candidate, n, status, proposal, decided_ms, changed, reopened, undone) AS (SELECT DISTINCT candidate, cast(0 AS bigint), 'none', cast(NULL AS varchar), cast(NULL AS bigint), cast([] AS varchar[]), cast(0 AS bigint), cast(0 AS bigint) FROM le
+  UNION ALL SELECT w.candidate, h.n,
+    CASE WHEN h.op = 'detect' AND w.status = 'none' OR h.op = 'undo' AND w.status = 'applied' OR h.op = 'reopen' AND w.status = 'dismissed' THEN 'pending' WHEN w.status = 'pending' AND h.op = 'apply' THEN 'applied' WHEN w.status = 'pending' AND h.op = 'dismiss' THEN 'dismissed' ELSE w.status END,
+    CASE WHEN h.op = 'propose' AND w.status = 'pending' THEN h.note WHEN h.op = 'reopen' AND w.status = 'dismissed' THEN NULL ELSE w.proposal END,
+    CASE WHEN w.status = 'pending' AND h.op IN ('apply', 'dismiss') THEN h.at_ms WHEN h.op = 'undo' AND w.status = 'applied' OR h.op = 'reopen' AND w.status = 'dismissed' THEN NULL ELSE w.decided_ms END,
+    CASE WHEN w.status = 'pending' AND h.op = 'apply' THEN h.changes WHEN h.op = 'undo' AND w.status = 'applied' THEN [] ELSE w.changed END,
+    w.reopened + CASE WHEN h.op = 'reopen' AND w.status = 'dismissed' THEN 1 ELSE 0 END, w.undone + CASE WHEN h.op = 'undo' AND w.status = 'applied' THEN 1 ELSE 0 END
+  FROM walk w JOIN ls h ON h.candidate = w.candidate AND h.n = w.n + 1),
+fin AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY n DESC) = 1),
+eff AS (SELECT h.* FROM walk w JOIN ls h ON h.candidate = w.candidate AND h.n = w.n + 1 WHERE h.op = 'apply' AND w.status = 'pending')"""
+
+
+def life(s):
+    """The events of candidates, and those of them that change something."""
+    changes = "array(concat('A', cast(event_id % 40 AS string)), concat('B', cast(user_id AS string)))"
+    every = s.spark.sql(LIFE.format(ms="unix_millis(cast(ts AS timestamp))", changes=changes, events="{events}"), events=s.table("events"))
+    return every, lc.effective(every)
+
+
+@query("c10_candidate_states", LIFE_SQL + " SELECT candidate, status, proposal, decided_ms FROM fin")
+def _(s):
+    every, done = life(s)
+    return lc.candidate_states(done, every).select("candidate", "status", "proposal", "decided_ms")
+
+
+@query("z18_reopen_counts", LIFE_SQL + " SELECT candidate, reopened, undone, proposal IS NULL AS unproposed FROM fin WHERE status = 'pending'")
+def _(s):
+    every, done = life(s)
+    return lc.candidate_states(done, every).where("status = 'pending'").select("candidate", "reopened", "undone", F.col("proposal").isNull().alias("unproposed"))
+
+
+@query("z2_artifact_states", LIFE_SQL + """, st0 AS (SELECT unnest(changed) AS artifact, decided_ms, candidate FROM fin WHERE status = 'applied'), ev AS (SELECT artifact, count(*) AS decisions FROM (SELECT unnest(changes) AS artifact FROM eff) z GROUP BY artifact)
+SELECT artifact, min(st0.decided_ms) AS retired_ms, arg_min(st0.candidate, (st0.decided_ms, st0.candidate)) AS by, any_value(decisions) AS decisions FROM ev LEFT JOIN st0 USING (artifact) GROUP BY artifact""")
+def _(s):
+    """What decisions have retired, and what undoing them has revived."""
+    return lc.artifact_states(life(s)[1])
+
+
 @query("c11_dismissed", "SELECT id, CASE WHEN status = 'pending' AND (a IN (SELECT id FROM nodes WHERE invalidated_ms IS NOT NULL) OR b IN (SELECT id FROM nodes WHERE invalidated_ms IS NOT NULL)) THEN 'dismissed' ELSE status END AS status FROM candidates")
 def _(s):
     gone = s.nodes.where(~t.live()).select(F.col("id").alias("m"))

@@ -72,6 +72,99 @@ def job_states(events: DataFrame, lease_ms: int, most: int) -> DataFrame:
     return events.groupBy("job").applyInPandasWithState(run, _JOB, _JOB.split(", ", 1)[1], "update", "NoTimeout")
 
 
+_CANDIDATE = "candidate string, status string, proposal string, decided_ms long, changed array<string>, revived array<string>"
+
+
+def candidate_states(events: DataFrame) -> DataFrame:
+    """The state of each candidate after each batch that has events of it: the stateful form of
+    ``lifecycle.candidate_states``, for events (candidate, at_ms, seq, op, note, changes). What the standing decision has
+    changed is a list state; undoing it gives that list back as ``revived``."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    from tessera.operators.lifecycle import MOVES, STATUS
+
+    class Candidate(StatefulProcessor):
+        def init(self, handle):
+            self.row = handle.getValueState("row", "status string, proposal string, decided_ms long")
+            self.changed = handle.getListState("changed", "artifact string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            status, proposal, decided = self.row.get() if self.row.exists() else ("n", None, None)
+            changed, revived = [x[0] for x in self.changed.get()], []
+            for x in pd.concat(list(rows)).sort_values(["at_ms", "seq"]).itertuples():
+                needs, gives = MOVES[x.op]
+                if status != needs:
+                    continue
+                status = gives
+                if x.op == "propose":
+                    proposal = x.note
+                elif x.op == "reopen":
+                    proposal = decided = None
+                elif x.op == "undo":
+                    revived, changed, decided = revived + changed, [], None
+                elif x.op != "detect":
+                    decided = int(x.at_ms)
+                    changed = list(x.changes) if x.op == "apply" else []
+            self.row.update((status, proposal, decided))
+            self.changed.put([(c,) for c in changed]) if changed else self.changed.clear()
+            yield pd.DataFrame({"candidate": [key[0]], "status": [STATUS[status]], "proposal": [proposal], "decided_ms": pd.array([decided], "Int64"), "changed": [changed], "revived": [revived]})
+
+    return events.groupBy("candidate").transformWithStateInPandas(Candidate(), _CANDIDATE, "update", "none")
+
+
+_LEASE = "role string, owner string, what string, at_ms long"
+
+
+def leases(events: DataFrame, ttl_ms: int, late: str = "0 seconds") -> DataFrame:
+    """What becomes of worker leases: ``granted``, ``refused``, ``released`` and ``expired``, for events (role, at_ms, seq,
+    op, owner). A lease ends by a timer once the watermark of all roles has passed it; no event of its own role is needed."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Lease(StatefulProcessor):
+        def init(self, handle):
+            self.handle, self.held = handle, handle.getValueState("held", "owner string, until_ms long")
+
+        def set(self, owner=None, until=None):
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if owner is None:
+                self.held.clear()
+            else:
+                self.held.update((owner, until))
+                self.handle.registerTimer(until)
+
+        def handleInputRows(self, key, rows, timerValues):
+            out = []
+            owner, until = self.held.get() if self.held.exists() else (None, 0)
+            for x in pd.concat(list(rows)).sort_values(["at_ms", "seq"]).itertuples():
+                at = int(x.at_ms)
+                if owner is not None and until <= at:
+                    out.append((owner, "expired", until))
+                    owner = None
+                if x.op == "release":
+                    if owner == x.owner:
+                        out.append((owner, "released", at))
+                        owner = None
+                elif owner in (None, x.owner):
+                    owner, until = x.owner, at + ttl_ms
+                    out.append((owner, "granted", at))
+                else:
+                    out.append((x.owner, "refused", at))
+            self.set(owner, until)
+            yield pd.DataFrame([(key[0], *x) for x in out], columns=[x.split()[0] for x in _LEASE.split(", ")])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.held.exists():
+                owner, until = self.held.get()
+                self.held.clear()
+                yield pd.DataFrame([(key[0], owner, "expired", until)], columns=[x.split()[0] for x in _LEASE.split(", ")])
+
+    timed = events.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
+    return timed.groupBy("role").transformWithStateInPandas(Lease(), _LEASE, "append", "eventTime")
+
+
 def latest(stream: DataFrame, folder: str, key: str) -> DataFrame:
     """Run an updating stream over what is there and return the last row of each key."""
     out = f"{folder}/stream-{uuid.uuid4().hex}"
