@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import calibration as cal
 from tessera.operators import evaluation as e
 from tessera.operators import graph as g
 from tessera.operators import lifecycle as lc
@@ -102,6 +103,22 @@ def _(s):
     return e.gold_from_log(s.log, s.table("documents").count())
 
 
+SPANS = """, sp AS (SELECT ord AS id, created_ms AS from_ms, invalidated_ms AS to_ms FROM nodes UNION ALL SELECT ord, invalidated_ms + 432000000, NULL FROM nodes WHERE invalidated_ms IS NOT NULL AND ord % 22 = 3)"""
+
+
+@query("e15_pruned_labels", GOLD + SPANS + """, lb AS (SELECT gd.query_id, gd.id, epoch_us(l.ts) // 1000 AS at_ms FROM gd JOIN log l ON l.event_id = gd.query_id), vd AS (SELECT lb.*, CASE
+  WHEN EXISTS (SELECT 1 FROM sp WHERE sp.id = lb.id AND lb.at_ms >= from_ms AND (to_ms IS NULL OR lb.at_ms < to_ms)) THEN 'kept' WHEN lb.at_ms < (SELECT min(from_ms) FROM sp WHERE sp.id = lb.id) THEN 'early' ELSE 'retired' END AS verdict FROM lb)
+SELECT id, count(*) FILTER (verdict = 'kept') AS kept, count(*) FILTER (verdict = 'early') AS early, count(*) FILTER (verdict = 'retired') AS retired FROM vd GROUP BY id""")
+def _(s):
+    """Labels that held when they were given: notes are live from creation to retirement, and again once restored."""
+    first = s.nodes.select(F.col("ord").alias("id"), F.col("created_ms").alias("from_ms"), F.col("invalidated_ms").alias("to_ms"))
+    again = s.nodes.where("invalidated_ms IS NOT NULL AND ord % 22 = 3").select(F.col("ord").alias("id"), (F.col("invalidated_ms") + 432_000_000).alias("from_ms"), F.lit(None).cast("bigint").alias("to_ms"))
+    asked = s.log.select(F.col("event_id").alias("query_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    labels = e.gold_from_log(s.log, s.table("documents").count()).join(asked, "query_id")
+    told = cal.prune_labels(labels, first.unionByName(again))
+    return told.groupBy("id").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("kept", "early", "retired")])
+
+
 @query("j12_search_segments", GOLD + " SELECT id, count(*) AS labels FROM gd GROUP BY id")
 def _(s):
     return e.gold_from_log(s.log, s.table("documents").count()).groupBy("id").agg(F.count("*").alias("labels"))
@@ -140,13 +157,13 @@ def _(s):
 @query("e9_bootstrap")
 def _(s):
     rows = measured(s).select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("arm"), F.col("rr").alias("a"), F.col("ndcg").alias("b"))
-    return e.paired_bootstrap(rows)
+    return cal.bootstrap(rows.select("arm", F.lit("b").alias("side"), "query_id", (F.col("b") - F.col("a")).alias("value")))
 
 
 @query("e9_unpaired")
 def _(s):
     rows = measured(s).select("query_id", F.when(F.col("query_id") % 3 == 0, "a").otherwise("b").alias("side"), F.lit("thirds").alias("arm"), F.col("ndcg").alias("value"))
-    return e.unpaired_bootstrap(rows)
+    return cal.bootstrap(rows)
 
 
 SWEEP = [0.35 + 0.05 * i for i in range(12)]
@@ -177,6 +194,33 @@ def _(s):
     return best.agg(F.round(F.avg((F.col("score") >= 0.3).cast("double")), 6).alias("hit_rate"), F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("best"))
 
 
+DENSITY = f"""{KNN}, th(threshold) AS (VALUES {", ".join(f"({round(0.05 * k, 2)!r}::DOUBLE)" for k in range(2, 14))}), hp AS (SELECT query_id AS probe, score FROM kn WHERE rank <= 10 AND chunk_id <> query_id),
+dd AS (SELECT th.threshold, p.query_id AS probe, least(count(hp.score), 3) AS n FROM th CROSS JOIN qv p LEFT JOIN hp ON hp.probe = p.query_id AND hp.score >= th.threshold GROUP BY ALL),
+ds AS (SELECT threshold, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0 END), 6) AS hit_rate, round(avg(n), 6) AS mean_shown, list_sort(list(n))[greatest(1, cast(ceil(0.9 * count(*)) AS bigint))] AS p90_shown, max(n) AS max_shown FROM dd GROUP BY threshold)"""
+DENSITY_CUTS = [round(0.05 * k, 2) for k in range(2, 14)]
+
+
+def densities(s):
+    near = v.knn(asked_vectors(s), fresh(s), 10, "chunk_id").where("chunk_id <> query_id").select(F.col("query_id").alias("probe"), "score")
+    return cal.density(near, asked_vectors(s).select(F.col("query_id").alias("probe")), DENSITY_CUTS)
+
+
+@query("e11_dedup_density", DENSITY + " SELECT threshold, hit_rate, mean_shown, p90_shown, max_shown FROM ds")
+def _(s):
+    """What a gate of each threshold would show of the nearest ten, three at most."""
+    return densities(s)
+
+
+@query("e13_gates", DENSITY + """, gt AS (SELECT min(threshold) FILTER (mean_shown < 2.5) AS link, min(threshold) FILTER (mean_shown < 1) AS merge, min(threshold) FILTER (mean_shown < 1.5) AS dedup FROM ds)
+SELECT link, greatest(link, merge) AS merge, greatest(link, merge, dedup) AS dedup, dedup < merge OR merge < link AS was_out_of_order FROM gt""")
+def _(s):
+    """Thresholds for three gates by density, which must not fall from one to the next."""
+    g3 = densities(s).agg(cal.first_under(2.5).alias("link"), cal.first_under(1.0).alias("merge"), cal.first_under(1.5).alias("dedup"))
+    link, merge, dedup = cal.repaired(F.col("link"), F.col("merge"), F.col("dedup"))
+    wrong = (F.col("dedup") < F.col("merge")) | (F.col("merge") < F.col("link"))
+    return g3.select(link.alias("link"), merge.alias("merge"), dedup.alias("dedup"), wrong.alias("was_out_of_order"))
+
+
 @query("e13_recommend", SWEPT + ' SELECT arg_max(threshold, (recall, -threshold)) AS threshold FROM sw WHERE "precision" >= 0.2 AND kept > 0')
 def _(s):
     ok = e.threshold_sweep(labelled(s), SWEEP).where("precision >= 0.2 AND kept > 0")
@@ -191,6 +235,32 @@ def _(s):
     return ex.join(mean, "i").groupBy("chunk_id").agg(F.round(F.sqrt(F.sum((F.col("val") - F.col("m")) ** 2)), 5).alias("norm"))
 
 
+PAIRED = """, pr AS (SELECT DISTINCT a, b, score FROM candidates), fc AS (SELECT node_id, arg_min(embedding, seq) AS e FROM vectors WHERE stale = 0 GROUP BY node_id),
+mx AS (SELECT pr.a, pr.b, pr.score, coalesce(max(list_cosine_similarity(fc.e::DOUBLE[], w.embedding::DOUBLE[])), 0) AS sim FROM pr LEFT JOIN fc ON fc.node_id = pr.a LEFT JOIN vectors w ON w.node_id = pr.b AND w.stale = 0 GROUP BY ALL)"""
+
+
+def scored_pairs(s):
+    return s.candidates.select("a", "b", "score").distinct()
+
+
+@query("e14_max_similarity", PAIRED + " SELECT a, b, round(sim, 6) AS sim FROM mx")
+def _(s):
+    """The production scorer: the first chunk of one note against every chunk of the other."""
+    return cal.max_similarity(scored_pairs(s), fresh(s)).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("e14_centred_similarity", """, pr AS (SELECT DISTINCT a, b, score FROM candidates), mn AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM vectors, range(1, 1025) r(i) WHERE stale = 0 AND i <= len(embedding) GROUP BY i) z),
+vc AS (SELECT node_id, seq, list_transform(list_zip(embedding, m), lambda z: z[1]::DOUBLE - z[2]) AS e FROM vectors, mn WHERE stale = 0), fc AS (SELECT node_id, arg_min(e, seq) AS e FROM vc GROUP BY node_id)
+SELECT pr.a, pr.b, round(coalesce(max(list_cosine_similarity(fc.e, w.e)), 0), 5) AS sim FROM pr LEFT JOIN fc ON fc.node_id = pr.a LEFT JOIN vc w ON w.node_id = pr.b GROUP BY pr.a, pr.b, pr.score""")
+def _(s):
+    return cal.max_similarity(scored_pairs(s), fresh(s), centre=True).select("a", "b", F.round("sim", 5).alias("sim"))
+
+
+@query("e14_drift", PAIRED + " SELECT count(*) AS compared, round(avg(abs(score - sim)), 6) AS mean_abs, round(max(abs(score - sim)), 6) AS max_abs FROM mx")
+def _(s):
+    return cal.drift(cal.max_similarity(scored_pairs(s), fresh(s)), "score", "sim")
+
+
 @query("e17_tech_stats", """ SELECT (SELECT count(*) FROM nodes WHERE invalidated_ms IS NULL) AS live_nodes, (SELECT count(*) FROM edges WHERE invalidated_ms IS NULL) AS live_edges, (SELECT count(*) FROM revisions) AS revisions,
  (SELECT count(*) FROM queue WHERE attempts < 5) AS backlog, (SELECT count(*) FROM candidates WHERE status = 'pending') AS pending, (SELECT count(*) FROM vectors WHERE stale = 0) AS chunks""")
 def _(s):
@@ -253,6 +323,14 @@ def _(s):
     return s.edges.where(t.live()).groupBy("type", "provenance").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 6).alias("mean")).where("n >= 3")
 
 
+@query("a16_mean_similarity", """, fc AS (SELECT node_id, arg_min(embedding, seq) AS e FROM vectors WHERE stale = 0 GROUP BY node_id), mb AS (SELECT coalesce(n.project, '') || '/' || n.type AS grp, n.id, e::DOUBLE[] AS e FROM nodes n JOIN fc ON fc.node_id = n.id)
+SELECT a.grp AS "group", max(k.members) AS members, round(avg(list_cosine_similarity(a.e, b.e)), 6) AS mean FROM mb a JOIN mb b ON a.grp = b.grp AND a.id < b.id JOIN (SELECT grp, count(*) AS members FROM mb GROUP BY grp) k ON k.grp = a.grp GROUP BY a.grp""")
+def _(s):
+    """The mean similarity over all pairs of each group, from sums."""
+    rows = v.first_vectors(fresh(s)).join(s.nodes.select(F.col("id").alias("node_id"), F.concat(F.coalesce("project", F.lit("")), F.lit("/"), "type").alias("group")), "node_id")
+    return v.mean_similarity(rows.select("group", "embedding")).where("members > 1").select("group", "members", F.round("mean", 6).alias("mean"))
+
+
 @query("a21_auc_by_type", ", z AS (SELECT score, status = 'applied' AS pos FROM candidates), rk AS (SELECT pos, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM z) SELECT round((sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos) * 1.0 * count(*) FILTER (NOT pos)), 6) AS auc FROM rk")
 def _(s):
     return auc(labelled(s), "score", "positive")
@@ -422,6 +500,22 @@ def _(s):
     return rows.select("session_id", F.when(F.col("n") > 1, "unknown").when(F.col("a") == "search", "yes").otherwise("no").alias("opens_with_search"))
 
 
+COUNTED = """, ct AS (SELECT conv_id, 'chars:' || role AS name, coalesce(length(text), 0) AS n FROM conversations UNION ALL SELECT conv_id, 'lines', len(string_split(coalesce(text, ''), chr(10))) - 1 FROM conversations
+  UNION ALL SELECT conv_id, 'questions', len(regexp_extract_all(text, '[?]')) FROM conversations WHERE contains(text, '?')), tc AS (SELECT conv_id, name, sum(n)::BIGINT AS n FROM ct GROUP BY ALL)"""
+
+
+@query("a24_trace_counters", COUNTED + " SELECT name, count(*) AS traces, count(*) FILTER (n = 0) AS zero, (SELECT count(DISTINCT conv_id) FROM conversations) - count(*) AS missing, sum(n)::BIGINT AS total, max(n) AS most FROM tc GROUP BY name")
+def _(s):
+    """Counters of each trace merged by name, then over traces: which have a name, which have it as zero, which lack it."""
+    text = F.coalesce("text", F.lit(""))
+    asks = F.when(F.contains("text", F.lit("?")), F.create_map(F.lit("questions"), F.regexp_count("text", F.lit("[?]")).cast("bigint"))).otherwise(F.create_map().cast("map<string,bigint>"))
+    counters = F.map_concat(F.create_map(F.concat(F.lit("chars:"), "role"), F.length(text).cast("bigint"), F.lit("lines"), (F.size(F.split(text, "\n")) - 1).cast("bigint")), asks)
+    traces = cal.merged_counters(s.table("conversations").select("conv_id", counters.alias("counters")), ["conv_id"], "counters")
+    n = traces.count()
+    flat = traces.select(F.explode("counters").alias("name", "n"))
+    return flat.groupBy("name").agg(F.count("*").alias("traces"), F.count_if(F.col("n") == 0).alias("zero"), (F.lit(n) - F.count("*")).alias("missing"), F.sum("n").alias("total"), F.max("n").alias("most"))
+
+
 @query("a24_trace_audit", "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS traces, cast(sum(length(text)) AS bigint) AS chars FROM conversations GROUP BY role")
 def _(s):
     return s.table("conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("traces"), F.sum(F.length("text")).cast("bigint").alias("chars"))

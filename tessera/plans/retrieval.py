@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import calibration as cal
 from tessera.operators import graph as g
 from tessera.operators import ranking as k
 from tessera.operators import relational as r
@@ -231,6 +232,22 @@ def _(s):
     return e.groupBy("type").agg(F.count("*").alias("pairs"), F.round(F.avg(F.round(v.cosine(F.col("a"), F.col("b")), 6)), 5).alias("mean"))
 
 
+@query("v9_separation", f""", f AS (SELECT v.node_id, arg_min(v.embedding, v.seq)::DOUBLE[] AS e FROM vectors v JOIN nodes n ON n.id = v.node_id WHERE v.stale = 0 AND n.invalidated_ms IS NULL AND n.memory_kind IN ('semantic', 'episodic') GROUP BY v.node_id),
+c AS (SELECT count(*) AS n FROM nodes), rp AS (SELECT a.id AS a, b.id AS b FROM nodes a CROSS JOIN c JOIN nodes b ON b.ord = (a.ord * 1000003 + 12345) % c.n WHERE a.id <> b.id),
+lp AS (SELECT src AS a, dst AS b FROM edges WHERE invalidated_ms IS NULL AND provenance = 'agent' AND src <> dst), ap AS (SELECT a, b, false AS linked FROM rp UNION ALL SELECT a, b, true FROM lp),
+sv AS (SELECT linked, round(round(list_cosine_similarity(x.e, y.e), 6), 4) AS value FROM ap JOIN f x ON x.node_id = a JOIN f y ON y.node_id = b), q AS (SELECT value FROM sv WHERE NOT linked),
+rk AS (SELECT linked, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM sv)
+SELECT (SELECT count(*) FROM q) AS random_pairs, (SELECT count(*) FROM sv WHERE linked) AS linked_pairs, (SELECT round(avg(value), 5) FROM q) AS random_mean, (SELECT list_sort(list(value))[greatest(1, cast(ceil(0.9 * count(*)) AS bigint))] FROM q) AS random_p90,
+ (SELECT round(avg(value), 5) FROM sv WHERE linked) AS linked_mean, (SELECT round((sum(r) FILTER (linked) - count(*) FILTER (linked) * (count(*) FILTER (linked) + 1) / 2.0) / (count(*) FILTER (linked) * 1.0 * count(*) FILTER (NOT linked)), 6) FROM rk) AS auc""")
+def _(s):
+    """How far the space tells linked notes from random ones."""
+    f = v.first_vectors(fresh(s).join(live_authored(s).select(F.col("id").alias("node_id")), "node_id", "left_semi"))
+    random = cal.permuted_pairs(s.nodes, "ord", s.nodes.count()).withColumn("linked", F.lit(False))
+    linked = s.edges.where(t.live() & (F.col("provenance") == "agent") & (F.col("src") != F.col("dst"))).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("linked"))
+    both = random.unionByName(linked).join(f.select(F.col("node_id").alias("a"), F.col("embedding").alias("x")), "a").join(f.select(F.col("node_id").alias("b"), F.col("embedding").alias("y")), "b")
+    return cal.separation(both.select("linked", F.round(v.cosine(F.col("x"), F.col("y")), 6).alias("value")))
+
+
 # --- fusion. Queries of both branches are numbered alike: query k is text item k and vector chunk 20 k.
 
 FUSED = BM25 + ", qv AS (SELECT cast(substr(chunk_id, 2) AS bigint) // 20 AS query_id, embedding AS e FROM vectors WHERE cast(substr(chunk_id, 2) AS bigint) % 20 = 0)" + """,
@@ -474,5 +491,5 @@ def _(s):
     chunks = fresh(s).join(stale.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
     links = v.seeded_neighbours(seeds.withColumnRenamed("node_id", "query_id"), chunks, 20, 10, 0.2)
     roots = g.components(links.select(F.col("query_id").alias("a"), F.col("node_id").alias("b")))
-    mean = links.join(roots.withColumnRenamed("id", "query_id"), "query_id").groupBy("root").agg(F.round(F.avg("score"), 6).alias("mean"))
-    return roots.groupBy("root").agg(F.count("*").alias("members")).where("members >= 3").join(mean, "root")
+    member = v.first_vectors(chunks).withColumnRenamed("node_id", "id").join(roots, "id")
+    return v.mean_similarity(member.select(F.col("root").alias("group"), "embedding")).where("members >= 3").select(F.col("group").alias("root"), "members", F.round("mean", 6).alias("mean"))
