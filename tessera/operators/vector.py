@@ -153,6 +153,9 @@ def knn_report(queries: DataFrame, corpus: DataFrame, k: int, key: str) -> tuple
     Rows lie in the cells of an inverted file. A query first visits the most promising cells that
     hold k rows together; the k-th score found there is what any other cell must be able to reach, by
     the triangle inequality of angles, to be visited too. Queries meet cells by equality of the cell."""
+    if corpus.isEmpty():
+        none = queries.limit(0).select("query_id", F.lit(None).cast(dict(corpus.dtypes)[key]).alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        return none, queries.select("query_id", F.lit(0).cast("long").alias("visited"), F.lit(0).cast("long").alias("skipped"))
     cells = fit_cells(corpus, key)
     queries = settle(queries.select("query_id", "embedding"))
     before = _visits(queries, cells, k, False)
