@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import relational as r
+from tessera.operators import sections as sec
 from tessera.operators import temporal as t
 from tessera.operators import text as x
 from tessera.sources.corpus import DAY, HOUR, NOW, T0
@@ -405,24 +406,31 @@ def _(s):
 
 
 #: Notes in slices of 200 characters, to their end.
-SECTIONS = ", chunks AS (SELECT node_id, cast(k AS int) AS seq, concat('H2: Part ', cast(k % 2 AS varchar)) AS section, substr(content, 1 + 200 * k, 200) AS text FROM (SELECT node_id, content, unnest(range((length(content) + 199) // 200)) AS k FROM current) c)"
+LEVELS = range(1, 6)
+#: ``chunks``: the stretches of notes between headings, with the path of headings above them.
+SECTIONS = r""", ln AS (SELECT node_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pt FROM outlined),
+lf AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY pt) % 2 = 1 AS code FROM ln),
+lv AS (SELECT *, CASE WHEN NOT code AND regexp_matches(line, '^#{1,6}\s+\S') THEN length(regexp_extract(line, '^#+')) END AS level FROM lf), lq AS (SELECT *, count(level) OVER (PARTITION BY node_id ORDER BY pt) AS seq FROM lv),
+hd AS (SELECT node_id, seq, level, 'H' || level || ': ' || regexp_extract(line, '^#+\s+(.*\S)', 1) AS name FROM lq WHERE level IS NOT NULL),
+hp AS (SELECT node_id, seq, level, name, """ + ", ".join(f"max(CASE WHEN level <= {k} THEN seq END) OVER w AS le{k}, max(CASE WHEN level = {k} THEN seq END) OVER w AS eq{k}, last_value(CASE WHEN level = {k} THEN name END IGNORE NULLS) OVER w AS n{k}" for k in LEVELS) + r""" FROM hd WINDOW w AS (PARTITION BY node_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+pa AS (SELECT node_id, seq, array_to_string(list_filter([""" + ", ".join(f"CASE WHEN level > {k} AND eq{k} = le{k} THEN n{k} END" for k in LEVELS) + r""", name], lambda z: z IS NOT NULL), ' > ') AS section FROM hp),
+chunks AS (SELECT t.node_id, t.seq::INT AS seq, section, text FROM (SELECT node_id, seq, string_agg(line, chr(10) ORDER BY pt) AS text FROM lq GROUP BY ALL) t LEFT JOIN pa USING (node_id, seq) WHERE NOT regexp_full_match(text, '\s*'))"""
+DETAILS = "list_contains(string_split(coalesce(section, '(preamble)'), ' > '), 'H2: Details')"
 
 
 def chunks(s):
-    k = F.explode(F.expr("sequence(0, cast((length(content) - 1) div 200 AS int))"))
-    rows = s.current.where("length(content) > 0").select("node_id", "content", k.alias("seq"))
-    return rows.select("node_id", "seq", F.concat(F.lit("H2: Part "), (F.col("seq") % 2).cast("string")).alias("section"), F.expr("substr(content, 1 + 200 * seq, 200)").alias("text"))
+    return sec.split(s.outlined, "node_id", "body")
 
 
-@query("a14_section_sizes", SECTIONS + " SELECT node_id, section, cast(sum(length(text)) AS bigint) AS chars, min(seq) AS first_seq FROM chunks GROUP BY node_id, section")
+@query("a14_section_sizes", SECTIONS + " SELECT node_id, cast(row_number() OVER (PARTITION BY node_id ORDER BY first) AS int) AS place, section, chars FROM (SELECT node_id, coalesce(section, '(preamble)') AS section, min(seq) AS first, cast(sum(length(text)) AS bigint) AS chars FROM chunks GROUP BY ALL) z")
 def _(s):
-    return chunks(s).groupBy("node_id", "section").agg(F.sum(F.length("text")).cast("bigint").alias("chars"), F.min("seq").alias("first_seq"))
+    return sec.outline(chunks(s), "node_id")
 
 
-@query("a15_section_text", SECTIONS + " SELECT node_id, section, string_agg(text, '|' ORDER BY seq) AS body FROM chunks WHERE section = 'H2: Part 1' GROUP BY node_id, section")
+@query("a15_section_text", SECTIONS + " SELECT node_id, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS body FROM chunks WHERE " + DETAILS + " GROUP BY node_id")
 def _(s):
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda z: z["text"])
-    return chunks(s).where("section = 'H2: Part 1'").groupBy("node_id", "section").agg(F.array_join(parts, "|").alias("body"))
+    asked = s.nodes.select(F.col("id").alias("node_id"), F.lit("H2: Details").alias("section"))
+    return sec.narrow(asked, chunks(s), "node_id").where("error IS NULL").select("node_id", F.col("text").alias("body"))
 
 
 @query("a17_watermark", "SELECT cast(count(*) AS varchar) || ':' || cast(count(invalidated_ms) AS varchar) AS mark FROM files")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.operators import code
 from tessera.operators import evaluation as e
 from tessera.operators import graph as g
+from tessera.operators import sections as sec
 from tessera.operators import temporal as t
 from tessera.operators import text as x
 from tessera.operators import vector as v
@@ -146,11 +147,18 @@ def _(s):
     return rows.select("query_id", "place", "id", "title", F.when(~x.summary_is_redundant(summary, chunk), summary).alias("summary"), chunk.alias("best_chunk"), "folded")
 
 
-@query("x11_narrowed", SECTIONS + """
-SELECT n.id AS node_id, coalesce(cast(sum(length(text)) FILTER (section = 'H2: Part 1') AS bigint), 0) AS chars, count(*) FILTER (section = 'H2: Part 1') = 0 AS missing FROM nodes n JOIN chunks c ON c.node_id = n.id GROUP BY n.id""")
+@query("x11_narrowed", SECTIONS + """, rq AS (SELECT id AS node_id, 'H3: Deep ' || ord % 3 AS request FROM nodes UNION ALL SELECT id, CASE WHEN ord % 4 = 0 THEN 'H2: Nowhere' ELSE '(preamble)' END FROM nodes),
+ht AS (SELECT DISTINCT node_id, request, seq, text FROM rq JOIN chunks USING (node_id) WHERE coalesce(section, '(preamble)') = request OR list_contains(string_split(coalesce(section, '(preamble)'), ' > '), request)),
+ms AS (SELECT node_id, list_sort(list(request)) AS missing FROM rq WHERE (node_id, request) NOT IN (SELECT (node_id, request) FROM ht) GROUP BY node_id),
+nm AS (SELECT node_id, string_agg(section, ', ' ORDER BY first) AS names FROM (SELECT node_id, coalesce(section, '(preamble)') AS section, min(seq) AS first FROM chunks GROUP BY ALL) z GROUP BY node_id),
+tx AS (SELECT node_id, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM (SELECT DISTINCT node_id, seq, text FROM ht) z GROUP BY node_id)
+SELECT n.id AS node_id, CASE WHEN missing IS NULL THEN coalesce(length(text), 0) END::BIGINT AS chars, CASE WHEN missing IS NOT NULL THEN 'no section named ' || array_to_string(missing, ', ') || '; ' || coalesce('it has: ' || names, 'it has no headings') END AS error
+FROM nodes n LEFT JOIN ms ON ms.node_id = n.id LEFT JOIN tx ON tx.node_id = n.id LEFT JOIN nm ON nm.node_id = n.id""")
 def _(s):
-    one = F.col("section") == "H2: Part 1"
-    return chunks(s).groupBy("node_id").agg(F.coalesce(F.sum(F.when(one, F.length("text"))), F.lit(0)).cast("bigint").alias("chars"), (F.count_if(one) == 0).alias("missing"))
+    """Notes narrowed to two sections each, or an error that names what is missing and what there is."""
+    deep = s.nodes.select(F.col("id").alias("node_id"), F.concat(F.lit("H3: Deep "), (F.col("ord") % 3).cast("string")).alias("section"))
+    first = s.nodes.select(F.col("id").alias("node_id"), F.when(F.col("ord") % 4 == 0, "H2: Nowhere").otherwise("(preamble)").alias("section"))
+    return sec.narrow(deep.unionByName(first), chunks(s), "node_id").select("node_id", F.length("text").cast("bigint").alias("chars"), "error")
 
 
 @query("x13_merge_notes")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as g
 from tessera.operators import lifecycle as lc
+from tessera.operators import sections as sec
 from tessera.operators import relational as r
 from tessera.operators import temporal as t
 from tessera.operators import text as x
@@ -104,9 +105,9 @@ def _(s):
     return wr.chunk(s.current.select("node_id", "content"), "node_id", "content")
 
 
-@query("x10_sections", SECTIONS + " SELECT node_id, seq, coalesce(CASE WHEN seq > 0 THEN section END, '(preamble)') AS section FROM chunks")
+@query("x10_sections", SECTIONS + " SELECT node_id, seq, coalesce(section, '(preamble)') AS section FROM chunks")
 def _(s):
-    return chunks(s).select("node_id", "seq", F.coalesce(F.when(F.col("seq") > 0, F.col("section")), F.lit("(preamble)")).alias("section"))
+    return chunks(s).select("node_id", "seq", sec.section_name(F.col("section")).alias("section"))
 
 
 @query("x12_anchors", r"""SELECT id, anchor FROM (SELECT id, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(body, '\[\[[^\]]+\]\]'), regexp_extract_all(body, 'https?://[^\s)\]>]+')),

@@ -115,6 +115,12 @@ SELECT n.id, n.ord, n.project, concat(n.title, chr(10), 'see [[', t.title, ']] a
   '.runTask_', cast(n.ord % 40 AS string), '(x)` or `plain`', CASE WHEN n.ord % 3 = 0 THEN ' yesterday' ELSE ' on 2024-01-01' END) AS body
 FROM nodes n CROSS JOIN (SELECT count(*) AS n FROM documents) c JOIN nodes t ON t.ord = (n.ord * 7 + 1) % c.n"""
 
+#: Notes with headings, of which one in ten has none: nested ones, and one in a code block that is none.
+OUTLINED = """
+SELECT c.node_id, CASE WHEN n.ord % 10 = 0 THEN c.content ELSE concat(substr(c.content, 1, 80), chr(10), '# ', n.type, chr(10), substr(c.content, 81, 300), chr(10), '## Details', chr(10), substr(c.content, 381, 300), chr(10),
+ '```', chr(10), '# no heading', chr(10), '```', chr(10), '### Deep ', cast(n.ord % 3 AS string), chr(10), substr(c.content, 681, 200), chr(10), '## Closing', chr(10), substr(c.content, 881)) END AS body
+FROM current c JOIN nodes n ON n.id = c.node_id"""
+
 #: A code index of one repository: files with their units on two branches, symbols, imports, calls.
 FILES = """
 SELECT 'r1' AS repo_id, b.branch, concat('src/', lower(p_type), '/m', cast(p_partkey % 50 AS string), '/f', cast(p_partkey AS string), '.ts') AS path,
@@ -178,7 +184,7 @@ SOURCES = (
 #: For DuckDB: the tables as common table expressions, before a query over them.
 PRELUDE = "WITH " + ",\n".join(
     f"{name} AS ({sql})" for name, sql in (("nodes", NODES), ("revisions", REVISIONS), ("edges", EDGES), ("vectors", VECTORS), ("log", LOG), ("sessions", SESSIONS), ("current", CURRENT),
-        ("degrees", DEGREES), ("enriched", ENRICHED), ("candidates", CANDIDATES), ("queue", QUEUE), ("jobs", JOBS), ("linked", LINKED), ("files", FILES), ("symbols", SYMBOLS.replace("sha2(", "sha256(").replace(", 256)", ")")), ("imports", IMPORTS))
+        ("degrees", DEGREES), ("enriched", ENRICHED), ("candidates", CANDIDATES), ("queue", QUEUE), ("jobs", JOBS), ("linked", LINKED), ("outlined", OUTLINED), ("files", FILES), ("symbols", SYMBOLS.replace("sha2(", "sha256(").replace(", 256)", ")")), ("imports", IMPORTS))
 )
 
 
@@ -279,6 +285,10 @@ class Store:
     def linked(self) -> DataFrame:
         return self.sql(LINKED, nodes=self.nodes)
 
+    @cached_property
+    def outlined(self) -> DataFrame:
+        return self.sql(OUTLINED, nodes=self.nodes, current=self.current)
+
     @cached_property
     def sources(self) -> DataFrame:
         return self.sql(SOURCES)
