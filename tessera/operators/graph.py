@@ -10,6 +10,8 @@ import tempfile
 import uuid
 from contextlib import suppress
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,42 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = PPR
     return ranks.withColumnRenamed("a", "id").join(inflow, ["query_id", "id"], "left").select("query_id", "id", F.col("r").alias("rank"), "via")
 
 
+def pagerank_within(edges: DataFrame, seeds: DataFrame, alpha: float = PPR_ALPHA, rounds: int = PPR_ROUNDS, epsilon: float = PPR_EPSILON) -> DataFrame:
+    """``personalised_pagerank`` where each query's edges are few, as ``subgraph`` makes them: its cap bounds the nodes of a
+    query, and so what one task holds. A query is one group, its rounds are products over arrays, and it
+    ends on its own once its ranks change by less than ``epsilon``; nothing is shuffled between rounds."""
+
+    def walk(key, links, start):
+        links = links[links.src != links.dst]
+        c = links.type.map(CONDUCTANCE).fillna(0.0).to_numpy() * np.where(links.weight == 0, 1.0, links.weight)
+        src, dst, c = links.src.to_numpy()[c > 0], links.dst.to_numpy()[c > 0], c[c > 0]
+        start = start[start.score > 0]
+        total = start.score.sum()
+        names, place = np.unique(np.concatenate([src, dst, start.id.to_numpy()]).astype(str), return_inverse=True)
+        a, b = np.concatenate([place[: len(src)], place[len(src) : 2 * len(src)]]), np.concatenate([place[len(src) : 2 * len(src)], place[: len(src)]])
+        share = np.concatenate([c, c])
+        share = share / np.bincount(a, share, len(names))[a]
+        first = np.bincount(place[2 * len(src) :], start.score.to_numpy() / total if total else None, len(names)).astype(float)
+        rank = first
+        for _ in range(rounds):
+            new = alpha * np.bincount(b, rank[a] * share, len(names)) + (1 - alpha) * first
+            change, rank = np.abs(new - rank).sum(), new
+            if change < epsilon:
+                break
+        flow = np.round(rank[a] * share, 12)
+        order = np.lexsort((a, -flow, b))  # the largest inflow of each node first; ties by the neighbour's name
+        order = order[rank[a[order]] > 0]
+        heads, at = np.unique(b[order], return_index=True)
+        via = np.full(len(names), None, object)
+        via[heads] = names[a[order][at]]
+        held = rank > 0
+        return pd.DataFrame({"query_id": [key[0]] * int(held.sum()), "id": names[held], "rank": rank[held], "via": via[held]})
+
+    kind = dict(seeds.dtypes)["query_id"]
+    both = edges.select("query_id", "src", "dst", "type", "weight").groupBy("query_id").cogroup(seeds.select("query_id", "id", F.col("score").cast("double").alias("score")).groupBy("query_id"))
+    return both.applyInPandas(walk, f"query_id {kind}, id string, rank double, via string")
+
+
 def graph_hits(ranks: DataFrame, direct: DataFrame, base: float = 0.3) -> DataFrame:
     """Scores of nodes that only the graph surfaced: base x best direct score x rank / best rank."""
     best = direct.groupBy("query_id").agg(F.max("score").alias("top"))

@@ -337,7 +337,7 @@ def _(s):
 def seeds_and_hops(s, rows):
     live = s.nodes.where(t.live()).select("id")
     hops = g.subgraph(rows.select("query_id", "id"), s.edges.where(t.live()), live)
-    return g.personalised_pagerank(hops, rows.select("query_id", "id", "score"))
+    return g.pagerank_within(hops, rows.select("query_id", "id", "score"))
 
 
 @query("f12_hybrid_search")
@@ -407,13 +407,13 @@ p AS (SELECT query_id, id AS a, 1.0::DOUBLE AS p FROM d0), r0 AS (SELECT query_i
 @query("g2_ppr", PPR + " SELECT query_id, a AS id, round(r, 4) AS rank FROM r20")
 def _(s):
     seeds = start_nodes(s).withColumn("score", F.lit(1.0))
-    return g.personalised_pagerank(local_edges(s), seeds).select("query_id", "id", F.round("rank", 4).alias("rank"))
+    return g.pagerank_within(local_edges(s), seeds).select("query_id", "id", F.round("rank", 4).alias("rank"))
 
 
 @query("g3_graph_hits", PPR + ", nw AS (SELECT query_id, a AS id, r FROM r20 WHERE a <> query_id) SELECT query_id, id, round(0.3 * r / max(r) OVER (PARTITION BY query_id), 3) AS score FROM nw")
 def _(s):
     seeds = start_nodes(s).withColumn("score", F.lit(1.0))
-    return g.graph_hits(g.personalised_pagerank(local_edges(s), seeds), seeds).select("query_id", "id", F.round("score", 3).alias("score"))
+    return g.graph_hits(g.pagerank_within(local_edges(s), seeds), seeds).select("query_id", "id", F.round("score", 3).alias("score"))
 
 
 @query("g4_neighbours", "SELECT src AS id, 'out' AS direction, dst AS other, type FROM edges WHERE invalidated_ms IS NULL UNION ALL SELECT dst, 'in', src, type FROM edges WHERE invalidated_ms IS NULL")

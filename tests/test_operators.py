@@ -62,6 +62,10 @@ def test_pagerank(spark):
     e = spark.createDataFrame([("q", *x) for x in edges], "query_id string, src string, dst string, type string, weight double")
     s = spark.createDataFrame([("q", k, v) for k, v in seeds.items()], "query_id string, id string, score double")
     got = {r.id: r["rank"] for r in graph.personalised_pagerank(e, s).collect()}
+    by_group = {(r.query_id, r.id): (round(r["rank"], 6), r.via) for r in graph.pagerank_within(e, s).collect()}
+    assert by_group == {(r.query_id, r.id): (round(r["rank"], 6), r.via) for r in graph.personalised_pagerank(e, s).collect()}
+    alone = graph.pagerank_within(e.limit(0), s).collect()  # seeds without an edge keep their restart only
+    assert {r.id for r in alone} == {r.id for r in s.where("score > 0").collect()} and all(r.via is None for r in alone)
     want = pagerank(edges, seeds)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
