@@ -120,13 +120,13 @@ def _(s):
 
 
 @query("u5_lost_anchors", r"""SELECT src, dst, unnest(list_filter(list_distinct_in_order, lambda a: NOT contains(kept, a))[1:40]) AS anchor FROM (SELECT e.src, e.dst, k.content AS kept,
-  list_filter(all_, lambda a, i: list_position(all_, a) = i) AS list_distinct_in_order FROM (SELECT node_id, content, regexp_extract_all(content, '\b\d+(?:\.\d+)?\b') AS all_ FROM current) l
+  list_filter(all_, lambda a, i: list_position(all_, a) = i) AS list_distinct_in_order FROM (SELECT node_id, content, list_concat(regexp_extract_all(content, '\[\[[^\]]+\]\]'), regexp_extract_all(content, 'https?://[^\s)\]>]+'), regexp_extract_all(content, '\b\d+(?:\.\d+)?\b'), regexp_extract_all(content, '`[^`\n]+`')) AS all_ FROM current) l
   JOIN (SELECT DISTINCT src, dst FROM edges WHERE type = 'duplicate_of' AND invalidated_ms IS NULL) e ON l.node_id = e.dst JOIN current k ON k.node_id = e.src) p""")
 def _(s):
     """The first forty facts of a duplicate that the note which would take its place doesn't hold."""
     e = s.edges.where(t.live() & (F.col("type") == "duplicate_of")).select("src", "dst").distinct()
     e = e.join(s.current.select(F.col("node_id").alias("src"), F.col("content").alias("kept")), "src").join(s.current.select(F.col("node_id").alias("dst"), "content"), "dst")
-    every = F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0)))
+    every = wr.anchor_list(F.col("content"))
     lost = F.slice(F.filter(every, lambda a: ~F.contains(F.col("kept"), a)), 1, 40)
     return e.select("src", "dst", F.explode(lost).alias("anchor"))
 
