@@ -354,13 +354,12 @@ def hybrid_search(s):
     return out.join(title, "id").select("query_id", "place", "id", "title", "folded")
 
 
-@query("f13_code_hop", FUSED + """, refs AS (SELECT n.id, n.ord, y.id AS symbol FROM nodes n JOIN symbols y ON y.name = concat('small', cast(n.ord % 30 AS varchar)) OR y.name = concat('cold', cast(n.ord % 30 AS varchar))),
+@query("f13_code_hop", FUSED + """, refs AS (SELECT l.id, y.id AS symbol FROM (SELECT DISTINCT id, regexp_extract(regexp_extract(raw, '([^:]*)$', 1), '^([^(]*)', 1) AS name FROM (SELECT id, trim(unnest(regexp_extract_all(body, '`([^`\n]{2,80})`', 1))) AS raw FROM linked) z) l JOIN symbols y USING (name)),
 wt AS (SELECT src AS id, max(weight) AS weight FROM edges WHERE type = 'references' AND invalidated_ms IS NULL GROUP BY src)
 SELECT query_id, symbol, round(max(0.3 * score * coalesce(weight, 0.5)), 6)::DOUBLE AS score FROM fu JOIN refs USING (id) LEFT JOIN wt USING (id) GROUP BY query_id, symbol""")
 def _(s):
     """What a search finds leads one hop on to the symbols it cites."""
-    cites = s.nodes.select("id", F.explode(F.array(*[F.concat(F.lit(p), (F.col("ord") % 30).cast("string")) for p in ("small", "cold")])).alias("name"))
-    cites = cites.join(s.symbols.select("name", F.col("id").alias("symbol")), "name").select("id", "symbol")
+    cites = x.cited_symbols(s.linked, "id", "body").join(s.symbols.select("name", F.col("id").alias("symbol")), "name").select("id", "symbol")
     weights = s.edges.where(t.live() & (F.col("type") == "references")).groupBy(F.col("src").alias("id")).agg(F.max("weight").alias("weight"))
     rows = fused(s).select("query_id", "id", "score").join(weights, "id", "left").join(cites, "id")
     return rows.groupBy("query_id", "symbol").agg(F.round(F.max(0.3 * F.col("score") * F.coalesce("weight", F.lit(0.5))), 6).alias("score"))

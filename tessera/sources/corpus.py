@@ -112,7 +112,7 @@ FROM orders"""
 #: Notes that cite others: by slug, by a truncated slug, and by symbol.
 LINKED = """
 SELECT n.id, n.ord, n.project, concat(n.title, chr(10), 'see [[', t.title, ']] and [[', substr(t.title, 1, 12), '|label]] and [[id]] with `Mod', cast(n.ord % 9 AS string),
-  '.runTask_', cast(n.ord % 40 AS string), '(x)` or `plain`', CASE WHEN n.ord % 3 = 0 THEN ' yesterday' ELSE ' on 2024-01-01' END) AS body
+  '.runTask_', cast(n.ord % 40 AS string), '(x)` or `plain` near `small', cast(n.ord % 30 AS string), '_1(x)` and `cold', cast(n.ord % 30 AS string), '_2`', CASE WHEN n.ord % 3 = 0 THEN ' yesterday' ELSE ' on 2024-01-01' END) AS body
 FROM nodes n CROSS JOIN (SELECT count(*) AS n FROM documents) c JOIN nodes t ON t.ord = (n.ord * 7 + 1) % c.n"""
 
 #: Notes with headings, of which one in ten has none: nested ones, and one in a code block that is none.
