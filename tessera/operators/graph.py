@@ -140,7 +140,7 @@ def pagerank_within(edges: DataFrame, seeds: DataFrame, alpha: float = PPR_ALPHA
         return pd.DataFrame({"query_id": [key[0]] * int(held.sum()), "id": names[held], "rank": rank[held], "via": via[held]})
 
     kind = dict(seeds.dtypes)["query_id"]
-    both = edges.select("query_id", "src", "dst", "type", "weight").groupBy("query_id").cogroup(seeds.select("query_id", "id", F.col("score").cast("double").alias("score")).groupBy("query_id"))
+    both = edges.select("query_id", "src", "dst", "type", "weight").groupBy("query_id").cogroup(seeds.select(F.col("query_id").alias("query_id"), F.col("id").alias("id"), F.col("score").cast("double").alias("score")).groupBy("query_id"))
     return both.applyInPandas(walk, f"query_id {kind}, id string, rank double, via string")
 
 

@@ -14,7 +14,7 @@ from tessera.sources.corpus import HOUR, NOW
 
 from .registry import query
 from .relational import LIVE_AUTHORED, WEIGHTS, auc, live_authored
-from .retrieval import KNN, TOK, asked_vectors, fresh
+from .retrieval import KNN, REACHED, TOK, asked_vectors, dangling, fresh
 
 SHOWN = """, sh AS (SELECT event_id, session_id, ts, r.r AS rank, (base + r.r) % n AS id FROM log CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) r CROSS JOIN (SELECT count(*) AS n FROM documents) c WHERE action = 'search'),
 ft AS (SELECT sh.*, EXISTS (SELECT 1 FROM log g WHERE g.action = 'get' AND g.session_id = sh.session_id AND g.base = sh.id AND g.ts > sh.ts) AS hit FROM sh)"""
@@ -274,10 +274,21 @@ def _(s):
     return out
 
 
-@query("e18_graph_health", f", la AS (SELECT id FROM nodes WHERE {LIVE_AUTHORED}) SELECT (SELECT count(*) FROM la) AS nodes, (SELECT count(*) FROM la WHERE id NOT IN (SELECT src FROM edges WHERE invalidated_ms IS NULL UNION SELECT dst FROM edges WHERE invalidated_ms IS NULL)) AS edgeless, (SELECT count(*) FROM edges WHERE invalidated_ms IS NULL AND type = 'similar_to') AS untyped")
+@query("e18_graph_health", REACHED + """, dg AS (SELECT b.id, b.invalidated_ms FROM edges e JOIN nodes a ON a.id = e.src AND a.invalidated_ms IS NULL JOIN nodes b ON b.id = e.dst WHERE e.invalidated_ms IS NULL AND e.type <> 'supersedes' AND b.invalidated_ms IS NOT NULL)
+SELECT (SELECT count(*) FROM la) AS nodes, (SELECT count(*) FROM la WHERE id NOT IN (SELECT src FROM edges WHERE invalidated_ms IS NULL UNION SELECT dst FROM edges WHERE invalidated_ms IS NULL)) AS edgeless, (SELECT count(*) FROM la WHERE id NOT IN (SELECT id FROM z25)) AS detached,
+ (SELECT count(*) FROM dg) AS dangling, (SELECT count(*) FROM dg WHERE id IN (SELECT dst FROM edges WHERE type = 'supersedes' AND invalidated_ms IS NULL)) AS repointable,
+ (SELECT count(*) FROM edges WHERE invalidated_ms IS NULL AND type = 'similar_to') AS untyped, (SELECT count(*) FROM edges WHERE invalidated_ms IS NULL AND type NOT IN ('similar_to', 'relates_to')) AS typed""")
 def graph_health(s):
-    a = live_authored(s).agg(F.count("*").alias("nodes"))
-    return a.crossJoin(g.edgeless(s.nodes, s.edges).agg(F.count("*").alias("edgeless"))).crossJoin(s.edges.where(t.live()).agg(F.count_if(F.col("type") == "similar_to").alias("untyped")))
+    """One row: live authored notes, those without an edge, those that no hub reaches, edges to what is gone, links with and without a type."""
+    live = s.edges.where(t.live())
+    rows = (
+        live_authored(s).agg(F.count("*").alias("nodes")), g.edgeless(s.nodes, s.edges).agg(F.count("*").alias("edgeless")), g.detached(s.nodes, s.edges).agg(F.count("*").alias("detached")), dangling(s),
+        live.agg(F.count_if(F.col("type") == "similar_to").alias("untyped"), F.count_if(~F.col("type").isin("similar_to", "relates_to")).alias("typed")),
+    )
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.crossJoin(r)  # one row each
+    return out
 
 
 @query("e20_review_queue", WEIGHTS + ", sy AS (SELECT e.src, e.dst, e.type, z.principal_id FROM edges e JOIN nodes n ON n.id = e.src LEFT JOIN sessions z ON z.id = n.created_by_session WHERE e.provenance = 'system' AND e.invalidated_ms IS NULL) SELECT src, dst, type FROM sy WHERE principal_id IS NULL OR principal_id NOT IN (SELECT principal_id FROM weights WHERE weight < 1)")

@@ -452,15 +452,19 @@ def _(s):
     return g.family_hubs(s.nodes, s.edges)
 
 
-@query("g8_detached", LINKS + "".join(
+#: ``z25`` is what the hubs reach.
+REACHED = LINKS + "".join(
     f", z{i} AS (SELECT id FROM {'hb' if i == 1 else f'z{i - 1}'} UNION SELECT b FROM lk JOIN {'hb' if i == 1 else f'z{i - 1}'} q ON q.id = a)" for i in range(1, 26)
-) + " SELECT id FROM la WHERE id NOT IN (SELECT id FROM z25) AND EXISTS (SELECT 1 FROM lk)")
+)
+
+
+@query("g8_detached", REACHED + " SELECT id FROM la WHERE id NOT IN (SELECT id FROM z25) AND EXISTS (SELECT 1 FROM lk)")
 def _(s):
     return g.detached(s.nodes, s.edges)
 
 
 @query("g9_dangling", "SELECT count(*) FILTER (b.invalidated_ms IS NOT NULL) AS dangling, count(*) FILTER (b.invalidated_ms IS NOT NULL AND b.id IN (SELECT dst FROM edges WHERE type = 'supersedes' AND invalidated_ms IS NULL)) AS repointable FROM edges e JOIN nodes a ON a.id = e.src AND a.invalidated_ms IS NULL JOIN nodes b ON b.id = e.dst WHERE e.invalidated_ms IS NULL AND e.type <> 'supersedes'")
-def _(s):
+def dangling(s):
     replaced = s.edges.where(t.live() & (F.col("type") == "supersedes")).select("dst").distinct().withColumn("replaced", F.lit(True))
     e = s.edges.where(t.live() & (F.col("type") != "supersedes")).join(s.nodes.where(t.live()).select(F.col("id").alias("src")), "src", "left_semi")
     e = e.join(s.nodes.select(F.col("id").alias("dst"), F.col("invalidated_ms").isNotNull().alias("gone")), "dst").join(replaced, "dst", "left")
