@@ -6,9 +6,10 @@ threshold. Classes are shuffled by band hash; those that share a bucket are cand
 of classes that share a band is verified on the full n-gram sets. Stars around the smallest class
 of each bucket keep what says who shares buckets linear in the number of classes; their connected components
 are groups within which all candidates lie. A group is dealt as pairs of blocks of ``block`` classes (fewer
-where sets are large), so no task holds an unbounded group and no pair is left out. A component of over ``most_parts``
-blocks, which chains of buckets can make out of classes that mostly share none, is dealt bucket by
-bucket, and a pair counts in the first band that it shares. In a task intersections come from an
+where sets are large), so no task holds an unbounded group and no pair is left out. In a component of over
+``most_parts`` blocks, which chains of buckets can make out of classes that mostly share none, only blocks that
+share a bucket meet, each two once, and buckets scattered over many blocks are dealt by themselves
+(``dealt_by_blocks``). In a task intersections come from an
 incidence matrix, and it emits for each class only its number of links and one link towards
 the smallest class it reaches, never the pairs. Connected components of those links are the result.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import remove, slices, stage, table, work_dir
@@ -193,19 +194,71 @@ def verify(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) ->
     return linked
 
 
-def shared_band(a: list[list[int]], b: list[list[int]] | None, band: int) -> np.ndarray:
-    """Which pairs share a band; with ``band`` 0 or more: whose first shared band it is."""
+def shared_band(a: list[list[int]], marks: list[list[int] | None], b: list[list[int]] | None, band: int) -> np.ndarray:
+    """Which pairs share one of the bands that the left one marks (null: any); with ``band`` 0 or more:
+    which share none of these, and have ``band`` as the first band that they share."""
     x = np.array(a, np.int64)
     y = x if b is None else np.array(b, np.int64)
-    out = x[:, None, 0] == y[None, :, 0]
-    if band < 0:
-        for k in range(1, x.shape[1]):
-            out |= x[:, None, k] == y[None, :, k]
-        return out
-    seen = np.zeros_like(out)
-    for k in range(band):
-        seen |= x[:, None, k] == y[None, :, k]
-    return (x[:, None, band] == y[None, :, band]) & ~seen
+    marked = np.zeros(x.shape, bool)
+    for k, m in enumerate(marks):
+        marked[k, slice(None) if m is None else m] = True
+    marked[:, : max(band, 0)] = True
+    seen = np.zeros((len(x), len(y)), bool)
+    for k in np.flatnonzero(marked.any(axis=0)):
+        seen |= (x[:, None, k] == y[None, :, k]) & marked[:, k, None]
+    return seen if band < 0 else (x[:, None, band] == y[None, :, band]) & ~seen
+
+
+#: Where a class is dealt: the group, its number of blocks and the class's block; ``band`` below 0 for all bands.
+GROUPS = "array<struct<grp:binary,parts:int,part:int,band:int>>"
+
+
+def dealt_by_blocks(far: DataFrame, parts: Column, bands: int, folder: str) -> DataFrame:
+    """digest, marks, groups of the classes ``far`` (digest, n_grams, bands) of large components.
+
+    A class lives in a block of its largest bucket; a block holds as many classes as ``parts`` says. A
+    bucket whose blocks are few and mostly its own is *marked*: two blocks meet once, however many
+    marked buckets they share, so a cluster whose members share most bands is dealt once. Other
+    buckets, as chains of small ones, are dealt by themselves, but for those whose members all live in
+    one marked bucket. ``marks`` are a class's bands with marked buckets: a pair that shares such a
+    band counts where its blocks meet, any other in the first band that it shares."""
+    at = ["band", "h"]
+    each = far.select("digest", "n_grams", F.posexplode("bands").alias(*at))
+    buckets = each.groupBy(*at).agg(F.count("*").alias("n"), parts).where("n > 1")
+    held = stage(each.join(buckets, at), f"{folder}-held")
+    home = held.groupBy("digest").agg(F.max(F.struct("n", "band", "h")).alias("top"), F.first("n_grams").alias("n_grams"))
+    home = stage(home.select("digest", "n_grams", F.col("top.band").alias("top_band"), F.col("top.h").alias("top_h")), f"{folder}-home")
+    lives = ["top_band", "top_h"]
+    # equal hashes would make one block of two, which is no fault
+    block = F.xxhash64(*lives, F.pmod(F.xxhash64("digest"), F.col("parts"))).alias("block")
+    placed = stage(home.join(home.groupBy(*lives).agg(parts), lives).select("digest", *lives, block), f"{folder}-placed")
+    full = placed.groupBy("block").agg(F.count("*").alias("size"))
+
+    seen = held.join(placed, "digest")
+    touched = stage(seen.groupBy(*at, "n", "parts", "block").agg(F.min(F.struct(*lives)).alias("low"), F.max(F.struct(*lives)).alias("high")), f"{folder}-touched")
+    judged = touched.join(full, "block").groupBy(*at, "n", "parts")
+    judged = judged.agg(F.count("*").alias("blocks"), F.sum("size").alias("sizes"), F.min("low").alias("low"), F.max("high").alias("high"))
+    few = (F.col("blocks") <= 2 * F.col("parts") + bands) & (F.col("sizes") <= 4 * F.col("n"))
+    judged = judged.withColumn("marked", (F.col("blocks") == 1) | ((F.col("parts") > 1) & few))
+    judged = stage(judged.select(*at, "parts", "low", "high", "marked"), f"{folder}-judged")
+    marked = judged.where("marked").select(*at)
+    tops = marked.select(F.col("band").alias("top_band"), F.col("h").alias("top_h"), F.lit(True).alias("covered"))
+    alone = judged.where("NOT marked").select(*at, "parts", (F.col("low") == F.col("high")).alias("one"), F.col("low.top_band"), F.col("low.top_h"))
+    alone = alone.join(tops, lives, "left").where("NOT (one AND covered IS NOT NULL)").select(*at, "parts")
+
+    inside = touched.join(marked, at, "left_semi").select(*at, "block")
+    met = inside.join(inside.withColumnRenamed("block", "other"), at).select("block", "other").distinct()
+    first = F.col("block") <= F.col("other")
+    name = F.concat_ws(":", F.lit("blocks"), F.least("block", "other"), F.greatest("block", "other")).cast("binary").alias("grp")
+    kind = F.when(F.col("block") == F.col("other"), -1).otherwise(-2).alias("parts")
+    by_block = met.groupBy("block").agg(F.collect_list(F.struct(name, kind, F.when(first, 0).otherwise(1).alias("part"), F.lit(-1).alias("band"))).alias("here"))
+    own = F.struct(F.concat_ws(":", "band", "h").cast("binary").alias("grp"), "parts", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part"), "band")
+    by_bucket = held.drop("parts").join(alone, at).groupBy("digest").agg(F.collect_list(own).alias("there"))
+    marks = held.join(marked, at, "left_semi").groupBy("digest").agg(F.collect_list("band").alias("marks"))
+    out = placed.select("digest", "block").join(by_block, "block", "left").join(by_bucket, "digest", "left").join(marks, "digest", "left")
+    none = F.array().cast(GROUPS)
+    groups = F.concat(F.coalesce(F.col("here").cast(GROUPS), none), F.coalesce(F.col("there").cast(GROUPS), none))
+    return out.select("digest", F.coalesce("marks", F.array().cast("array<int>")).alias("marks"), groups.alias("groups"))
 
 
 def _roots(linked: np.ndarray, square: bool) -> np.ndarray:
@@ -249,15 +302,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     part = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part")
     narrow = ("digest", "doc_id", "text_key", "copies", "bands")
     near = rows_of.join(sizes.where(F.col("parts") <= most_parts), "root")
-    chosen = near.select(*narrow, F.array(F.struct(F.col("root").alias("grp"), "parts", part, F.lit(-1).alias("band"))).alias("groups"))
+    whole = F.array(F.struct(F.col("root").alias("grp"), "parts", part, F.lit(-1).alias("band")))
+    chosen = near.select(*narrow, F.lit(None).cast("array<int>").alias("marks"), whole.alias("groups"))
     if not sizes.where(F.col("parts") > most_parts).isEmpty():
-        # what chains of buckets have joined is dealt by bucket instead
-        far = rows_of.join(sizes.where(F.col("parts") > most_parts).select("root"), "root", "left_semi")
-        each = far.select(*narrow, "n_grams", F.posexplode("bands").alias("band", "h"))
-        shared = each.groupBy("band", "h").agg(F.count("*").alias("n"), parts).where("n > 1").select("band", "h", "parts")
-        grp = F.concat_ws(":", "band", "h").cast("binary").alias("grp")
-        dealt_by = each.join(shared, ["band", "h"]).groupBy("digest").agg(F.collect_list(F.struct(grp, "parts", part, "band")).alias("groups"))
-        chosen = chosen.unionByName(far.select(*narrow).join(dealt_by, "digest"))
+        far = stage(rows_of.join(sizes.where(F.col("parts") > most_parts).select("root"), "root", "left_semi"), f"{folder}/far")
+        chosen = chosen.unionByName(far.select(*narrow).join(dealt_by_blocks(far, parts, bands, f"{folder}/far"), "digest"))
 
     texts = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
     again = stage(known.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/again", narrow=True)
@@ -267,25 +316,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
         texts = texts.join(twice, same, "left_anti").unionByName(texts.join(twice, same, "left_semi").groupBy("d", "k").agg(F.first("text").alias("text")))
     with_text = chosen.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
 
+    kept = ["digest", "copies", "bands", "marks", "groups"]
+
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [grams(t.as_py(), n) for t in b.column("text")]
             keep = pa.array([digest(s) == d for s, d in zip(sets, b.column("digest").to_pylist())], pa.bool_())
-            cols = [b.column(c) for c in ("digest", "copies", "bands", "groups")]
-            made = pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "copies", "bands", "groups", "grams"])
+            cols = [b.column(c) for c in kept]
+            made = pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "grams"])
             yield made.filter(keep)
 
-    kinds = "digest binary, copies bigint, bands array<bigint>, groups array<struct<grp:binary,parts:int,part:int,band:int>>"
-    sets = with_text.select("digest", "copies", "bands", "groups", "text").mapInArrow(as_sets, f"{kinds}, grams binary")
-    # a class's block meets every other block of its group, and itself
-    pair = F.expr("transform(sequence(0, g.parts - 1), k -> struct(least(g.part, k) AS i, greatest(g.part, k) AS j))")
-    dealt = sets.select("digest", "copies", "bands", "grams", F.explode("groups").alias("g")).select("digest", "copies", "bands", "grams", "g", F.explode(pair).alias("p"))
-    dealt = dealt.select("digest", "copies", "bands", "grams", "g.grp", "g.part", "g.band", "p.i", "p.j")
+    kinds = f"digest binary, copies bigint, bands array<bigint>, marks array<int>, groups {GROUPS}"
+    sets = with_text.select(*kept, "text").mapInArrow(as_sets, f"{kinds}, grams binary")
+    # a class's block meets every other block of its group, and itself; a group of a pair of blocks (parts
+    # below 0) is that pair alone
+    pair = F.expr(
+        "if(g.parts < 0, array(struct(0 AS i, -1 - g.parts AS j)), transform(sequence(0, g.parts - 1), k -> struct(least(g.part, k) AS i, greatest(g.part, k) AS j)))"
+    )
+    wide = ("digest", "copies", "bands", "marks", "grams")
+    dealt = sets.select(*wide, F.explode("groups").alias("g")).select(*wide, "g", F.explode(pair).alias("p"))
+    dealt = dealt.select(*wide, "g.grp", "g.part", "g.band", "p.i", "p.j")
 
     def check(t: pa.Table) -> pa.Table:
         d, part, copies = t.column("digest").to_pylist(), np.array(t.column("part").to_pylist()), np.array(t.column("copies").to_pylist(), np.float64)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        signed_by = t.column("bands").to_pylist()
+        signed_by, marks = t.column("bands").to_pylist(), t.column("marks").to_pylist()
         place = {x: k for k, x in reversed(list(enumerate(d)))}  # a repeated row would bring its class twice
         order = sorted(place.values(), key=lambda k: (part[k] != i, d[k]))
         body = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("grams")]
@@ -296,7 +351,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
         if not a or b == []:
             return pa.table({"digest": pa.array([], pa.binary()), "root": pa.array([], pa.binary()), "links": pa.array([], pa.int64())})
         linked = verify(a, b, threshold)
-        linked &= shared_band([signed_by[k] for k in order[:m]], None if b is None else [signed_by[k] for k in order[m:]], t.column("band")[0].as_py())
+        left = [signed_by[k] for k in order[:m]], [marks[k] for k in order[:m]]
+        linked &= shared_band(*left, None if b is None else [signed_by[k] for k in order[m:]], t.column("band")[0].as_py())
         if b is None:
             links = linked @ weight
         else:
@@ -313,7 +369,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     full = full.withColumn("root", F.coalesce("root", "digest"))
     heads = full.groupBy("root").agg(F.min("rep").alias("head"))
     named = stage(full.join(heads, "root").select("digest", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), f"{folder}/named")
-    for done in ("candidates", "linked", "links", "classes", "sizes", "again"):
+    for done in ("candidates", "linked", "links", "classes", "sizes", "again", "far", "far-held", "far-home", "far-placed", "far-touched", "far-judged"):
         remove(spark, f"{folder}/{done}")
     out = signed.select("doc_id", "text_key", "digest", "n_grams").join(named, "digest", "left")
     alone = F.col("digest").isNull()

@@ -95,6 +95,57 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_clusters_of_many_blocks(spark, tmp_path):
+    """A true cluster of near copies, a long chain of texts that resemble only their neighbours, and
+    both with repeated texts: every link counts once, and a pair of blocks is dealt once."""
+    r, body = random.Random(3), []
+    base = [f"w{k}" for k in range(220)]
+    for _ in range(240):  # most pairs are linked, some are not
+        near = list(base)
+        for at in r.sample(range(220), r.choice((0, 1, 2, 4))):
+            near[at] = f"x{r.randrange(10**6)}"
+        body.append(" ".join(near))
+    long = [f"c{k}" for k in range(1_400)]
+    body += [" ".join(long[k : k + 200]) for k in range(0, 1_200, 8)]
+    body += r.choices(body, k=60)
+    sets = [brute_sets(t) for t in body]
+    vocabulary = {g: k for k, g in enumerate(set().union(*sets))}
+    x = np.zeros((len(sets), len(vocabulary)), np.float32)
+    for k, g in enumerate(sets):
+        x[k, [vocabulary[y] for y in g]] = 1
+    both, size = x @ x.T, x.sum(axis=1)
+    linked = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6
+    docs = spark.createDataFrame(list(enumerate(body)), "doc_id bigint, text string").repartition(3)
+    want = dict(enumerate((linked.sum(axis=1) - 1).tolist()))
+    for block, most in ((4, 2), (32, 3)):
+        got = {d: (c, n) for d, c, n in ngram_join.near_duplicates(docs, block=block, most_parts=most, recall=0.999999).select("doc_id", "class_id", "n_links").collect()}
+        assert {d: n for d, (c, n) in got.items()} == want
+        assert all(got[i][0] == got[int(np.flatnonzero(linked[i])[0])][0] for i in range(len(body)))
+
+
+def test_blocks_of_a_cluster_meet_once(spark, tmp_path):
+    same = [[7 if r % 10 else 100 + r for r in (k * 13 + b * 5 for b in range(6))] for k in range(200)]
+    rows = [(k.to_bytes(16, "big"), 10, b) for k, b in enumerate(same)]
+    far = spark.createDataFrame(rows, "digest binary, n_grams bigint, bands array<bigint>")
+    parts = F.ceil(F.count("*") / 10).cast("int").alias("parts")
+    dealt = {bytes(r.digest): r for r in ngram_join.dealt_by_blocks(far, parts, 6, f"{tmp_path.as_uri()}/far").collect()}
+    assert len(dealt) == 200
+    homes = Counter()
+    for x, y in itertools.combinations(rows, 2):
+        shared = [b for b in range(6) if x[2][b] == y[2][b]]
+        if not shared:
+            continue
+        p, q = dealt[x[0]], dealt[y[0]]
+        marked = [b for b in shared if b in p.marks]
+        assert marked == [b for b in shared if b in q.marks]
+        one = {(bytes(g.grp), g.band) for g in p.groups} & {(bytes(g.grp), g.band) for g in q.groups}
+        home = [g for g, band in one if (band < 0 if marked else band == shared[0])]
+        assert home  # each pair that shares a band meets
+        homes[bool(marked)] += 1
+    assert homes[True] > 0.9 * homes.total()
+    assert max(len(r.groups) for r in dealt.values()) <= 20 + 6 + 6
+
+
 def test_bands_reach_the_recall():
     for t, recall in itertools.product((0.7, 0.8, 0.9), (0.9, 0.99, 0.999)):
         b, r = ngram_join.choose_bands(t, recall)
