@@ -14,8 +14,9 @@ text and the same for one long text and many short ones.
 Learning uses text and non-null label of rows whose crc32(doc_id) mod ``folds`` is not ``held`` (a row
 without doc_id belongs to no fold and may be used). Of these, for each label, the ``docs_per_language``
 with the smallest hash of doc_id and text are read, ``chars_per_document`` characters of each, up to
-``bytes_per_language`` bytes, or less so that all labels together have at most SAMPLE_BYTES; the
-``most_labels`` labels with the most rows are learned. These are the documented bounds of the sample.
+``bytes_per_language`` bytes, or less so that all labels together have at most SAMPLE_BYTES. Every label
+is learned: of the more labels, the fewer bytes of each, from no more documents than one for each
+LEAST_BYTES of these. These are the documented bounds of the sample; automata need memory in proportion.
 Prediction reads the text alone. A text that is null or has no letter gives ``und`` and score 0; so
 does every text where there is nothing to learn from. Ties go to the label first in code point
 order. Repeated rows give repeated predictions and count once in learning; further columns are not
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from ._shared import gathered, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-WINDOW, CHUNK_BYTES, SAMPLE_BYTES = 512, 4 << 20, 320_000
+WINDOW, CHUNK_BYTES, SAMPLE_BYTES, LEAST_BYTES = 512, 4 << 20, 320_000, 12
 _PREPARED: dict = {}
 
 
@@ -76,29 +77,61 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
     return steps
 
 
-class Model:
-    """The automata of all labels as tables: for each state and class of bytes the place of the next
-    state's row, with the number of phrases that end on the way in the two lowest bits."""
+class Automaton:
+    """A suffix automaton as arrays. Only states with several ways on, fewer than there are bytes in the
+    sample, are rows over the sample's own classes of bytes; any other state keeps its one byte and one
+    successor. A cell holds where the next state begins, with the number of phrases that end on the way
+    in the two lowest bits: a phrase ends where there is no way on, and the byte begins the next one
+    or is one."""
 
-    def __init__(self, samples: dict[str, bytes]):
-        self.labels = sorted(samples)
-        self.cost = [math.log2(max(2, len(samples[k]))) for k in self.labels]
-        known = sorted(set().union(*samples.values())) if samples else []
-        self.classes = len(known) + 1  # the last one is that of bytes which no sample has
+    def __init__(self, data: bytes):
+        steps = suffix_automaton(data)
+        known = sorted(set(data))
+        self.classes = len(known) + 1  # the last one is that of bytes which the sample does not have
         self.code = np.full(256, len(known), np.int32)
         self.code[known] = np.arange(len(known))
-        self.tables = [self.table(suffix_automaton(samples[k])) for k in self.labels]
-
-    def table(self, steps: list[dict[int, int]]) -> np.ndarray:
-        to = np.full((len(steps), self.classes), -1, np.int64)
+        wide = np.fromiter((len(x) > 1 for x in steps), bool, len(steps))
+        wide[0] = True
+        self.rows = int(wide.sum()) * self.classes  # where single states begin
+        place = np.where(wide, (np.cumsum(wide) - 1) * self.classes, self.rows + np.cumsum(~wide) - 1)
+        at = place.tolist()
+        self.again = np.full(self.classes, 1, np.int32)  # from the root, where an unknown byte is a phrase
+        for ch, t in steps[0].items():
+            self.again[self.code[ch]] = at[t] * 4
+        cells = np.empty((self.rows // self.classes, self.classes), np.int32)
+        cells[:] = self.again + 1
+        cells[0] = self.again
+        singles = np.zeros(len(steps) - len(cells), np.int32)
+        self.byte = np.full(len(singles), -1, np.int32)
         for s, step in enumerate(steps):
             for ch, t in step.items():
-                to[s, self.code[ch]] = t
-        miss = to < 0
-        again = to[0].copy()  # a phrase ends, and the byte begins the next or is one
-        after = np.where(miss, np.where(again < 0, 0, again)[None, :], to)
-        ends = miss * ((np.arange(len(steps)) > 0)[:, None] + (again < 0)[None, :].astype(np.int64))
-        return (after * self.classes * 4 + ends).astype(np.int32).ravel()
+                if wide[s]:
+                    cells[at[s] // self.classes, self.code[ch]] = at[t] * 4
+                else:
+                    self.byte[at[s] - self.rows], singles[at[s] - self.rows] = self.code[ch], at[t] * 4
+        self.cells = np.concatenate([cells.ravel(), singles])
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The cells that the classes ``byte`` lead to from ``state``."""
+        single = state >= self.rows
+        got = self.cells.take(np.where(single, state, state + byte))
+        rare = np.flatnonzero(single)
+        rare = rare[self.byte.take(state[rare] - self.rows) != byte[rare]]
+        got[rare] = self.again.take(byte[rare]) + 1
+        return got
+
+    @property
+    def nbytes(self) -> int:
+        return self.cells.nbytes + self.byte.nbytes + self.again.nbytes + self.code.nbytes
+
+
+class Model:
+    """The automata of all labels."""
+
+    def __init__(self, samples: dict[str, bytes]):
+        self.labels = sorted(samples)
+        self.cost = [math.log2(max(2, len(samples[k]))) for k in self.labels]
+        self.automata = [Automaton(samples[k]) for k in self.labels]
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each normalised text in each language."""
@@ -130,17 +163,15 @@ class Model:
         length = np.minimum(WINDOW, sizes[owner] - nth * WINDOW)
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
-        flat = self.code[np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)]
+        flat = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
         steps = int(length[0])
         grid = np.ascontiguousarray(flat[start[:, None] + np.arange(steps)].T)
         active = np.searchsorted(-length, -np.arange(steps), "left")  # lanes that are longer than each step
-        for k, t in enumerate(self.tables):
+        for k, automaton in enumerate(self.automata):
             state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
-            where = np.empty(n, np.int32)
             for step in range(steps):
                 m = active[step]
-                np.add(state[:m], grid[step, :m], out=where[:m])
-                got = t.take(where[:m])
+                got = automaton.step(state[:m], automaton.code.take(grid[step, :m]))
                 count[:m] += got & 3
                 np.right_shift(got, 2, out=state[:m])
             count += state > 0
@@ -177,7 +208,7 @@ def held_out(key: Column, folds: int = 4, held: int = 2) -> Column:
 
 
 def learn(
-    docs: DataFrame, docs_per_language: int = 400, chars_per_document: int = 1_000, bytes_per_language: int = 40_000, most_labels: int = 64, folds: int = 4, held: int = 2
+    docs: DataFrame, docs_per_language: int = 400, chars_per_document: int = 1_000, bytes_per_language: int = 40_000, folds: int = 4, held: int = 2
 ) -> dict[str, bytes]:
     """Normalised text of the bounded sample by label."""
     row = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
@@ -186,17 +217,18 @@ def learn(
     narrow = rows.select("lang", "row", place.alias("h"))
     # only hashes low enough to hold the sample four times over are ranked, so that a label which most
     # rows bear sends no more of them to its task than any other; equal rows are one
-    limits = narrow.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels)
-    few = [(r.lang, 4.0 * docs_per_language / r.n) for r in limits.collect()]
-    if not few:
+    limits = narrow.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a label
+    if not limits:
         return {}
+    room = max(1, min(bytes_per_language, SAMPLE_BYTES // len(limits)))
+    docs_per_language = min(docs_per_language, -(-room // LEAST_BYTES))
+    few = [(r.lang, 4.0 * docs_per_language / r.n) for r in limits]
     limits = F.broadcast(docs.sparkSession.createDataFrame(few, "lang string, limit double"))
     near = narrow.join(limits, "lang").where("h <= limit").select("lang", "row").distinct()
     ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("row")))
     chosen = ranked.where(F.col("n") <= docs_per_language).select("lang", "row")
-    # at most docs_per_language short rows for each of most_labels labels are broadcast
+    # SAMPLE_BYTES / LEAST_BYTES short rows are broadcast, and one more for each label, or fewer
     sample = rows.join(F.broadcast(chosen), ["lang", "row"]).select("lang", "row", F.substring("text", 1, chars_per_document).alias("text")).distinct()
-    room = min(bytes_per_language, SAMPLE_BYTES // len(few))
     out: dict[str, bytes] = {}
     for r in sample.orderBy("lang", "row").toLocalIterator():
         if len(out.get(r.lang, b"")) < room and (t := normalised(r.text)):

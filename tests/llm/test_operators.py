@@ -568,10 +568,38 @@ def test_learning_with_null_and_repeated_ids(spark):
     model = language_id.learn(docs, docs_per_language=50)
     assert set(model) == {"aa", "bb"} and all(len(b) > 1000 for b in model.values())
     assert set(language_id.learn(docs.where("doc_id IS NULL"))) == {"aa", "bb"}
-    assert language_id.learn(docs, most_labels=1).keys() == {"aa"}
     assert all(len(b) <= 100 for b in language_id.learn(docs, bytes_per_language=100).values())
 
 
+def test_every_label_is_learned(spark):
+    """A hundred labels with words of their own, one of them rare: none is left out."""
+    r = random.Random(8)
+    words = {f"l{k:03}": ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(8)] for k in range(100)}
+    body = [(i, " ".join(r.choices(words[k], k=30)), k) for i, k in enumerate(sorted(words) * 8 + ["l000"] * 500) if k != "l099" or i < 100]
+    body += [(10_000 + i, " ".join(r.choices(words["l099"], k=30)), "l099") for i in range(3)]
+    docs = spark.createDataFrame(body, "doc_id bigint, text string, lang string")
+    model = language_id.learn(docs)
+    assert model.keys() == words.keys()
+    assert sum(map(len, model.values())) <= language_id.SAMPLE_BYTES
+    got = {d: p for d, p in language_id.predict(docs, model).select("doc_id", "lang_pred").collect()}
+    assert all(got[i] == k for i, _, k in body)
+
+
+def test_many_scripts_stay_small():
+    """64 labels in 8 scripts, about 200 byte classes together: the same phrases in little memory."""
+    r, samples = random.Random(10), {}
+    starts = (0x61, 0x430, 0x3B1, 0x5D0, 0x10D0, 0x4E00, 0xAC00, 0x1F600)
+    for k in range(64):
+        at, many = starts[k % 8], (26, 32, 24, 27, 33, 3000, 3000, 60)[k % 8]
+        words = ["".join(chr(at + r.randrange(many)) for _ in range(r.randint(2, 7))) for _ in range(300)]
+        samples[f"{k:02}"] = " ".join(r.choices(words, k=900)).encode()[: language_id.SAMPLE_BYTES // 64]
+    model = language_id.Model(samples)
+    assert len(set(b"".join(samples.values()))) > 100
+    assert sum(a.nbytes for a in model.automata) < 40e6
+    texts = [samples[k][500:620] + samples[j][100:180] for k, j in (("00", "09"), ("05", "06"), ("63", "02"))]
+    assert model.phrases(texts).tolist() == [[brute_phrases(samples[k], t) for k in model.labels] for t in texts]
+
+
 def brute_phrases(train: bytes, text: bytes) -> int:
     n = at = 0
     while at < len(text):
