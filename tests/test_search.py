@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from tessera.operators import search
-from tessera.operators.text import query_terms, stem
+from tessera.operators.text import query_terms, stem, stem_of
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -107,3 +107,20 @@ def test_empty_index(spark, tmp_path):
     search.build(spark.createDataFrame([], "id string, title string, body string"), "id", ("title", "body"), f"file://{tmp_path}/e")
     empty = search.load(spark, f"file://{tmp_path}/e", "id")
     assert search.search_with_totals(empty, spark.createDataFrame([(1, "a"), (1, "a b")], "query_id int, term string"), 3).count() == 0
+
+
+def test_stems_are_one_in_tasks_and_queries(spark):
+    every = ["s", "gas", "cats", "class", "classes", "flies", "bus", "ties", "running", "sing", "bed", "hoped", "agreed", "встречs", "straßeing", "ıss", "x_ings", "éed", "naïved", "sses", "iesing", "aaing"]
+    rows = spark.createDataFrame([(w,) for w in every], "w string").select("w", stem(F.col("w")).alias("s")).collect()
+    assert [stem_of(r.w) for r in rows] == [r.s for r in rows]
+
+
+def test_slices_lose_no_posting(spark, corpus, tmp_path, monkeypatch):
+    """Small slices end at blocks; frequencies are those of a plain count."""
+    monkeypatch.setattr(search, "SLICE", 40)
+    docs = spark.createDataFrame(corpus, "id string, title string, body string")
+    search.build(docs, "id", ("title", "body"), f"file://{tmp_path}/i")
+    index = search.load(spark, f"file://{tmp_path}/i", "id")
+    want = Counter((f, stem_of(w)) for d in corpus for f, t in zip(("title", "body"), d[1:]) for w in {stem_of(w) for w in words(t)})
+    assert {(r.field, r.term): r.df for r in index.words.collect()} == dict(want)
+    assert {tuple(r) for r in index.postings.select("field", "term").distinct().collect()} == set(want)
