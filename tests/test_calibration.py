@@ -136,3 +136,14 @@ def test_max_similarity_is_one_sided(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "none")], "a string, b string")
     got = {(r.a, r.b): round(r.sim, 6) for r in calibration.max_similarity(pairs, df).collect()}
     assert got == {("a", "b"): 0.707107, ("b", "a"): 1.0, ("a", "none"): 0.0}
+
+
+def test_later_visits_send_only_rows_that_can_count(spark):
+    rows = clustered(600)
+    cells = vector.fit_cells(frame(spark, rows, "c"), "id")
+    asked = frame(spark, rows[:5], "q").selectExpr("query_id", "embedding", "0.9D AS least")
+    visits = vector._visits(asked, cells, 1, True)
+    sent = vector._meet(visits, cells, 600, "id").collect()
+    first = vector._meet(vector._visits(asked, cells, 1, False), cells, 600, "id").collect()
+    assert all(r.score >= 0.9 for r in sent)
+    assert sum(r.score >= 0.9 for r in sent + first) == int((np.round(unit(rows[:5]) @ unit(rows).T, 6) >= 0.9).sum())
