@@ -9,7 +9,7 @@ with a margin around public prose: licence texts of Debian's common-licenses and
 manual give 1.2 to 2.0 at 300 bytes, 1.6 to 2.3 at 1,000, 2.0 to 2.8 at 4,000, 2.5 to 3.2 at 16,000, 2.7 to 3.5 at
 64,000 and 3.4 to 4.2 beyond. Scripts of several bytes a letter widen them: the upper limit holds for bytes over
 compressed bytes and bytes a letter, the lower is divided by the root of the latter. ``fit`` narrows the limits to
-what labelled good documents of a corpus show, from a bounded sample.
+what all labelled good documents of a corpus show.
 
 A document is rejected when its whole ratio leaves its band's limits, or when the chunks
 that leave the limits of their length hold more than ``chunk_share`` of its bytes. Every byte is in a chunk: what
@@ -145,13 +145,13 @@ def judge(docs: DataFrame, bands: Bands = Bands(), text: str = "text", key: str
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("in_band"))
 
 
-def fit(docs: DataFrame, good: DataFrame, sample: int = 4_000, least: int = 30, margin: tuple[float, float] = (0.15, 0.03), text: str = "text", key: str = "doc_id") -> Bands:
+def fit(docs: DataFrame, good: DataFrame, least: int = 30, margin: tuple[float, float] = (0.15, 0.03), text: str = "text", key: str = "doc_id") -> Bands:
     """Bands whose limits are the extremes of the ratios of documents known to be good (their ids in
-    ``good``), with a margin below and above. Read are the ``sample`` ids with the smallest hash; a
+    ``good``), with a margin below and above. All of them are read; a
     band with under ``least`` documents that pass the base rule keeps the general limits."""
-    ids = good.select(F.col(key).cast("long").alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    ids = good.select(F.col(key).cast("long").alias("id")).where("id IS NOT NULL").distinct()
     bands = Bands()
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
