@@ -488,12 +488,13 @@ def _(s):
     """Verdicts against labels and their majority; what the second text keeps of the first one's words, and numbers that only it has."""
     words = F.array_distinct(F.filter(x.tokens(F.col("content")), lambda w: w.rlike("^[a-z]{3,}$")))
     numbers = F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0)))
-    tx = s.current.select("node_id", words.alias("w"), numbers.alias("nums"))
-    rows = s.edges.join(tx.select(F.col("node_id").alias("src"), F.col("w").alias("a"), F.col("nums").alias("m")), "src").join(tx.select(F.col("node_id").alias("dst"), F.col("w").alias("b"), F.col("nums").alias("k")), "dst")
+    nums = s.current.select("node_id", numbers.alias("nums"))
+    sets = x.coded(s.current.select("node_id", words.alias("w")), "node_id", "w").join(nums, "node_id")
+    rows = x.met(s.edges, sets)
     right = ((F.col("weight") > 0.75) == (F.col("provenance") == "agent")).cast("double")
     common = s.edges.groupBy("type", "provenance").agg(F.count("*").alias("c")).groupBy("type").agg(F.round(F.max("c") / F.sum("c"), 6).alias("majority"))
     out = rows.groupBy("type").agg(
-        F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(x.coverage(F.col("a"), F.col("b"))), 5).alias("coverage"), F.sum(F.size(F.array_except("k", "m"))).cast("long").alias("invented_numbers")
+        F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(x.shared_coverage(F.col("n_src"), F.col("both"))), 5).alias("coverage"), F.sum(F.size(F.array_except("nums_dst", "nums_src"))).cast("long").alias("invented_numbers")
     )
     return out.join(common, "type")
 
