@@ -1,22 +1,26 @@
 """Symbols of source files: a lexer, bracket levels, statements, and declarations by their outline.
 
-A file becomes token rows by one pattern a language, which knows comments, strings, raw strings,
+Files are dealt by their paths, then become token rows by one pattern a language, which knows comments, strings, raw strings,
 regex literals and preprocessor lines, so nothing inside those is ever taken for code. Levels are
-running sums over brackets. The tokens of one level between two statement ends are a statement; what
+running sums over brackets, made on Arrow batches of whole files where the tokens are cut. The tokens of one level between two statement ends are a statement; what
 its brackets enclose lies a level deeper, so the outline of a statement, ``export class A { }``, is short
 whatever its body holds, and tells its kind and name. A bracket leads to the statements inside it, and
 containers hand their names down to them, round by round.
 
-Files are bounded (``files.MAX_BYTES``), so the windows over one file are too."""
+Files are bounded (``files.MAX_BYTES``), so what a task holds of one file is too."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import settle
 
 SIGNATURE_CHARS = 200
+TASKS_A_CORE = 4
 TS, PHP, RUST, CXX, LUA = ("typescript", "tsx", "javascript"), ("php",), ("rust",), ("c", "cpp"), ("lua",)
 
 # --- lexers: each match is white space and one token, and matches cover the file
@@ -30,7 +34,7 @@ def _quoted(q: str, escape: str = r"\\") -> str:
 
 _WORD = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 _REST = r"\d[\w.]*+|=>|\?->|->|::|\.\.\.|&&|\|\||[-+*/%&|^!=<>]=++|[\s\S]"
-_REGEX = r"(?<=[=(,:;!&|?{}\[+*%~^<>-]\s{0,9}|\breturn\s{1,9}|\A)/(?![*/])[^/\\\[\n]*+(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+){0,200}+\])[^/\\\[\n]*+){0,500}+/[a-z]*+"
+_REGEX = r"(?=/)(?<=[=(,:;!&|?{}\[+*%~^<>-]\s{0,9}|\breturn\s{1,9}|\A)/(?![*/])[^/\\\[\n]*+(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+){0,200}+\])[^/\\\[\n]*+){0,500}+/[a-z]*+"
 _ATTRIBUTE = r"#!?\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
 LEXERS = {
     TS: rf"\s*+(?:{_BLOCK}|{_LINE}|{_quoted('"')}|{_quoted("'")}|{_quoted('`')}|{_REGEX}|#?{_WORD}|{_REST})",
@@ -50,27 +54,12 @@ def _by_language(table: dict, make, other: Column) -> Column:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """path, lang, pos, text, start_line, end_line, at (0-based character), skipped, doc of every token of ``files``
-    (path, lang, content). Comments and attributes are skipped; ``doc`` is the comment above: the nearest one
-    or, where a grammar has one comment a line, the first of its run."""
+    """path, lang, pos, raw, text of every token of ``files`` (path, lang, content), the tokens of a file one after another:
+    files are dealt by their paths before they are cut, so a token is never shuffled."""
     lexed = _by_language(LEXERS, lambda x: F.regexp_extract_all("content", F.lit(x), F.lit(0)), F.array().cast("array<string>"))
-    rows = files.select("path", "lang", F.posexplode(lexed).alias("pos", "raw")).withColumn("text", F.regexp_replace("raw", r"^\s+", "")).where("text <> ''")
-    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    w = Window.partitionBy("path").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    skipped = _by_language(_COMMENT, lambda x: F.col("text").rlike(x), F.lit(False)) | (F.col("lang").isin(*PHP) & F.col("text").rlike(r"<\?(php|=)?$"))
-    rows = rows.select(
-        "path", "lang", "pos", "text",
-        (1 + F.coalesce(F.sum(lines("raw")).over(before), F.lit(0)) + lines("raw") - lines("text")).alias("start_line"),
-        (1 + F.sum(lines("raw")).over(w)).alias("end_line"),
-        (F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)) + F.length("raw") - F.length("text")).alias("at"),
-        skipped.alias("skipped"), F.lag(skipped).over(w).alias("after"),
-    )
-    comment = F.col("skipped") & ~F.col("text").rlike(r"^#!?\[|<\?(php|=)?$")
-    first = F.last(F.when(comment & ~F.coalesce("after", F.lit(False)), F.col("text")), True).over(before)
-    near = F.last(F.when(comment, F.col("text")), True).over(before)
-    said = F.when(F.col("lang").isin(*TS), F.when(F.lag(comment).over(w), near)).when(F.col("lang").isin(*PHP), F.when(F.col("after"), near)).otherwise(F.when(F.col("after"), first))
-    return rows.withColumn("doc", F.when(~F.col("skipped"), _first_line(said))).drop("after")
+    tasks = TASKS_A_CORE * files.sparkSession.sparkContext.defaultParallelism  # by number, as files are small for what they cost
+    rows = files.repartition(tasks, "path").select("path", "lang", F.posexplode(lexed).alias("pos", "raw"))
+    return rows.withColumn("text", F.ltrim("raw", F.lit(" \t\n\x0b\f\r"))).where("text <> ''")
 
 
 def _first_line(comment: Column) -> Column:
@@ -89,41 +78,154 @@ _LUA_INNER = ("and", "or", "not", "then", "do", "else", "elseif", "until", "end"
 _LUA_NEEDS = ("and", "or", "not", "then", "do", "else", "elseif", "until", "in", "local", "return", "repeat", "if", "while", "for", "goto", "function")
 
 
+def _marks() -> dict[str, Column]:
+    """What a token is by itself: everything that takes a pattern, so that running sums do the rest."""
+    text, lang = F.col("text"), lambda *x: F.col("lang").isin(*[y for z in x for y in z])
+    lua, binary = lang(LUA), text.rlike(_BINARY)
+    skipped = _by_language(_COMMENT, lambda x: text.rlike(x), F.lit(False)) | (lang(PHP) & text.rlike(r"<\?(php|=)?$"))
+    return {
+        "skipped": skipped,
+        "comment": skipped & ~text.rlike(r"^#!?\[|<\?(php|=)?$"),
+        "opens": text.isin("(", "[", "{") | lua & text.rlike(_LUA_OPEN),
+        "shuts": text.isin(")", "]", "}") | lua & text.rlike(_LUA_SHUT),
+        "brace": text == "{",
+        "shut": text == "}",
+        "goes_on": text.isin(*_GOES_ON),
+        "word": text.rlike(r"^[\p{L}_]"),
+        "semicolon": text == ";",
+        "colon": text == ":",
+        "hash": lang(CXX) & text.startswith("#"),
+        "access": text.isin("public", "private", "protected"),
+        "tail": lang(TS) & text.rlike(r"[\p{L}\p{N}_$\"'`)\]}>/]$") & ~binary,
+        "head": lang(TS) & text.rlike(r"^[\p{L}_$@\"'#]") & ~binary,
+        "lua_tail": lua & text.rlike(r"(?:[\p{L}\p{N}_\"')\]}]|\.\.\.)$") & ~text.isin(*_LUA_NEEDS) & ~text.rlike(r"^function\b"),
+        "lua_head": ~text.isin(*_LUA_INNER),
+    }
+
+
 def statements(token: DataFrame) -> DataFrame:
     """path, lang, level, opener (the position of the bracket around it, -1 at the top), stmt, outline, and of
-    each its first position, lines, doc, start and, if it has a body, the character where that begins."""
-    lua, text, follows = F.col("lang").isin(*LUA), F.col("text"), F.col("next")
-    opens = F.when(lua, text.isin("(", "[", "{") | text.rlike(_LUA_OPEN)).otherwise(text.isin("(", "[", "{")).cast("int")
-    shuts = F.when(lua, text.isin(")", "]", "}") | text.rlike(_LUA_SHUT)).otherwise(text.isin(")", "]", "}")).cast("int")
-    w = Window.partitionBy("path").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    code = token.where("NOT skipped").withColumns({"opens": opens, "shuts": shuts})
-    code = code.withColumns({"level": F.coalesce(F.sum(F.col("opens") - F.col("shuts")).over(before), F.lit(0)) - F.col("shuts"), "next": F.lead("text").over(w), "below": F.lead("start_line").over(w) > F.col("end_line")})
-    line_end = F.col("below") & text.rlike(r"[\p{L}\p{N}_$\"'`)\]}>/]$") & ~text.rlike(_BINARY) & follows.rlike(r"^[\p{L}_$@\"'#]") & ~follows.rlike(_BINARY)
-    brace = (text == "}") & ~follows.isin(*_GOES_ON)
-    word = follows.rlike(r"^[\p{L}_]")
-    lua_end = text.rlike(r"(?:[\p{L}\p{N}_\"')\]}]|\.\.\.)$") & ~text.isin(*_LUA_NEEDS) & ~text.rlike(r"^function\b") & word & ~follows.isin(*_LUA_INNER)
-    ends = (
-        F.when(lua, lua_end)
-        .when(F.col("lang").isin(*CXX), text.isin(";") | text.startswith("#") | follows.startswith("#") | (brace & (F.col("below") | ~word)) | (text.isin("public", "private", "protected") & (follows == ":")) | ((text == ":") & (F.lag("text").over(w).isin("public", "private", "protected"))))
-        .when(F.col("lang").isin(*TS), text.isin(";") | brace & (F.col("below") | word) | line_end)
-        .otherwise(text.isin(";") | brace)
-    )
-    code = code.withColumn("ends", F.coalesce(ends, F.lit(False)))
-    own = F.struct("level", F.lit(False).alias("marker"))
-    inner = F.struct((F.col("level") + 1).alias("level"), F.lit(True).alias("marker"))
-    both = code.withColumn("r", F.explode(F.when(F.col("opens") == 1, F.array(own, inner)).otherwise(F.array(own)))).select(*[c for c in code.columns if c != "level"], "r.*")
-    w = Window.partitionBy("path", "level").orderBy("pos", F.desc("marker"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("opener", F.coalesce(F.max(F.when(F.col("marker"), F.col("pos"))).over(w), F.lit(-1)))
-    both = both.withColumn("stmt", F.coalesce(F.sum(F.when(~F.col("marker") & F.col("ends"), 1).otherwise(0)).over(before), F.lit(0)))
+    each its first position, lines, doc, start and, if it has a body, the character where that begins. Comments and
+    attributes are skipped; ``doc`` is the comment above: the nearest one or, where a grammar has one comment a line, the
+    first of its run. The tokens of a file come one after another (``tokens``), and a task holds those of one batch and one file."""
+    marks = _marks()
+    families = F.lit(-1)
+    for k, langs in enumerate((TS, PHP, RUST, CXX, LUA)):
+        families = F.when(F.col("lang").isin(*langs), k).otherwise(families)
+    bits = sum((F.when(x, 1 << k).otherwise(0) for k, x in enumerate(marks.values())), F.lit(0))
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     short = F.when(F.length("text") <= 200, F.col("text")).otherwise(F.lit('""'))
-    body = F.max(F.when(F.col("text") == "{", F.col("at")))
-    return both.where("NOT marker").groupBy("path", "lang", "level", "opener", "stmt").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", short.alias("t")))), lambda x: x["t"]), " ").alias("outline"),
-        F.min("pos").alias("pos"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min_by("doc", "pos").alias("doc"), F.min("at").alias("at"), body.alias("body"),
-        F.max(F.col("at") + F.length("text")).alias("till"), F.collect_list(F.when(F.col("opens") == 1, F.col("pos"))).alias("brackets"),
+    rows = token.withColumn("bits", bits).select(
+        "path", "lang", "pos", families.alias("family"), "bits", short.alias("short"), F.when(F.col("bits").bitwiseAND(2) != 0, F.col("text")).alias("said"),
+        lines("raw").alias("raw_lines"), lines("text").alias("lines"), F.length("raw").alias("raw_chars"), F.length("text").alias("chars"),
     )
+    bit = {name: k for k, name in enumerate(marks)}
+
+    def cut(t):
+        """The statements of whole files."""
+        col = {c: t[c].to_numpy() for c in ("pos", "family", "bits", "raw_lines", "lines", "raw_chars", "chars")}
+        n, pos, family = t.num_rows, col["pos"].astype(np.int64), col["family"]
+        path = t["path"].combine_chunks()
+        first = np.concatenate([[True], pc.not_equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False)])
+        file = np.cumsum(first) - 1
+        begins = np.flatnonzero(first)
+        place = np.arange(n)
+        begin = begins[file]
+        is_ = {name: (col["bits"] >> k) & 1 == 1 for name, k in bit.items()}
+
+        def before(x):
+            """Running sums within each file, without the row itself."""
+            run = np.cumsum(x) - x
+            return run - run[begin]
+
+        def last(flag):
+            """The place of the latest flagged row before each row of its file, or -1."""
+            run = np.concatenate([[-1], np.maximum.accumulate(np.where(flag, place, -1))[:-1]])
+            return np.where(run >= begin, run, -1)
+
+        raw_lines = col["raw_lines"].astype(np.int64)
+        above = 1 + before(raw_lines)
+        start_line, end_line = above + raw_lines - col["lines"], above + raw_lines
+        raw_chars = col["raw_chars"].astype(np.int64)
+        at = before(raw_chars) + raw_chars - col["chars"]
+        lag = lambda x: np.concatenate([[False], x[:-1]]) & ~first
+        after, near = lag(is_["skipped"]), last(is_["comment"])
+        said = np.where(family == 0, np.where(lag(is_["comment"]), near, -1), np.where(after, np.where(family == 1, near, last(is_["comment"] & ~after)), -1))
+
+        kept = np.flatnonzero(~is_["skipped"])
+        if not len(kept):
+            return None
+        is_ = {name: x[kept] for name, x in is_.items()}
+        file, pos, family, said, at, start_line, end_line = (x[kept] for x in (file, pos, family, said, at, start_line, end_line))
+        till = at + col["chars"][kept]
+        same = np.concatenate([file[1:] == file[:-1], [False]])  # a token of the same file follows
+        lead = lambda x: np.concatenate([x[1:], [False]]) & same
+        opens, shuts = is_["opens"].astype(np.int64), is_["shuts"].astype(np.int64)
+        run = np.cumsum(opens - shuts) - (opens - shuts)
+        heads = np.flatnonzero(np.concatenate([[True], ~same[:-1]]))
+        level = run - run[heads[np.cumsum(np.concatenate([[True], ~same[:-1]])) - 1]] - shuts
+        below = np.concatenate([start_line[1:] > end_line[:-1], [False]]) & same
+        brace, word = is_["shut"] & same & ~lead(is_["goes_on"]), lead(is_["word"])
+        previous = np.concatenate([[False], (is_["access"] & same)[:-1]])
+        ends = is_["semicolon"] | brace
+        ends = np.where(family == 0, is_["semicolon"] | brace & (below | word) | below & is_["tail"] & lead(is_["head"]), ends)
+        cxx = is_["semicolon"] | is_["hash"] | lead(is_["hash"]) | brace & (below | ~word) | is_["access"] & lead(is_["colon"]) | is_["colon"] & previous
+        ends = np.where(family == 3, cxx, ends)
+        ends = np.where(family == 4, is_["lua_tail"] & word & lead(is_["lua_head"]), ends)
+
+        # rows by file and level; a bracket is also a mark on the level that it opens
+        marks = np.flatnonzero(is_["opens"])
+        row = np.concatenate([np.arange(len(kept)), marks])
+        mark = np.arange(len(row)) >= len(kept)
+        depth = level[row] + mark
+        order = np.lexsort((row, depth, file[row]))
+        row, mark, depth = row[order], mark[order], depth[order]
+        new = np.concatenate([[True], (file[row[1:]] != file[row[:-1]]) | (depth[1:] != depth[:-1])])
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        latest = np.maximum.accumulate(np.where(mark, np.arange(len(row)), -1))
+        opener = np.where(latest >= start, pos[row[latest]], -1)
+        ended = ends[row] & ~mark
+        stmt = np.cumsum(ended) - ended
+        stmt = stmt - stmt[start]
+        row, depth, opener, stmt = (x[~mark] for x in (row, depth, opener, stmt))
+        change = (file[row[1:]] != file[row[:-1]]) | (depth[1:] != depth[:-1]) | (opener[1:] != opener[:-1]) | (stmt[1:] != stmt[:-1])
+        one = np.flatnonzero(np.concatenate([[True], change]))  # the first row of each statement
+        stop = np.concatenate([one[1:], [len(row)]])
+        head, tail = row[one], row[stop - 1]
+        words = t["short"].combine_chunks().take(pa.array(kept[row]))
+        outline = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([one, [len(row)]]), pa.int32()), words), " ")
+        body = np.maximum.reduceat(np.where(is_["brace"][row], at[row], -1), one)
+        held = is_["opens"][row]
+        brackets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)[stop - 1]]), pa.int32()), pa.array(pos[row][held], pa.int64()))
+        whole = pa.array(kept[head])
+        told = t["said"].combine_chunks().take(pa.array(said[head], mask=said[head] < 0))
+        return pa.RecordBatch.from_arrays(
+            [path.take(whole), t["lang"].combine_chunks().take(whole), pa.array(depth[one], pa.int64()), pa.array(opener[one], pa.int64()), pa.array(stmt[one], pa.int64()), outline, pa.array(pos[head], pa.int64()), pa.array(start_line[head], pa.int64()), pa.array(end_line[tail], pa.int64()), told, pa.array(at[head], pa.int64()), pa.array(body, pa.int64(), mask=body < 0), pa.array(till[tail], pa.int64()), brackets],
+            ["path", "lang", "level", "opener", "stmt", "outline", "pos", "start_line", "end_line", "said", "at", "body", "till", "brackets"],
+        )
+
+    def run(batches):
+        left = []  # batches that hold a file whose end was not seen
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path = batch.column(0)
+            same = pc.equal(path, path[batch.num_rows - 1]).to_numpy(zero_copy_only=False)
+            at = 0 if same.all() else batch.num_rows - int(np.argmin(same[::-1]))
+            if at == 0 and (not left or left[-1].column(0)[-1].as_py() == path[0].as_py()):
+                left.append(batch)
+                continue
+            found = cut(pa.Table.from_batches([*left, batch.slice(0, at)]))
+            left = [batch.slice(at)]
+            if found is not None:
+                yield found
+        if left:
+            found = cut(pa.Table.from_batches(left))
+            if found is not None:
+                yield found
+
+    found = rows.mapInArrow(run, "path string, lang string, level long, opener long, stmt long, outline string, pos long, start_line long, end_line long, said string, at long, body long, till long, brackets array<long>")
+    return found.withColumn("doc", _first_line(F.col("said"))).drop("said")
 
 
 # --- declarations by outline
@@ -233,9 +335,9 @@ def symbols(files: DataFrame) -> DataFrame:
     known = files.where(F.col("lang").isin(*(x for langs in LEXERS for x in langs)))
     every = settle(statements(tokens(known)))
     top = every.where("opener = -1").withColumns({"within": F.lit(None).cast("string"), "prefix": F.lit(""), "owner": F.lit("")})
-    found = None
+    found, depth = None, 0
     while True:
-        told = top.withColumn("d", _declared(F.col("within"))).where("d IS NOT NULL")
+        told = top.withColumn("d", F.explode(F.array(_declared(F.col("within"))))).where("d IS NOT NULL")  # told once, as no filter passes a generator
         rust, cxx, lua = F.col("lang").isin(*RUST), F.col("lang").isin(*CXX), F.col("lang").isin(*LUA)
         impl = F.regexp_replace(F.regexp_extract(F.regexp_replace("outline", "->", ""), r"\bimpl (.*) \{ \}", 1), rf"^{_ANGLE}", "")
         of, trait = _rust_type(F.regexp_replace(impl, r"^.*? for ", "")), _rust_type(F.regexp_extract(impl, r"^(.*?) for ", 1))
@@ -255,19 +357,24 @@ def symbols(files: DataFrame) -> DataFrame:
         inside = F.when(F.col("kind").isin("mod", "namespace") | cxx & F.col("kind").isin("class", "struct"), F.concat("prefix", "whole", F.lit("::"))).otherwise(F.col("prefix"))
         owner = F.when(F.col("kind").isin("class", "struct", "trait", "enum"), F.col("qualified")).when(F.col("kind") == "impl", F.concat("prefix", "name")).otherwise(F.lit(""))
         held = told.where(F.col("kind").isin("", "class", "trait", "enum", "impl", "mod", "namespace", "struct")).select("path", F.explode("brackets").alias("opener"), F.col("kind").alias("within"), inside.alias("prefix"), owner.alias("owner"))
-        top = every.join(held, ["path", "opener"])
-        if top.isEmpty():
+        if held.isEmpty():
             break
-    guard = found.where("kind = 'macro'").join(every.select("path", (F.col("pos") + 1).alias("pos"), F.regexp_extract("outline", r"^#\s*ifn?def\s+(\w+)", 1).alias("guard")), ["path", "pos"], "left")
-    found = found.join(guard.where("guard = name").select("path", "pos"), ["path", "pos"], "left_anti")
-    first = found.groupBy("path", "kind", "qualified").agg(F.min_by(F.struct("name", "start_line", "end_line", "at", "body", "till", "doc"), "pos").alias("s"))
-    spans = first.groupBy("path").agg(F.collect_list(F.struct("kind", "qualified", "s")).alias("spans"))
-    stop = lambda s: F.coalesce(F.when(s["body"] > s["at"], s["body"]), s["till"])
-    source = lambda s: F.substring(F.col("content"), s["at"] + 1, stop(s) - s["at"])
-    clean = lambda s: F.trim(F.regexp_replace(F.when(s["body"].isNotNull(), source(s)).otherwise(F.regexp_extract(source(s), r"^[^\n]*", 0)), r"\s+", " "))
-    module = F.struct(F.lit("module").alias("kind"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("path").alias("qualified"), F.lit(1).cast("long").alias("start_line"), (1 + F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit("")))).cast("long").alias("end_line"), F.concat(F.lit("module "), "path").alias("signature"), F.lit(None).cast("string").alias("doc"))
-    each = lambda x: F.struct(x["kind"].alias("kind"), x["s"]["name"].alias("name"), F.concat(F.col("path"), F.lit(":"), x["qualified"]).alias("qualified"), x["s"]["start_line"].alias("start_line"), x["s"]["end_line"].alias("end_line"), clean(x["s"]).alias("signature"), x["s"]["doc"].alias("doc"))
-    rows = known.join(spans, "path", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
-    rows = rows.select("path", F.inline(F.concat(F.array(module), F.transform("spans", each))))
-    long = F.length("signature") > SIGNATURE_CHARS
-    return rows.withColumn("signature", F.when(long, F.concat(F.rtrim(F.substring("signature", 1, SIGNATURE_CHARS)), F.lit("…"))).otherwise(F.col("signature")))
+        depth += 1  # what a bracket holds lies one level deeper
+        top = every.where((F.col("opener") >= 0) & (F.col("level") <= depth)).join(held, ["path", "opener"])
+    macros = found.where("kind = 'macro'")
+    guard = macros.join(every.where(F.startswith("outline", F.lit("#"))).select("path", (F.col("pos") + 1).alias("pos"), F.regexp_extract("outline", r"^#\s*ifn?def\s+(\w+)", 1).alias("guard")), ["path", "pos"])
+    found = found.where("kind <> 'macro'").unionByName(macros.join(guard.where("guard = name").select("path", "pos"), ["path", "pos"], "left_anti"))
+    first = found.repartition("path").groupBy("path", "kind", "qualified").agg(F.min_by(F.struct("name", "start_line", "end_line", "at", "body", "till", "doc"), "pos").alias("s"))
+    stop = F.coalesce(F.when(F.col("s.body") > F.col("s.at"), F.col("s.body")), F.col("s.till"))
+    source = F.substring(F.col("content"), F.col("s.at") + 1, stop - F.col("s.at"))
+    clean = F.trim(F.regexp_replace(F.when(F.col("s.body").isNotNull(), source).otherwise(F.regexp_extract(source, r"^[^\n]*", 0)), r"\s+", " "))
+    short = F.when(F.length(clean) > SIGNATURE_CHARS, F.concat(F.rtrim(F.substring(clean, 1, SIGNATURE_CHARS)), F.lit("…"))).otherwise(clean)
+    # plain rows: whoever asks for no signature shuffles no text
+    named = first.join(known.select("path", "content"), "path").select("path", "kind", "s.name", F.concat("path", F.lit(":"), "qualified").alias("qualified"), "s.start_line", "s.end_line", short.alias("signature"), "s.doc")
+    whole = F.concat(F.lit("module "), "path")
+    module = known.select(
+        "path", F.lit("module").alias("kind"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("path").alias("qualified"), F.lit(1).cast("long").alias("start_line"),
+        (1 + F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit("")))).cast("long").alias("end_line"),
+        F.when(F.length(whole) > SIGNATURE_CHARS, F.concat(F.rtrim(F.substring(whole, 1, SIGNATURE_CHARS)), F.lit("…"))).otherwise(whole).alias("signature"), F.lit(None).cast("string").alias("doc"),
+    )
+    return module.unionByName(named)
