@@ -8,15 +8,31 @@ from pyspark.sql import functions as F
 PREAMBLE = "(preamble)"
 
 
-def split(docs: DataFrame, key: str, content: str) -> DataFrame:
-    """key, seq, section, text: the stretches of each note between headings, with the path of headings above
-    them, ``H1: A > H2: B``, null before the first. A heading ends its siblings and all below them; lines in fenced code are
-    no headings. A stretch keeps its heading line; stretches without text are dropped. A null note has none."""
+def _numbered(docs: DataFrame, key: str, content: str) -> DataFrame:
+    """key, at, line, level, seq: lines with the level of those that are headings, and the number of headings so far."""
     lines = docs.select(key, F.posexplode(F.split(F.col(content), "\n")).alias("at", "line"))
     so_far = Window.partitionBy(key).orderBy("at")
     fenced = F.sum(F.startswith("line", F.lit("```")).cast("int")).over(so_far) % 2 == 1
     level = F.when(~fenced & F.col("line").rlike(r"^#{1,6}\s+\S"), F.length(F.regexp_extract("line", "^(#+)", 1)))
-    lines = lines.withColumn("level", level).withColumn("seq", F.count("level").over(so_far))
+    return lines.withColumn("level", level).withColumn("seq", F.count("level").over(so_far))
+
+
+def _texts(lines: DataFrame, key: str) -> DataFrame:
+    texts = lines.groupBy(key, "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda z: z["line"]), "\n").alias("text"))
+    return texts.where(~F.col("text").rlike(r"^\s*\z"))
+
+
+def stretches(docs: DataFrame, key: str, content: str) -> DataFrame:
+    """key, parts: the stretches of each note as an array of (seq, text). Where the notes are dealt by their key, no line is shuffled."""
+    texts = _texts(_numbered(docs, key, content), key)
+    return texts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "text"))).alias("parts"))
+
+
+def split(docs: DataFrame, key: str, content: str) -> DataFrame:
+    """key, seq, section, text: the stretches of each note between headings, with the path of headings above
+    them, ``H1: A > H2: B``, null before the first. A heading ends its siblings and all below them; lines in fenced code are
+    no headings. A stretch keeps its heading line; stretches without text are dropped. A null note has none."""
+    lines = _numbered(docs, key, content)
     name = F.concat(F.lit("H"), F.col("level").cast("string"), F.lit(": "), F.regexp_extract("line", r"^#+\s+(.*\S)", 1))
     heads = lines.where("level IS NOT NULL").select(key, "seq", "level", name.alias("name"))
     w = Window.partitionBy(key).orderBy("seq")
@@ -29,8 +45,7 @@ def split(docs: DataFrame, key: str, content: str) -> DataFrame:
 
     path = F.array_join(F.array_compact(F.array(*map(above, range(1, 6)), F.col("name"))), " > ")
     paths = heads.select(key, "seq", path.alias("section"))
-    texts = lines.groupBy(key, "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda z: z["line"]), "\n").alias("text"))
-    return texts.where(~F.col("text").rlike(r"^\s*\z")).join(paths, [key, "seq"], "left").select(key, F.col("seq").cast("int").alias("seq"), "section", "text")
+    return _texts(lines, key).join(paths, [key, "seq"], "left").select(key, F.col("seq").cast("int").alias("seq"), "section", "text")
 
 
 def section_name(section: Column) -> Column:
